@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _erf = np.vectorize(math.erf, otypes=[float])
 
@@ -80,13 +81,13 @@ def studentized_range_quantile(p: float, k: int, dof: float) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def range_tail(q: pd.Series, k: pd.Series, dof: pd.Series) -> pd.Series:
     return pd.Series([studentized_range_sf(a, int(b), c) if pd.notna(a) and pd.notna(c) else None
                       for a, b, c in zip(q, k, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def range_point(p: pd.Series, k: pd.Series, dof: pd.Series) -> pd.Series:
     seen: dict = {}
     out = []

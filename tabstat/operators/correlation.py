@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabstat.functions.labels import significance_label
 from tabstat.functions.tails import normal_two_sided, t_two_sided
-from tabstat.plans.moments import moment_matrix
+from tabstat.plans.moments import correlation, moment_matrix
 from tabstat.plans.order_stats import attach_by_value, average_rank, running_counts, with_ranges
 from tabstat.plans.stats import as_double, local_table
 
@@ -20,7 +20,7 @@ def _pearson(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame
     aggs, cells = [], []
     for i, (a, b) in enumerate(combinations(cols, 2)):
         x, y = as_double(a), as_double(b)
-        aggs.append(F.struct(F.regr_count(x, y).alias("n"), F.corr(x, y).alias("r")).alias(f"p_{i}"))
+        aggs.append(F.struct(F.regr_count(x, y).alias("n"), correlation(x, y).alias("r")).alias(f"p_{i}"))
         cells.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
                               F.col(f"p_{i}.n").alias("n"), F.col(f"p_{i}.r").alias("r")))
     return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
@@ -89,7 +89,8 @@ def total_correlation(df: DataFrame, x: str, y: str, covars: Sequence[str]) -> D
 def partial_correlation(df: DataFrame, x: str, y: str, covars: Sequence[str]) -> DataFrame:
     """Correlation of x and y given the covariates, from the inverse moment matrix."""
     m = moment_matrix(df, [x, y, *covars])
-    inv = np.linalg.pinv(m.cov)
+    sd = np.sqrt(np.diag(m.cross))
+    inv = np.linalg.pinv(m.cross / np.outer(sd, sd))
     r = float(-inv[0, 1] / np.sqrt(inv[0, 0] * inv[1, 1]))
     out = local_table(df.sparkSession, [(x, y, ",".join(covars), m.n, r)],
                       "var1 string, var2 string, given string, n bigint, r double")
@@ -119,7 +120,7 @@ def fisher_z(pairs: DataFrame) -> DataFrame:
 def rank_correlates(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """(variable, r) with the target, strongest first, on complete rows; empty when it is constant."""
     data = df.select(*[as_double(c).alias(c) for c in dict.fromkeys([target, *cols])]).na.drop()
-    row = data.agg(F.var_samp(target).alias("v"), *[F.corr(c, target).alias(f"r_{i}") for i, c in enumerate(cols)])
+    row = data.agg(F.var_samp(target).alias("v"), *[correlation(F.col(c), F.col(target)).alias(f"r_{i}") for i, c in enumerate(cols)])
     cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"r_{i}").alias("r")) for i, c in enumerate(cols)])
     return row.where("v > 0").select(F.inline(cells)).where("r IS NOT NULL AND NOT isnan(r)") \
               .orderBy(F.abs("r").desc(), "variable")

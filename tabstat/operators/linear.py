@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabstat.functions.quantile_points import t_quantile
 from tabstat.functions.tails import f_upper, t_two_sided
-from tabstat.plans.moments import Moments, from_row, moment_matrix, moments
+from tabstat.plans.moments import Moments, correlation, from_row, moment_matrix, moments
 from tabstat.plans.stats import as_double, bounded_rows, local_table
 
 
@@ -111,7 +111,8 @@ def fit_metrics(df: DataFrame, y: str, prediction: str, by: Sequence[str] = ())
 def vif(df: DataFrame, xs: Sequence[str]) -> DataFrame:
     """Variance inflation of every design column, the constant included."""
     m = moment_matrix(df, list(xs))
-    inv = np.linalg.pinv(m.cross)
+    sd = np.sqrt(np.diag(m.cross))
+    inv = np.linalg.pinv(m.cross / np.outer(sd, sd)) / np.outer(sd, sd)
     rows = [("const", float(1 + m.n * m.mean @ inv @ m.mean))]
     rows += [(x, float(m.cross[i, i] * inv[i, i])) for i, x in enumerate(xs)]
     return local_table(df.sparkSession, rows, "variable string, vif double")
@@ -137,7 +138,7 @@ def simple_regressions(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     for i, x in enumerate(xs):
         a, b = as_double(x), as_double(y)
         aggs.append(F.struct(F.regr_count(b, a).alias("n"), F.regr_slope(b, a).alias("slope"),
-                             F.regr_intercept(b, a).alias("intercept"), F.corr(a, b).alias("r"),
+                             F.regr_intercept(b, a).alias("intercept"), correlation(a, b).alias("r"),
                              F.regr_sxx(b, a).alias("sxx")).alias(f"p_{i}"))
         s = F.col(f"p_{i}")
         usable = (s["n"] > 1) & (s["sxx"] > 0)

@@ -32,6 +32,12 @@ def moment_aggs(cols: Sequence[str]) -> list[Column]:
     return out
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation on rows where both are present; null when either is constant."""
+    r = F.try_divide(F.covar_pop(x, y) * F.regr_count(x, y), F.sqrt(F.regr_sxx(y, x) * F.regr_sxx(x, y)))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+
+
 def moments(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Moment table over complete cases of ``cols`` (and ``by``)."""
     data = complete(df, [*by, *cols])

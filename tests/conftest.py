@@ -8,10 +8,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
-    from tabstat.session import local_session
-    s = local_session("tabstat-tests", cores=8, partitions=8)
-    if s.conf.get("spark.checkpoint.dir", None) is None:
-        s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+def spark():
+    from tabstat.session import local_session, prepare
+    s = prepare(local_session("tabstat-tests", cores=8, partitions=8))
     yield s
     s.stop()

@@ -1,7 +1,6 @@
 """Run registered queries against their SQL: run_check.py [sf_dir] [name or prefix*...]."""
 
 import sys
-import tempfile
 import time
 import traceback
 
@@ -9,7 +8,7 @@ sys.path.insert(0, "/root/repo")
 sys.path.insert(0, "/root/repo/tests")
 from compare import connect, differences  # noqa: E402
 
-from tabstat import catalog  # noqa: E402
+import __spark_entry__ as catalog  # noqa: E402
 from tabstat.session import local_session  # noqa: E402
 
 
@@ -17,7 +16,6 @@ def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     wanted = sys.argv[2:]
     spark = local_session("check", 8)
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
     con = connect(sf)
     qs, sql = catalog.queries(), catalog.oracle_sql()
     bad = 0
