@@ -89,8 +89,10 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: str,
     keys = list(partition_by)
     data = df.withColumn("pos__", as_double(order_by) if order_by in columns_of(df, ("numeric",))
                          else F.unix_micros(F.col(order_by).cast("timestamp")).cast("double"))
-    data = with_ranges(data, ["pos__"], "range")
-    chunk = Window.partitionBy(*keys, "pos__range").orderBy(order_by)
+    data = with_ranges(data, ["pos__"])
+    # one struct key: equal also where a series key is null, and shared by window, sum and join
+    data = data.withColumn("chunk__", F.struct(*keys, "pos____range"))
+    chunk = Window.partitionBy("chunk__").orderBy(order_by)
     back = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = chunk.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     data = data.withColumn("rn__", F.row_number().over(chunk))
@@ -99,11 +101,11 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: str,
         return F.when(F.col(c).isNotNull(), F.struct(F.col("rn__").cast("double").alias("at"),
                                                      as_double(c).alias("v")))
 
-    summary = data.groupBy(*keys, "pos__range").agg(
+    summary = data.groupBy("chunk__").agg(
         F.count(F.lit(1)).alias("len__"),
         *[F.max(seen(c)).alias(f"last_{i}") for i, c in enumerate(cols)],
         *[F.min(seen(c)).alias(f"first_{i}") for i, c in enumerate(cols)])
-    series = Window.partitionBy(*keys).orderBy("pos__range")
+    series = Window.partitionBy(*[F.col("chunk__")[k] for k in keys]).orderBy(F.col("chunk__")["pos____range"])
     before = series.rowsBetween(Window.unboundedPreceding, -1)
     after = series.rowsBetween(1, Window.unboundedFollowing)
     start = F.coalesce(F.sum("len__").over(before), F.lit(0)).cast("double")
@@ -116,7 +118,7 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: str,
     for i in range(len(cols)):
         summary = summary.withColumns({f"last_{i}": shifted(f"last_{i}"), f"first_{i}": shifted(f"first_{i}")})
     carry = summary.select(
-        *keys, "pos__range", "start__",
+        "chunk__", "start__",
         *[F.last(f"last_{i}", ignorenulls=True).over(before).alias(f"prev_{i}") for i in range(len(cols))],
         *[F.first(f"first_{i}", ignorenulls=True).over(after).alias(f"next_{i}") for i in range(len(cols))])
 
@@ -125,10 +127,7 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: str,
         local[f"lo_{i}"] = F.last(seen(c), ignorenulls=True).over(back)
         local[f"hi_{i}"] = F.first(seen(c), ignorenulls=True).over(ahead)
     data = data.withColumns(local)
-    on = [data[k].eqNullSafe(carry[k]) for k in [*keys, "pos__range"]]
-    joined = data.join(carry, reduce(lambda a, b: a & b, on), "left")
-    for k in [*keys, "pos__range"]:
-        joined = joined.drop(carry[k])
+    joined = data.join(carry, "chunk__", "left")
     filled = {}
     for i, c in enumerate(cols):
         at = F.col("rn__") + F.col("start__")

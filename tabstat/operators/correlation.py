@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabstat.functions.labels import significance_label
 from tabstat.functions.tails import normal_two_sided, t_two_sided
 from tabstat.plans.moments import correlation, moment_matrix
-from tabstat.plans.order_stats import attach_by_value, average_rank, running_counts, with_ranges
+from tabstat.plans.order_stats import attach_by_value, average_rank, running_counts, sketch_ranges
 from tabstat.plans.stats import as_double, local_table
 
 
@@ -28,7 +28,10 @@ def _pearson(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame
 
 def _spearman(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Pearson on average ranks, each pair on its own complete rows."""
-    data = with_ranges(df.select(*by, *[as_double(c).alias(c) for c in cols]), cols)
+    data = df.select(*by, *[as_double(c).alias(c) for c in cols])
+    ranges = sketch_ranges(data, cols)
+    data = ranges.apply(data)
+    total = ranges.rows if ranges.tied else None
     cells = F.array(*[
         F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
                  F.col(a).alias("x"), F.col(a + "__range").alias("xr"),
@@ -45,8 +48,8 @@ def _spearman(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFram
         return placed.select(*keys, F.col("value").alias(value), F.col("cnt").alias("c_" + value),
                              (average_rank() - (F.col("n") + 1) / F.lit(2.0)).alias("d_" + value))
 
-    step = attach_by_value(points, ranks("x"), "x", "c_x", keys, spread="y")
-    step = attach_by_value(step, ranks("y"), "y", "c_y", keys, spread="x")
+    step = attach_by_value(points, ranks("x"), "x", "c_x", keys, spread="y", total=total)
+    step = attach_by_value(step, ranks("y"), "y", "c_y", keys, spread="x", total=total)
     w = F.col("cnt")
     dx, dy = F.col("d_x"), F.col("d_y")
     return step.groupBy(*keys).agg(

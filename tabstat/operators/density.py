@@ -60,7 +60,8 @@ def _near_boxes(left: DataFrame, right: DataFrame, d: int, eps: float, reach: in
     return out.where(_gap2("a_", "b_", d) <= eps * eps)
 
 
-def _probe(points: DataFrame, cells: DataFrame, targets: DataFrame, d: int, eps: float, reach: int, keep: Sequence[str]) -> DataFrame:
+def _probe(points: DataFrame, cells: DataFrame, targets: DataFrame, d: int, eps: float, reach: int, keep: Sequence[str],
+           total: int) -> DataFrame:
     """(id, keep...): one row per (target, point) within eps, the point's own cell included.
 
     ``targets`` come from thin cells only. They are packed per cell that has to look at
@@ -73,7 +74,7 @@ def _probe(points: DataFrame, cells: DataFrame, targets: DataFrame, d: int, eps:
     lists = around.join(packed.withColumnRenamed("cell", "other"), "other").groupBy("cell").agg(
         F.flatten(F.collect_list("pts")).alias("pts"))
     lists = lists.join(cells.select("cell", "n"), "cell")
-    rows = attach_by_value(points, lists, "cell", "n", [], spread="id").where(F.col("pts").isNotNull())
+    rows = attach_by_value(points, lists, "cell", "n", [], spread="id", total=total).where(F.col("pts").isNotNull())
     pairs = rows.select(*keep, *[F.col(f"x{i}").alias(f"p{i}") for i in range(d)], F.explode("pts").alias("t"))
     dist2 = reduce(add, [(F.col(f"p{i}") - F.col(f"t.x{i}")) * (F.col(f"p{i}") - F.col(f"t.x{i}")) for i in range(d)])
     return pairs.where(dist2 <= eps * eps).select(F.col("t.id").alias("id"), *keep)
@@ -92,9 +93,10 @@ def core_rows(points: DataFrame, d: int, eps: float, min_samples: int) -> DataFr
     """``points`` with ``n`` (rows in the cell) and ``core``."""
     reach = math.ceil(math.sqrt(d))
     cells = _boxes(points, ["cell", *[f"g{i}" for i in range(d)]], d)
-    sized = attach_by_value(points, cells.select("cell", "n"), "cell", "n", [], spread="id")
+    total = points.count()
+    sized = attach_by_value(points, cells.select("cell", "n"), "cell", "n", [], spread="id", total=total)
     thin = sized.where(F.col("n") < min_samples).drop("n")
-    counts = _probe(points, cells, thin, d, eps, reach, []).groupBy("id").agg(F.count(F.lit(1)).alias("around"))
+    counts = _probe(points, cells, thin, d, eps, reach, [], total).groupBy("id").agg(F.count(F.lit(1)).alias("around"))
     return sized.join(counts, "id", "left").withColumn(
         "core", (F.col("n") >= min_samples) | (F.coalesce(F.col("around"), F.lit(0)) >= min_samples)).drop("around")
 
@@ -143,17 +145,17 @@ def density_clusters(df: DataFrame, cols: Sequence[str], key: str, eps: float, m
     d = len(cols)
     reach = math.ceil(math.sqrt(d))
     pts = core_rows(grid_points(df, cols, key, eps), d, eps, min_samples).checkpoint()
-    core = pts.where("core").drop("n")
+    core, total = pts.where("core").drop("n"), pts.count()
     comp = connected_components(_links(core, d, eps, reach))
     cells = core.groupBy("cell").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
     cells = cells.join(comp.withColumnRenamed("u", "cell"), "cell", "left") \
                  .withColumn("component", F.coalesce("component", "cell"))
     names = cells.groupBy("component").agg(F.min("first").alias("cluster"))
     cells = cells.join(names, "component").select("cell", "n", "cluster").checkpoint()
-    named = attach_by_value(core, cells, "cell", "n", [], spread="id").drop("n")
+    named = attach_by_value(core, cells, "cell", "n", [], spread="id", total=total).drop("n")
     edge = pts.where("NOT core").drop("n", "core")
     boxes = _boxes(core, ["cell", *[f"g{i}" for i in range(d)]], d)
-    touched = _probe(named, boxes, edge, d, eps, reach, ["cluster"]).groupBy("id").agg(F.min("cluster").alias("cluster"))
+    touched = _probe(named, boxes, edge, d, eps, reach, ["cluster"], total).groupBy("id").agg(F.min("cluster").alias("cluster"))
     border = edge.select("id", F.lit(False).alias("core")).join(touched, "id", "left")
     out = named.select("id", F.lit(True).alias("core"), "cluster").unionByName(border)
     return out.select(F.col("id").alias(key), "core", F.coalesce("cluster", F.lit(NOISE)).alias("cluster"))

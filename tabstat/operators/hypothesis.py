@@ -184,7 +184,7 @@ def kruskal(df: DataFrame, measures: Sequence[str], group: str) -> DataFrame:
     Rows are counted by (value, group) before ranking, so ties and large groups shrink first.
     """
     counts = value_counts(df, measures, [group])
-    placed = running_counts(counts, ["variable"])
+    placed = running_counts(counts, ["variable"], shared=True)
     rank = average_rank()
     groups = placed.groupBy("variable", group).agg(
         F.sum("cnt").alias("n_g"), F.sum(F.col("cnt") * rank).alias("rank_sum"), F.max("n").alias("n"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tabstat.functions.quantile_points import t_quantile
 from tabstat.functions.tails import f_upper, t_two_sided
-from tabstat.plans.moments import Moments, correlation, from_row, moment_matrix, moments
+from tabstat.plans.moments import Moments, combine, correlation, from_row, moment_matrix, moments
 from tabstat.plans.stats import as_double, bounded_rows, local_table
 
 
@@ -162,11 +162,12 @@ def kfold_ols(df: DataFrame, y: str, xs: Sequence[str], k: int, key: str, seed:
     """
     data = df.select(fold_of(key, k, seed).alias("fold"), *[as_double(c).alias(c) for c in [*xs, y]]).na.drop()
     rows = bounded_rows(moments(data, [*xs, y], ["fold"]), k, "folds")
-    total = moment_matrix(data, [*xs, y])
+    parts = {r["fold"]: from_row(r, [*xs, y]) for r in rows}
+    total = combine(list(parts.values()))
     fitted = F.lit(None).cast("double")
-    for r in rows:
-        s = solve(total.minus(from_row(r, [*xs, y])))
-        fitted = F.when(F.col("fold") == r["fold"], linear_prediction(xs, s.intercept, s.beta)).otherwise(fitted)
+    for number, part in parts.items():
+        s = solve(total.minus(part))
+        fitted = F.when(F.col("fold") == number, linear_prediction(xs, s.intercept, s.beta)).otherwise(fitted)
     return fit_metrics(data.withColumn("prediction", fitted), y, "prediction", ["fold"]) \
         .select("fold", "n", "r2", "mse", "mae")
 

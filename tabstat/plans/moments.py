@@ -66,6 +66,14 @@ class Moments:
         return Moments(self.cols, n, mean, cross)
 
 
+def combine(parts: Sequence[Moments]) -> Moments:
+    """Moments of the union of disjoint parts."""
+    n = sum(m.n for m in parts)
+    mean = sum(m.n * m.mean for m in parts) / n
+    cross = sum(m.cross + m.n * np.outer(m.mean - mean, m.mean - mean) for m in parts)
+    return Moments(parts[0].cols, n, mean, cross)
+
+
 def from_row(row, cols: Sequence[str], prefix: str = "") -> Moments:
     p = len(cols)
     n = int(row[prefix + "n"])

@@ -11,62 +11,99 @@ results are exact whatever its error.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabstat.plans.stats import as_double, scalar_stats
+from tabstat.plans.stats import as_double
 
 
 def range_count(df: DataFrame) -> int:
-    """Ranges per column: a few per shuffle partition."""
+    """Ranges per column: a few per shuffle partition, so that one range fits a task."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(16, 4 * parts)
+    return min(max(32, 4 * parts), 1024)
 
 
-def with_ranges(df: DataFrame, cols: Sequence[str], suffix: str = "__range") -> DataFrame:
-    """Add ``<col>__range``: a range number that grows with the (double) column."""
+@dataclass(frozen=True)
+class Ranges:
+    """Edges per column from one sketch pass, with the row count and what the sketch says about ties."""
+
+    cols: tuple[str, ...]
+    splits: list[list[float]]
+    rows: int
+    tied: bool  # some value holds more than about one range
+
+    def apply(self, df: DataFrame, suffix: str = "__range") -> DataFrame:
+        """Add ``<col>__range``: a range number that grows with the (double) column, null for null."""
+        raw = [c + suffix for c in self.cols]
+        out = Bucketizer(splitsArray=self.splits, inputCols=list(self.cols), handleInvalid="keep",
+                         outputCols=raw).transform(df)
+        return out.withColumns({r: F.col(r).cast("int") for r in raw})
+
+
+SKETCH_SIZE = 2000  # rank error about a tenth of a percent in some 45 KB per task
+
+
+def sketch_ranges(df: DataFrame, cols: Sequence[str]) -> Ranges:
+    """One pass without a shuffle of rows: each task sends one small mergeable sketch per column."""
     k = range_count(df)
-    probs = [i / k for i in range(1, k)]
-    row = df.agg(*[F.percentile_approx(as_double(c), probs, 20 * k).alias(f"e_{i}")
-                   for i, c in enumerate(cols)]).first()
-    splits = []
+    ranks = F.array(*[F.lit(i / k) for i in range(1, k)])
+    sketch = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        F.when(F.count(c) > 0, F.kll_sketch_agg_double(as_double(c), SKETCH_SIZE)).alias(f"e_{i}")
+        for i, c in enumerate(cols)])
+    row = sketch.select("rows", *[F.kll_sketch_get_quantile_double(f"e_{i}", ranks).alias(f"e_{i}")
+                                  for i in range(len(cols))]).first()
+    splits, tied = [], False
     for i in range(len(cols)):
-        edges = sorted({float(e) for e in (row[f"e_{i}"] or [0.0])})
-        splits.append([float("-inf"), *edges, float("inf")])
-    return Bucketizer(splitsArray=splits, inputCols=list(cols), handleInvalid="keep",
-                      outputCols=[c + suffix for c in cols]).transform(df)
+        edges = [float(e) for e in (row[f"e_{i}"] or [0.0])]
+        tied = tied or len(set(edges)) < len(edges)
+        splits.append([float("-inf"), *sorted(set(edges)), float("inf")])
+    return Ranges(tuple(cols), splits, row["rows"], tied)
 
 
-def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., variable, range, value, cnt): non-null values, ties collapsed map-side."""
+def with_ranges(df: DataFrame, cols: Sequence[str], suffix: str = "__range") -> DataFrame:
+    return sketch_ranges(df, cols).apply(df, suffix)
+
+
+def ranged_values(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., variable, value, range): non-null values of all columns, long, not shuffled."""
     data = df.select(*by, *[as_double(c).alias(c) for c in cols])
     data = data.na.drop(subset=list(by)) if by else data
     data = with_ranges(data, cols)
     cells = F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(c).alias("value"),
-                 F.col(c + "__range").cast("int").alias("range"))
+        F.struct(F.lit(c).alias("variable"), F.col(c).alias("value"), F.col(c + "__range").alias("range"))
         for c in cols])
-    long = data.select(*by, F.inline(cells)).where(F.col("value").isNotNull())
-    return long.groupBy(*by, "variable", "range", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    return data.select(*by, F.inline(cells)).where(F.col("value").isNotNull())
 
 
-def running_counts(counts: DataFrame, keys: Sequence[str], cnt: str = "cnt") -> DataFrame:
-    """Add ``below`` (rows with a smaller value) and ``n`` per key group.
+def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., variable, range, value, cnt): ties collapse before the shuffle."""
+    return ranged_values(df, cols, by).groupBy(*by, "variable", "range", "value").agg(F.count(F.lit(1)).alias("cnt"))
 
-    ``counts`` holds ``keys``, ``range``, ``value`` and a count column; several rows
-    may share a value. ``ties`` is the number of rows at the value.
-    """
-    offsets = counts.groupBy(*keys, "range").agg(F.sum(cnt).alias("in_range"))
+
+def range_offsets(in_ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, range, in_range) -> with ``before`` (rows in lower ranges) and ``n``; one line per range."""
     per_key = Window.partitionBy(*keys)
-    offsets = offsets.select(
-        *keys, "range",
+    return in_ranges.select(
+        *keys, "range", "in_range",
         (F.sum("in_range").over(per_key.orderBy("range")) - F.col("in_range")).alias("before"),
         F.sum("in_range").over(per_key).alias("n"))
+
+
+def running_counts(counts: DataFrame, keys: Sequence[str], cnt: str = "cnt", shared: bool = False) -> DataFrame:
+    """Add ``below`` (rows with a smaller value) and ``n`` per key group.
+
+    ``counts`` holds ``keys``, ``range``, ``value`` and a count column. ``ties`` is the
+    number of rows at the value; ``shared`` says that several lines may carry one value.
+    """
+    offsets = range_offsets(counts.groupBy(*keys, "range").agg(F.sum(cnt).alias("in_range")), keys).drop("in_range")
     in_range = Window.partitionBy(*keys, "range")
     through = F.sum(cnt).over(in_range.orderBy("value"))  # RANGE frame: peers included
-    ties = F.sum(cnt).over(Window.partitionBy(*keys, "range", "value"))
+    ties = F.sum(cnt).over(Window.partitionBy(*keys, "range", "value")) if shared else F.col(cnt)
     placed = counts.withColumn("ties", ties).withColumn("through", through)
     placed = placed.join(offsets, [*keys, "range"])
     return placed.withColumn("below", F.col("before") + F.col("through") - F.col("ties")) \
@@ -80,17 +117,31 @@ def average_rank():
 
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                    by: Sequence[str] = ()) -> DataFrame:
-    """(by..., variable, n, q_0..q_k): exact quantiles, linear interpolation."""
+    """(by..., variable, n, q_0..q_k): exact quantiles, linear interpolation.
+
+    Row counts per range show which ranges hold the wanted positions; only the rows of
+    those few ranges are shuffled and ordered.
+    """
     keys = [*by, "variable"]
-    placed = running_counts(value_counts(df, cols, by), keys)
-    last = F.col("below") + F.col("ties")
+    rows = ranged_values(df, cols, by)
+    ranges = range_offsets(rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("in_range")), keys)
+    spots = [(F.floor((F.col("n") - 1) * F.lit(float(p))), F.ceil((F.col("n") - 1) * F.lit(float(p)))) for p in probs]
+
+    def holds(spot, below, size):
+        return (F.col(below) <= spot) & (spot < F.col(below) + F.col(size))
+
+    wanted = reduce(or_, [holds(s, "before", "in_range") for pair in spots for s in pair])
+    targets = ranges.where(wanted).drop("in_range")
+    # without groups: at most two ranges per column and probability
+    picked = rows.join(targets if by else F.broadcast(targets), [*keys, "range"])
+    counts = picked.groupBy(*keys, "range", "value").agg(
+        F.count(F.lit(1)).alias("ties"), F.first("before").alias("before"), F.first("n").alias("n"))
+    through = F.sum("ties").over(Window.partitionBy(*keys, "range").orderBy("value"))
+    placed = counts.withColumn("below", F.col("before") + through - F.col("ties"))
     aggs = [F.first("n").alias("n")]
-    for i, p in enumerate(probs):
-        pos = (F.col("n") - 1) * F.lit(float(p))
-        lo = F.floor(pos)
-        hi = F.ceil(pos)
-        aggs.append(F.max(F.when((F.col("below") <= lo) & (lo < last), F.col("value"))).alias(f"lo_{i}"))
-        aggs.append(F.max(F.when((F.col("below") <= hi) & (hi < last), F.col("value"))).alias(f"hi_{i}"))
+    for i, pair in enumerate(spots):
+        for name, spot in zip(("lo", "hi"), pair):
+            aggs.append(F.max(F.when(holds(spot, "below", "ties"), F.col("value"))).alias(f"{name}_{i}"))
     out = placed.groupBy(*keys).agg(*aggs)
     cols_out = []
     for i, p in enumerate(probs):
@@ -109,17 +160,19 @@ def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) ->
 
 
 def attach_by_value(rows: DataFrame, table: DataFrame, key: str, cnt: str, keys: Sequence[str],
-                    spread: str) -> DataFrame:
+                    spread: str, total: int | None) -> DataFrame:
     """Left join ``table`` (one row per keys+key) onto ``rows`` when a key may be hot.
 
-    Entries holding more than 1/200 of all counted rows number fewer than 200, so that
-    part is broadcast; the rest goes through a shuffle join in which rows that are
-    already matched are spread by a hash of ``spread``.
+    Entries holding more than 1/200 of the ``total`` rows number fewer than 200 (per
+    pair of columns), so that part is broadcast; the rest goes through a shuffle join in
+    which rows that are already matched are spread by a hash of ``spread``. Without a
+    ``total`` no key is hot and a plain join does.
     """
     on = [*keys, key]
+    if total is None:
+        return rows.join(table, on, "left")
     payload = [c for c in table.columns if c not in on]
-    total = scalar_stats(table, [F.sum(cnt).alias("total")])["total"]
-    hot = table.where(F.col(cnt) * 200 > total)
+    hot = table.where(F.col(cnt) * 200 > F.lit(total))
     hot = hot.select(*on, *[F.col(c).alias("hot_" + c) for c in payload])
     step = rows.join(F.broadcast(hot), on, "left")
     salt = F.when(F.col("hot_" + cnt).isNull(), F.lit(0)) \
