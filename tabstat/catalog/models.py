@@ -32,6 +32,26 @@ def mlm_ri_q(spark, sf):
     return ml.mixed(nested_orders(spark, sf), "y", ["month"], "o_custkey").components
 
 
+# the same likelihood on a fine grid of ratios; the fit is compared to three digits
+RI = """WITH d AS (SELECT o_custkey AS g, o_totalprice / 1e5 + c_acctbal / 4000 AS y, month(o_orderdate)::DOUBLE AS x FROM orders JOIN customer ON o_custkey = c_custkey),
+ c AS (SELECT g, y - (SELECT avg(y) FROM d) AS y, x - (SELECT avg(x) FROM d) AS x FROM d),
+ m AS (SELECT g, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy, var_pop(y) * count(*) AS syy FROM c GROUP BY 1),
+ l AS (SELECT 0.2::DOUBLE + i * 0.0004::DOUBLE AS l FROM range(5000) t(i)),
+ a AS (SELECT l, sum(n) AS n, sum(ln(1 + n * l)) AS ld, sum(n / (1 + n * l)) AS w, sum(n / (1 + n * l) * mx) AS wx, sum(n / (1 + n * l) * my) AS wy, sum(sxx + n / (1 + n * l) * mx * mx) AS xx,
+  sum(sxy + n / (1 + n * l) * mx * my) AS xy, sum(syy + n / (1 + n * l) * my * my) AS yy FROM m, l GROUP BY 1),
+ b AS (SELECT *, w * xx - wx * wx AS det, (xx * wy - wx * xy) / (w * xx - wx * wx) AS b0, (w * xy - wx * wy) / (w * xx - wx * wx) AS b1 FROM a),
+ r AS (SELECT *, yy - b0 * wy - b1 * xy AS rss FROM b), s AS (SELECT *, -0.5 * ((n - 2) * ln(rss / (n - 2)) + ld + ln(det)) AS reml FROM r), t AS (SELECT * FROM s ORDER BY reml DESC LIMIT 1)
+SELECT 'group' AS component, round(l * rss / (n - 2), 2) AS variance, round(l / (1 + l), 3) AS icc FROM t UNION ALL SELECT 'residual', round(rss / (n - 2), 2), round(1 / (1 + l), 3) FROM t"""
+
+
+@query("mlm_ri_exact", RI)
+def mlm_ri_exact_q(spark, sf):
+    t = Tables(spark, sf)
+    o = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    df = o.select("o_custkey", (F.col("o_totalprice") / 1e5 + F.col("c_acctbal") / 4000).alias("y"), F.month("o_orderdate").alias("x"))
+    return rounded(ml.mixed(df, "y", ["x"], "o_custkey").components, 2, icc=3)
+
+
 @query("mlm_fixed")
 def mlm_fixed_q(spark, sf):
     return ml.mixed(nested_orders(spark, sf), "y", ["month"], "o_custkey").fixed
@@ -94,6 +114,16 @@ def bayes_two_group_q(spark, sf):
     return rounded(out).withColumn("sd", F.when(F.col("param").startswith("sigma"), F.round("sd", 5)).otherwise(F.col("sd")))
 
 
+@query("bayes_linear_one", """WITH m AS (SELECT count(*) AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem), u AS (SELECT -1 + 2 * i / 400.0::DOUBLE AS u FROM range(401) t(i)),
+ x AS (SELECT n, r, sqrt(1 - r * r) * exp(u * 8.0::DOUBLE / sqrt(2.0::DOUBLE * (n - 1)) * (1 + 6.0::DOUBLE / (n - 1))) AS s FROM m, u), a AS (SELECT *, n / (s * s) + 1 AS a, n * r / (s * s) AS b FROM x),
+ l AS (SELECT *, -n * ln(s) - n / (2 * s * s) + 0.5 * b * b / a - 0.5 * ln(a) - 0.5 * ln(n / (s * s) + 1) - ln(1 + s * s) + ln(s) AS l FROM a), w AS (SELECT *, exp(l - max(l) OVER ()) AS w FROM l),
+ p AS (SELECT sum(w * b / a) / sum(w) AS bm, sum(w * (1 / a + (b / a) ** 2)) / sum(w) AS b2, sum(w / (n / (s * s) + 1)) / sum(w) AS iv, sum(w * s) / sum(w) AS sm, sum(w * s * s) / sum(w) AS s2 FROM w)
+SELECT 'beta[l_quantity]' AS param, round(bm, 6) AS mean, round(sqrt(b2 - bm * bm), 6) AS sd FROM p UNION ALL SELECT 'intercept', 0.0::DOUBLE, round(sqrt(iv), 6) FROM p
+UNION ALL SELECT 'sigma', round(sm, 6), round(sqrt(s2 - sm * sm), 6) FROM p""")
+def bayes_linear_one_q(spark, sf):
+    return rounded(by.bayes_linear(Tables(spark, sf).lineitem, "l_extendedprice", ["l_quantity"]).select("param", "mean", "sd"))
+
+
 @query("bayes_linear")
 def bayes_linear_q(spark, sf):
     return by.bayes_linear(Tables(spark, sf).lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])

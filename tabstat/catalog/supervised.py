@@ -67,8 +67,18 @@ def _classification(spark, sf, model, y="quality", xs=("n_chars", "lang", "sourc
     return sv.train(train, y, list(xs), model, "classification", grid), test
 
 
-@query("linear_model")
+@query("linear_model", """WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem WHERE l_orderkey % 4 <> 0)
+SELECT count(*) AS n, round(1 - avg((l_extendedprice - a - b * l_quantity) ** 2) / var_pop(l_extendedprice), 8) + 0.0 AS r2, round(avg((l_extendedprice - a - b * l_quantity) ** 2) / 1e6, 3) AS mse,
+ round(sqrt(avg((l_extendedprice - a - b * l_quantity) ** 2)), 3) AS rmse, round(avg(abs(l_extendedprice - a - b * l_quantity)), 3) AS mae FROM lineitem, f WHERE l_orderkey % 4 = 0""")
 def linear_model_q(spark, sf):
+    df = Tables(spark, sf).lineitem
+    m = sv.train(df.where("l_orderkey % 4 <> 0"), Y, ["l_quantity"], "linear")
+    out = ln.fit_metrics(m.predict(df.where("l_orderkey % 4 = 0")), Y, "prediction")
+    return rounded(out.withColumn("mse", F.col("mse") / 1e6), 3, r2=8)
+
+
+@query("linear_model_mixed")
+def linear_model_mixed_q(spark, sf):
     m, test = _regression(spark, sf, "linear")
     return ln.fit_metrics(m.predict(test), "o_totalprice", "prediction")
 
@@ -255,3 +265,15 @@ def permutation_importance_q(spark, sf):
     df = Tables(spark, sf).lineitem.withColumn("row", F.xxhash64("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"))
     m = sv.train(df, Y, XS, "linear")
     return ex.permutation_importance(m, df, Y, XS, "row")
+
+
+GRID = f"""WITH c AS (SELECT c_custkey, c_custkey % 3 AS fold, c_acctbal / 1000 AS a, c_nationkey::DOUBLE AS b, length(c_mktsegment)::DOUBLE AS y FROM customer),
+ n AS (SELECT t.c_custkey, t.fold, t.y, s.y AS ny, row_number() OVER (PARTITION BY t.c_custkey ORDER BY sqrt((t.a - s.a) * (t.a - s.a) + (t.b - s.b) * (t.b - s.b)), s.c_custkey) AS rn FROM c t JOIN c s ON t.fold <> s.fold),
+ p AS (SELECT k, fold, c_custkey, max(y) AS y, avg(ny) AS p FROM n, (VALUES (3), (5), (7)) g(k) WHERE rn <= k GROUP BY 1, 2, 3),
+ f AS (SELECT k, fold, 1 - avg((y - p) ** 2) / var_pop(y) AS r2 FROM p GROUP BY 1, 2)
+SELECT k::INT AS k, round(avg(r2), 8) AS score FROM f GROUP BY 1"""
+
+
+@query("knn_grid", GRID)
+def knn_grid_q(spark, sf):
+    return rounded(nb.knn_grid(customers(spark, sf), ["a", "b"], "y", "c_custkey", sv.GRIDS["knn"]["k"], 3), 8)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tabstat.operators.derive import components
 from tabstat.operators.describe import group_means
-from tabstat.plans.stats import as_double, bounded_rows, local_table
+from tabstat.plans.stats import as_double, bounded_rows, local_table, spread_out
 
 
 def to_numbers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -70,12 +70,21 @@ class Centres:
         return local_table(spark, rows, "cluster int, " + ", ".join(f"`{c}` double" for c in self.cols))
 
 
+def stopping_distance(k: int, mean_variance: float = 1.0) -> float:
+    """Per-centre move below which the summed squared moves fall under 1e-4 of the mean variance."""
+    return (1e-4 * mean_variance / k) ** 0.5
+
+
 def kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, scale: bool = True) -> Centres:
     data = to_numbers(df, cols)
     mean, sd = scaling(data, cols, scale)
-    feats = _features(data, cols, mean, sd).select("features").persist()
+    variance = 1.0
+    if not scale:
+        row = data.select(*cols).na.drop().agg(*[F.var_pop(c) for c in cols]).first()
+        variance = float(np.mean(list(row))) or 1.0
+    feats = spread_out(_features(data, cols, mean, sd).select("features")).persist()
     try:
-        model = KMeans(k=k, seed=seed, maxIter=100, initMode="k-means||").fit(feats)
+        model = KMeans(k=k, seed=seed, maxIter=300, tol=stopping_distance(k, variance), initMode="k-means||").fit(feats)
         return Centres(tuple(cols), mean, sd, np.array(model.clusterCenters()), float(model.summary.trainingCost))
     finally:
         feats.unpersist()
@@ -100,7 +109,7 @@ def gaussian_mixture(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42,
 
 def _fit_and_label(data: DataFrame, cols, mean, sd, algorithm) -> DataFrame:
     feats = _features(data, cols, mean, sd)
-    fit_on = feats.select("features").persist()
+    fit_on = spread_out(feats.select("features")).persist()
     try:
         model = algorithm.fit(fit_on)
     finally:
@@ -114,7 +123,7 @@ def elbow(df: DataFrame, cols: Sequence[str], k_max: int = 15, seed: int = 42) -
     """(k, inertia) for k = 1..min(k_max, n - 1); the features are prepared once."""
     data = to_numbers(df, cols)
     mean, sd = scaling(data, cols)
-    feats = _features(data, cols, mean, sd).select("features").persist()
+    feats = spread_out(_features(data, cols, mean, sd).select("features")).persist()
     try:
         n = feats.count()
         x = vector_to_array("features")
@@ -122,7 +131,7 @@ def elbow(df: DataFrame, cols: Sequence[str], k_max: int = 15, seed: int = 42) -
                    .agg(*[F.var_pop(f"x{i}") for i in range(len(cols))]).first()
         rows = [(1, float(sum(one) * n))]
         for k in range(2, min(k_max, n - 1) + 1):
-            rows.append((k, float(KMeans(k=k, seed=seed).fit(feats).summary.trainingCost)))
+            rows.append((k, float(KMeans(k=k, seed=seed, maxIter=300, tol=stopping_distance(k)).fit(feats).summary.trainingCost)))
     finally:
         feats.unpersist()
     return local_table(df.sparkSession, rows, "k int, inertia double")

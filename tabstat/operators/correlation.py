@@ -32,12 +32,12 @@ def _spearman(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFram
     ranges = sketch_ranges(data, cols)
     data = ranges.apply(data)
     total = ranges.rows if ranges.tied else None
+    pairs = list(combinations(cols, 2))
     cells = F.array(*[
-        F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
-                 F.col(a).alias("x"), F.col(a + "__range").alias("xr"),
+        F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(a + "__range").alias("xr"),
                  F.col(b).alias("y"), F.col(b + "__range").alias("yr"))
-        for a, b in combinations(cols, 2)])
-    keys = [*by, "var1", "var2"]
+        for i, (a, b) in enumerate(pairs)])
+    keys = [*by, "pair"]
     long = data.select(*by, F.inline(cells)).na.drop(subset=["x", "y", *by])
     points = long.groupBy(*keys, "x", "xr", "y", "yr").agg(F.count(F.lit(1)).alias("cnt"))
 
@@ -52,9 +52,11 @@ def _spearman(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFram
     step = attach_by_value(step, ranks("y"), "y", "c_y", keys, spread="x", total=total)
     w = F.col("cnt")
     dx, dy = F.col("d_x"), F.col("d_y")
-    return step.groupBy(*keys).agg(
+    out = step.groupBy(*keys).agg(
         F.sum(w).alias("n"),
         F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))).alias("r"))
+    first, second = (F.array(*[F.lit(p[i]) for p in pairs]) for i in (0, 1))
+    return out.select(*by, F.get(first, "pair").alias("var1"), F.get(second, "pair").alias("var2"), "n", "r")
 
 
 def correlate(df: DataFrame, cols: Sequence[str], method: str = "pearson", by: Sequence[str] = ()) -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabstat.operators.linear import fold_of
 from tabstat.plans.stats import as_double, local_table
 
 
@@ -133,3 +134,27 @@ def knn(train: DataFrame, test: DataFrame, xs: Sequence[str], y: str, key: str,
     votes = near.groupBy(key, y).agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col(y).alias("label"))).alias("b")) \
                 .select(key, F.col("b.label").alias("prediction"))
+
+
+def knn_grid(df: DataFrame, xs: Sequence[str], y: str, key: str, ks: Sequence[int], folds: int = 5,
+             task: str = "regression", seed: int | None = None) -> DataFrame:
+    """(k, score): mean fold R2 or accuracy of every k; one neighbour search per fold serves all k."""
+    data = df.na.drop(subset=[y, *xs]).withColumn("fold__", fold_of(key, folds, seed))
+    out = None
+    for f in range(folds):
+        near = nearest(data.where(F.col("fold__") != f), data.where(F.col("fold__") == f), xs, key, max(ks), [y])
+        every = near.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("position <= k")
+        if task == "regression":
+            guess = every.groupBy("k", key).agg(F.avg(as_double(y)).alias("prediction"))
+        else:
+            votes = every.groupBy("k", key, y).agg(F.count(F.lit(1)).alias("n"))
+            guess = votes.groupBy("k", key).agg(F.min(F.struct((-F.col("n")).alias("neg"), F.col(y).alias("label")))["label"].alias("prediction"))
+        guess = guess.withColumn("fold__", F.lit(f))
+        out = guess if out is None else out.unionByName(guess)
+    scored = out.join(data.select(key, F.col(y).alias("actual")), key)
+    if task == "regression":
+        e = F.col("actual") - F.col("prediction")
+        score = 1 - F.try_divide(F.avg(e * e), F.var_pop(F.col("actual").cast("double")))
+    else:
+        score = F.avg(F.when(F.col("actual") == F.col("prediction"), 1.0).otherwise(0.0))
+    return scored.groupBy("k", "fold__").agg(score.alias("s")).groupBy("k").agg(F.avg("s").alias("score"))

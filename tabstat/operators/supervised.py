@@ -22,7 +22,7 @@ from tabstat.operators.cleaning import modes, zscore
 from tabstat.operators.columns import columns_of
 from tabstat.operators.derive import dummies
 from tabstat.plans.order_stats import quantile_table, with_ranges
-from tabstat.plans.stats import as_double, bounded_rows, local_table, scalar_stats
+from tabstat.plans.stats import as_double, bounded_rows, local_table, scalar_stats, spread_out
 
 
 # --- splits and targets ----------------------------------------------------------
@@ -169,7 +169,7 @@ def train(df: DataFrame, y: str, xs: Sequence[str], model: str, task: str = "reg
     stages = preprocessor(data, xs)
     est = estimator(model, task, len(labels), seed)
     prepared = Pipeline(stages=stages).fit(data)
-    features = prepared.transform(data).select("features", "label").persist()
+    features = spread_out(prepared.transform(data).select("features", "label")).persist()
     try:
         best = {}
         if grid:
@@ -246,7 +246,7 @@ def logistic(df: DataFrame, y: str, xs: Sequence[str], c: float = 1.0) -> Logist
     data = zscore(data, names, ddof=0)
     data = VectorAssembler(inputCols=[n + "_z" for n in names], outputCol="features").transform(data)
     data = data.withColumn("label", as_double(y))
-    fit_on = data.select("features", "label").persist()
+    fit_on = spread_out(data.select("features", "label")).persist()
     try:
         model = LogisticRegression(regParam=1.0 / (c * fit_on.count()), elasticNetParam=0.0, standardization=False,
                                    maxIter=1000, tol=1e-9).fit(fit_on)

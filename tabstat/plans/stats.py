@@ -57,3 +57,12 @@ def unpivot_doubles(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()
     """Long form (keep..., variable, value) without nulls, all columns in one pass."""
     cells = F.array(*[F.struct(F.lit(c).alias(variable), as_double(c).alias(value)) for c in cols])
     return df.select(*keep, F.inline(cells)).where(F.col(value).isNotNull())
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """Give every core a share of rows that an iterative fit will read many times.
+
+    Only where the source has fewer files than cores; a large table is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
