@@ -141,7 +141,7 @@ def distinct_values_q(spark, sf):
     return co.distinct_values(Tables(spark, sf).part, "p_brand")
 
 
-@query("present_groups", """SELECT 'size' AS dimension, avg(l_quantity) AS v FROM lineitem UNION ALL SELECT 'rates', avg(l_tax) FROM lineitem""")
+@query("present_groups", """SELECT 'size' AS dimension, round(avg(l_quantity), 9) AS v FROM lineitem UNION ALL SELECT 'rates', round(avg(l_tax), 9) FROM lineitem""")
 def present_groups_q(spark, sf):
     df = Tables(spark, sf).lineitem
     groups = co.present_groups(df, {"size": ["l_quantity", "gone"], "rates": ["l_tax"], "empty": ["nothing"]})

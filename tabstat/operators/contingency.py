@@ -22,7 +22,8 @@ def crosstab(df: DataFrame, a: str, b: str, max_levels: int = 1000) -> DataFrame
                      F.coalesce(F.col(b).cast("string"), F.lit(MISSING_LEVEL)).alias("b"))
     counts = data.groupBy("a", "b").agg(F.count(F.lit(1)).alias("cnt"))
     cube = counts.cube("a", "b").agg(F.sum("cnt").alias("cnt"), F.grouping_id().alias("gid"))
-    cols = cube.where("gid = 2").agg(
+    # one more than allowed is enough to refuse, so the array never outgrows its limit
+    cols = cube.where("gid = 2").limit(max_levels + 1).agg(
         F.collect_list(F.struct(F.col("b").alias("b"), F.col("cnt").alias("col_total"))).alias("levels"),
         F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("n_cols"))
     side = cols.select(F.struct(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabstat.functions.labels import category_label
 from tabstat.plans.order_stats import quantile_table
-from tabstat.plans.stats import as_double, scalar_stats, unpivot_doubles
+from tabstat.plans.stats import as_double, scalar_stats, settle, unpivot_doubles
 
 
 def per_column(df: DataFrame, cols: Sequence[str], aggs, by: Sequence[str] = ()) -> DataFrame:
@@ -57,7 +57,7 @@ def frequencies(df: DataFrame, col: str, null_label: str | None = None) -> DataF
     if null_label is not None:
         level = F.coalesce(level, F.lit(null_label))
     counts = df.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    total = scalar_stats(df, [F.count(F.lit(1)).alias("n")])["n"]
+    total = scalar_stats(counts, [F.sum("n").alias("n")])["n"]  # from the counts, not from the rows again
     return counts.withColumn("pct", F.try_divide(F.col("n") * 100.0, total))
 
 
@@ -137,7 +137,11 @@ def box_summary(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), fact
     data = df.na.drop(subset=list(by)) if by else df
     x = F.col("value")
     outside = (x < F.col("lower_fence")) | (x > F.col("upper_fence"))
-    fences = q if by else F.broadcast(q)  # one row per column
+    if by:
+        fences = settle(q)
+        fences = q if fences is None else fences
+    else:
+        fences = F.broadcast(q)  # one line per column
     stats = unpivot_doubles(data, cols, by).join(fences, [*by, "variable"]).groupBy(*by, "variable").agg(
         F.min(F.when(~outside, x)).alias("whisker_low"), F.max(F.when(~outside, x)).alias("whisker_high"),
         F.sum(outside.cast("bigint")).alias("n_outliers"))
@@ -169,9 +173,16 @@ def profile_signs(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
 
 def within_variance(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Mean within-group variance (groups of more than one row) over total variance, in percent."""
-    long = unpivot_doubles(df.na.drop(subset=[label]), cols, [label])
-    groups = long.groupBy("variable", label).agg(F.count(F.lit(1)).alias("n"), F.var_samp("value").alias("v"))
-    within = groups.groupBy("variable").agg(F.avg(F.when(F.col("n") > 1, F.col("v"))).alias("mean_group_variance"))
-    total = long.groupBy("variable").agg(F.var_samp("value").alias("total_variance"))
-    return within.join(total, "variable").withColumn(
+    def aggs(name: str):
+        c = as_double(name)
+        return [F.count(c).alias("n"), F.avg(c).alias("m"), F.var_samp(c).alias("v"),
+                (F.var_pop(c) * F.count(c)).alias("css")]
+
+    groups = per_column(df.na.drop(subset=[label]), cols, aggs, [label]).where(F.col("n") > 0)
+    centre = groups.groupBy("variable").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("grand"))
+    d = F.col("m") - F.col("grand")
+    out = groups.join(F.broadcast(centre), "variable").groupBy("variable").agg(  # one line per column
+        F.avg(F.when(F.col("n") > 1, F.col("v"))).alias("mean_group_variance"),
+        F.try_divide(F.sum("css") + F.sum(F.col("n") * d * d), F.sum("n") - 1).alias("total_variance"))
+    return out.withColumn(
         "within_variance_pct", F.try_divide(F.col("mean_group_variance") * 100, F.col("total_variance")))

@@ -9,9 +9,10 @@ from operator import add
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabstat.operators.describe import per_column
 from tabstat.operators.linear import OlsResult, fit_metrics
 from tabstat.operators.supervised import Trained, class_metrics
-from tabstat.plans.stats import as_double, unpivot_doubles
+from tabstat.plans.stats import as_double
 
 
 def shap_linear(model: OlsResult, df: DataFrame, prefix: str = "phi_") -> DataFrame:
@@ -81,7 +82,8 @@ def permutation_importance(model: Trained, df: DataFrame, y: str, xs: Sequence[s
 
 def shap_summary(shap: DataFrame, xs: Sequence[str], prefix: str = "phi_") -> DataFrame:
     """(feature, mean, mean_abs, min, max) of the contributions."""
-    long = unpivot_doubles(shap, [prefix + x for x in xs])
-    return long.groupBy("variable").agg(F.avg("value").alias("mean"), F.avg(F.abs("value")).alias("mean_abs"),
-                                        F.min("value").alias("min"), F.max("value").alias("max")) \
-               .withColumn("feature", F.substring("variable", len(prefix) + 1, 1000)).drop("variable")
+    def aggs(c: str):
+        return [F.avg(c).alias("mean"), F.avg(F.abs(c)).alias("mean_abs"), F.min(c).alias("min"), F.max(c).alias("max")]
+
+    table = per_column(shap, [prefix + x for x in xs], aggs)
+    return table.withColumn("feature", F.substring("variable", len(prefix) + 1, 1000)).drop("variable")

@@ -14,8 +14,9 @@ from tabstat.functions.labels import SIGNIFICANCE
 from tabstat.functions.quantile_points import range_point, range_tail
 from tabstat.functions.tails import chi2_upper, f_upper, t_two_sided
 from tabstat.operators.derive import composite_key
-from tabstat.plans.order_stats import average_rank, quantile_table, running_counts, value_counts
-from tabstat.plans.stats import as_double, bounded_rows, local_table, unpivot_doubles
+from tabstat.operators.describe import per_column
+from tabstat.plans.order_stats import attach_by_value, average_rank, quantile_table, running_counts, value_counts
+from tabstat.plans.stats import as_double, bounded_rows, local_table, settle
 
 
 def _one_sample(df: DataFrame, x, shift) -> DataFrame:
@@ -44,12 +45,13 @@ def t_paired(df: DataFrame, pre: str, post: str) -> DataFrame:
 
 def _group_moments(df: DataFrame, measures: Sequence[str], group: str) -> DataFrame:
     """(variable, g, n, m, v, css) per measure and group, complete cases per measure."""
-    data = df.na.drop(subset=[group]).select(F.col(group).alias("g"), *[F.col(c) for c in measures if c != group])
-    long = unpivot_doubles(data, measures, ["g"])
-    out = long.groupBy("variable", "g").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"),
-        F.var_pop("value").alias("vp"))
-    return out.withColumn("css", F.col("vp") * F.col("n")).drop("vp")
+    def aggs(name: str):
+        c = as_double(name)
+        return [F.count(c).alias("n"), F.avg(c).alias("m"), F.var_samp(c).alias("v"),
+                (F.var_pop(c) * F.count(c)).alias("css")]
+
+    data = df.na.drop(subset=[group]).select(F.col(group).alias("g"), *measures)
+    return per_column(data, measures, aggs, ["g"]).where(F.col("n") > 0)
 
 
 def t_two(df: DataFrame, y: str, group: str, equal_var: bool | None = None) -> DataFrame:
@@ -115,8 +117,11 @@ def levene(df: DataFrame, y: str, factors: Sequence[str]) -> DataFrame:
     """Median-centred Levene test over the groups of one or more factors; p is 1 below two groups."""
     key = F.col(factors[0]) if len(factors) == 1 else composite_key(factors)
     data = df.select(key.alias("g"), as_double(y).alias("y")).na.drop()
-    medians = quantile_table(data, ["y"], [0.5], ["g"]).select("g", F.col("q_0").alias("med"))
-    spread = data.join(medians, "g").select("g", F.abs(F.col("y") - F.col("med")).alias("z"))
+    medians = quantile_table(data, ["y"], [0.5], ["g"]).select("g", "n", F.col("q_0").alias("med"))
+    few = settle(medians)
+    joined = data.join(few, "g") if few is not None else \
+        attach_by_value(data, medians, "g", "n", [], spread="y", total=data.count())
+    spread = joined.select("g", F.abs(F.col("y") - F.col("med")).alias("z"))
     out = _f_table(_group_moments(spread, ["z"], "g"))
     p = f_upper(F.col("f"), F.col("df_between"), F.col("df_within"))
     few = F.col("k") < 2
@@ -199,17 +204,17 @@ def kruskal(df: DataFrame, measures: Sequence[str], group: str) -> DataFrame:
     return out.withColumn("p_value", chi2_upper(F.col("h"), F.col("dof")))
 
 
-def level_pairs(groups: DataFrame, fields: Sequence[str], by: Sequence[str] = (), max_levels: int = 500) -> DataFrame:
+def level_pairs(groups: DataFrame, fields: Sequence[str], by: Sequence[str] = (), max_levels: int = 2000) -> DataFrame:
     """All pairs a < b of the level rows, per ``by``, with k, total n and within sum of squares.
 
-    Works on one array of levels whose length is checked, not on a self join.
+    The number of level rows is checked first; the pairs come from one array, not from a self join.
     """
+    rows = bounded_rows(groups, max_levels, "group levels")
+    groups = local_table(groups.sparkSession, rows, groups.schema)
     row = groups.groupBy(*by).agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("levels"), F.count(F.lit(1)).alias("k"),
         F.sum("n").alias("total"), F.sum("css").alias("ss_within"))
-    levels = F.when(F.col("k") > max_levels, F.raise_error(F.lit(f"more than {max_levels} levels"))) \
-              .otherwise(F.col("levels"))
-    first = row.select("*", F.posexplode(levels).alias("i", "a"))
+    first = row.select("*", F.posexplode("levels").alias("i", "a"))
     rest = F.slice("levels", F.col("i") + 2, F.greatest(F.col("k").cast("int") - F.col("i") - 1, F.lit(0)))
     return first.select(*by, "k", "total", "ss_within", "a", F.explode(rest).alias("b"))
 

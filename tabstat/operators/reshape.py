@@ -38,7 +38,7 @@ def label_or_default(df: DataFrame, label: str, default: str = NOT_CLUSTERED) ->
 
 def value_pairs(levels: DataFrame, col: str, max_levels: int = 1000) -> DataFrame:
     """All unordered pairs (a < b) of a level table, from one array of checked length."""
-    row = levels.select(col).na.drop().distinct().agg(F.sort_array(F.collect_list(col)).alias("v"))
+    row = levels.select(col).na.drop().distinct().limit(max_levels + 1).agg(F.sort_array(F.collect_list(col)).alias("v"))
     v = F.when(F.size("v") > max_levels, F.raise_error(F.lit(f"more than {max_levels} levels"))).otherwise(F.col("v"))
     first = row.select("v", F.posexplode(v).alias("i", "a"))
     return first.select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b"))

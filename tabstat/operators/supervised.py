@@ -59,19 +59,31 @@ def fill_target(df: DataFrame, y: str) -> DataFrame:
     return df.withColumn(y, F.coalesce(as_double(y), m))
 
 
-def encode_target(df: DataFrame, y: str, new: str = "label") -> tuple[DataFrame, list[str]]:
+def encode_target(df: DataFrame, y: str, new: str = "label", max_levels: int = 1000) -> tuple[DataFrame, list[str]]:
     """Classification target: null rows dropped, labels numbered in alphabetical order."""
+    check_levels(df, [y], max_levels)
     data = df.where(F.col(y).isNotNull()).withColumn(y, F.col(y).cast("string"))
     model = StringIndexer(inputCol=y, outputCol=new, stringOrderType="alphabetAsc").fit(data)
     return model.transform(data), list(model.labels)
 
 
+def check_levels(df: DataFrame, cols: Sequence[str], max_levels: int) -> None:
+    """Refuse columns whose level table would not fit the driver (counted by a sketch)."""
+    if not cols:
+        return
+    row = df.agg(*[F.approx_count_distinct(c).alias(f"d_{i}") for i, c in enumerate(cols)]).first()
+    wide = [c for c, d in zip(cols, row) if d > 1.2 * max_levels]
+    if wide:
+        raise ValueError(f"more than {max_levels} levels in {wide}; raise the limit or recode first")
+
+
 # --- preprocessing and models ----------------------------------------------------
 
 def preprocessor(train: DataFrame, xs: Sequence[str], max_levels: int = 1000) -> list:
     """Stages fitted on the training part only: mean or mode filling, scaling, one-hot."""
     numeric = [x for x in xs if x in columns_of(train, ("numeric",))]
     text = [x for x in xs if x in columns_of(train, ("categorical",))]
+    check_levels(train, text, max_levels)
     stages, inputs = [], []
     if numeric:
         casts = ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{c}__n`" for c in numeric)

@@ -12,14 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabstat.plans.stats import as_double
+from tabstat.plans.stats import as_double, settle
 
 
 def range_count(df: DataFrame) -> int:
@@ -115,39 +113,66 @@ def average_rank():
     return F.col("below") + (F.col("ties") + 1) / F.lit(2.0)
 
 
+ACCURACY = 10_000  # rank error of the sketch is at most 1 / ACCURACY
+
+
 def quantile_table(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                   by: Sequence[str] = ()) -> DataFrame:
+                   by: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
     """(by..., variable, n, q_0..q_k): exact quantiles, linear interpolation.
 
-    Row counts per range show which ranges hold the wanted positions; only the rows of
-    those few ranges are shuffled and ordered.
+    ``percentile_approx`` has a proven rank error, so it gives for every probability an
+    interval that must hold the exact value. A second pass keeps the values inside those
+    intervals (a few rows in ten thousand) and only counts the rows between them; the
+    exact positions follow from the counts. Neither pass shuffles the table.
     """
-    keys = [*by, "variable"]
-    rows = ranged_values(df, cols, by)
-    ranges = range_offsets(rows.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("in_range")), keys)
-    spots = [(F.floor((F.col("n") - 1) * F.lit(float(p))), F.ceil((F.col("n") - 1) * F.lit(float(p)))) for p in probs]
-
-    def holds(spot, below, size):
-        return (F.col(below) <= spot) & (spot < F.col(below) + F.col(size))
-
-    wanted = reduce(or_, [holds(s, "before", "in_range") for pair in spots for s in pair])
-    targets = ranges.where(wanted).drop("in_range")
-    # without groups: at most two ranges per column and probability
-    picked = rows.join(targets if by else F.broadcast(targets), [*keys, "range"])
-    counts = picked.groupBy(*keys, "range", "value").agg(
-        F.count(F.lit(1)).alias("ties"), F.first("before").alias("before"), F.first("n").alias("n"))
-    through = F.sum("ties").over(Window.partitionBy(*keys, "range").orderBy("value"))
-    placed = counts.withColumn("below", F.col("before") + through - F.col("ties"))
+    keys, margin = [*by, "variable"], 3.0 / accuracy
+    data = df.select(*by, *[as_double(c).alias(c) for c in cols])
+    data = data.na.drop(subset=list(by)) if by else data
+    ends = [e for p in probs for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = data.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows__"), *[F.count(c).alias(f"n__{i}") for i, c in enumerate(cols)],
+        *[F.percentile_approx(c, ends, accuracy).alias(f"e__{i}") for i, c in enumerate(cols)])
+    sketch = sketch.select(*by, "rows__", *[f"n__{i}" for i in range(len(cols))], *[F.get(f"e__{i}", j).alias(f"e__{i}_{j}")
+                                            for i in range(len(cols)) for j in range(len(ends))])
+    if by:
+        few = settle(sketch)
+        data = data.join(few, list(by)) if few is not None else \
+            attach_by_value(data, sketch, by[-1], "rows__", by[:-1], spread=cols[0], total=data.count())
+        limits = [[F.col(f"e__{i}_{j}") for j in range(len(ends))] for i in range(len(cols))]
+        sizes = [F.col(f"n__{i}") for i in range(len(cols))]
+    else:
+        row = sketch.first()
+        limits = [[F.lit(row[f"e__{i}_{j}"]) for j in range(len(ends))] for i in range(len(cols))]
+        sizes = [F.lit(row[f"n__{i}"]) for i in range(len(cols))]
+
+    cells = []
+    for i, c in enumerate(cols):
+        short = sizes[i] <= 2 * accuracy  # too few rows for the margin to span a rank: keep them all
+        inside, slot = short, F.lit(0)
+        for j, p in enumerate(probs):
+            above = F.lit(True) if p - margin <= 0 else F.col(c) >= limits[i][2 * j]
+            below = F.lit(True) if p + margin >= 1 else F.col(c) <= limits[i][2 * j + 1]
+            inside = inside | (above & below)
+            slot = slot + above.cast("int") + (~below).cast("int")  # grows with the value
+        slot = F.when(short, 0).otherwise(slot)
+        cells.append(F.struct(F.lit(c).alias("variable"), F.when(F.col(c).isNotNull(), slot).alias("range"),
+                              F.when(inside, F.col(c)).alias("value")))
+    counts = data.select(*by, F.inline(F.array(*cells))).where(F.col("range").isNotNull()) \
+                 .groupBy(*keys, "range", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    placed = running_counts(counts, keys)
+
     aggs = [F.first("n").alias("n")]
-    for i, pair in enumerate(spots):
-        for name, spot in zip(("lo", "hi"), pair):
-            aggs.append(F.max(F.when(holds(spot, "below", "ties"), F.col("value"))).alias(f"{name}_{i}"))
+    for i, p in enumerate(probs):
+        for name, round_off in (("lo", F.floor), ("hi", F.ceil)):
+            spot = round_off((F.col("n") - 1) * F.lit(float(p)))
+            here = (F.col("below") <= spot) & (spot < F.col("below") + F.col("ties"))
+            aggs.append(F.max(F.when(here, F.col("value"))).alias(f"{name}_{i}"))
     out = placed.groupBy(*keys).agg(*aggs)
     cols_out = []
     for i, p in enumerate(probs):
         pos = (F.col("n") - 1) * F.lit(float(p))
-        frac = pos - F.floor(pos)
-        cols_out.append((F.col(f"lo_{i}") + (F.col(f"hi_{i}") - F.col(f"lo_{i}")) * frac).alias(f"q_{i}"))
+        lo, hi = (F.coalesce(f"{x}_{i}", F.raise_error(F.lit("quantile outside its interval")).cast("double")) for x in ("lo", "hi"))
+        cols_out.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(f"q_{i}"))
     return out.select(*keys, "n", *cols_out)
 
 

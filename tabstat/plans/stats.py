@@ -24,12 +24,12 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct("*").alias("stats")).scalar()
 
 
-def local_table(spark, rows: Sequence[tuple | Row], schema: str) -> DataFrame:
+def local_table(spark, rows: Sequence[tuple | Row], schema: str | T.StructType) -> DataFrame:
     """A result table whose size depends on columns or levels, never on rows.
 
     Built from an Arrow table, it stays a local relation without a Python stage.
     """
-    fields = T.StructType.fromDDL(schema).fields
+    fields = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields
     data = pa.table({f.name: pa.array([r[i] for r in rows]) for i, f in enumerate(fields)})
     df = spark.createDataFrame(data)
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
@@ -43,6 +43,20 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list[Row]:
     return rows
 
 
+BROADCAST_ROWS = 100_000
+
+
+def settle(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame | None:
+    """A small result as a broadcast local table, or None when it has more than ``limit`` rows.
+
+    The size is checked before anything is broadcast; the caller has another way beyond it.
+    """
+    rows = table.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return F.broadcast(local_table(table.sparkSession, rows, table.schema))
+
+
 def as_double(name: str) -> Column:
     return F.col(name).cast("double")
 
