@@ -35,7 +35,8 @@ def drop_columns_q(spark, sf):
     return co.drop_columns(Tables(spark, sf).customer, ["c_name", "c_nationkey", "c_acctbal", "score_absent"])
 
 
-@query("column_kinds")
+@query("column_kinds", """SELECT * FROM (VALUES ('numeric', 'o_orderkey'), ('numeric', 'o_custkey'), ('numeric', 'o_totalprice'), ('categorical', 'o_orderstatus'),
+ ('categorical', 'o_orderpriority'), ('date', 'o_orderdate')) k(kind, "column"), (SELECT count(*) AS n_rows FROM orders)""")
 def column_kinds_q(spark, sf):
     df = Tables(spark, sf).orders
     n = df.count()

@@ -91,3 +91,15 @@ def fisher_z_q(spark, sf):
  UNION ALL SELECT 'l_tax', round(corr(l_tax, l_extendedprice), 8) + 0.0 FROM lineitem) ORDER BY abs(r) DESC""")
 def rank_correlates_q(spark, sf):
     return rounded(cr.rank_correlates(Tables(spark, sf).lineitem, "l_extendedprice", ["l_quantity", "l_discount", "l_tax"]), 8)
+
+
+WIDE = [f"d{i}" for i in range(30)]
+WIDE_SQL = "WITH v AS (SELECT " + ", ".join(f"CASE WHEN (vec_id + {i}) % 11 = 0 THEN NULL ELSE embedding[{i + 1}]::DOUBLE END AS d{i}" for i in range(30)) + " FROM embeddings) " + \
+    " UNION ALL ".join(f"SELECT 'd{i}' AS var1, 'd{j}' AS var2, regr_count(d{i}, d{j})::BIGINT AS n, round(corr(d{i}, d{j}), 8) + 0.0 AS r FROM v" for i in range(30) for j in range(i + 1, 30))
+
+
+@query("pearson_wide", WIDE_SQL)
+def pearson_wide_q(spark, sf):
+    e = Tables(spark, sf).embeddings
+    df = e.select(*[F.when((F.col("vec_id") + i) % 11 != 0, F.get("embedding", i).cast("double")).alias(f"d{i}") for i in range(30)])
+    return rounded(cr.correlate(df, WIDE), 8)

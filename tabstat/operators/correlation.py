@@ -11,12 +11,24 @@ from pyspark.sql import functions as F
 
 from tabstat.functions.labels import significance_label
 from tabstat.functions.tails import normal_two_sided, t_two_sided
-from tabstat.plans.moments import correlation, moment_matrix
+from tabstat.plans.moments import WIDE, correlation, moment_matrix, pair_sums
 from tabstat.plans.order_stats import attach_by_value, average_rank, running_counts, sketch_ranges
 from tabstat.plans.stats import as_double, local_table
 
 
+def _pearson_wide(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    s = {k: F.col(k) for k in ("n", "sx", "sy", "sxx", "syy", "sxy")}
+    vx, vy = s["sxx"] - s["sx"] * s["sx"] / s["n"], s["syy"] - s["sy"] * s["sy"] / s["n"]
+    r = F.try_divide(s["sxy"] - s["sx"] * s["sy"] / s["n"], F.sqrt(vx * vy))
+    r = F.when((vx > 0) & (vy > 0), F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r))
+    names = F.array(*[F.lit(c) for c in cols])
+    return pair_sums(df, cols).where("i < j AND n > 0").select(
+        F.get(names, "i").alias("var1"), F.get(names, "j").alias("var2"), F.col("n").cast("bigint").alias("n"), r.alias("r"))
+
+
 def _pearson(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
+    if len(cols) >= WIDE and not by:
+        return _pearson_wide(df, cols)
     aggs, cells = [], []
     for i, (a, b) in enumerate(combinations(cols, 2)):
         x, y = as_double(a), as_double(b)
@@ -26,12 +38,26 @@ def _pearson(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame
     return df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*cells)))
 
 
+def _centred_ranks(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, <value>, c_<value>, d_<value>): rows at a value and its average rank minus the mean rank."""
+    placed = running_counts(counts, keys)
+    return placed.select(*keys, F.col("value").alias(value), F.col("cnt").alias("c_" + value),
+                         (average_rank() - (F.col("n") + 1) / F.lit(2.0)).alias("d_" + value))
+
+
+def _rank_r(w, dx, dy):
+    return F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy)))
+
+
 def _spearman(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Pearson on average ranks, each pair on its own complete rows."""
     data = df.select(*by, *[as_double(c).alias(c) for c in cols])
+    data = data.na.drop(subset=list(by)) if by else data
     ranges = sketch_ranges(data, cols)
     data = ranges.apply(data)
     total = ranges.rows if ranges.tied else None
+    if ranges.complete:
+        return _spearman_complete(data, cols, by, total)
     pairs = list(combinations(cols, 2))
     cells = F.array(*[
         F.struct(F.lit(i).alias("pair"), F.col(a).alias("x"), F.col(a + "__range").alias("xr"),
@@ -44,21 +70,32 @@ def _spearman(df: DataFrame, cols: Sequence[str], by: Sequence[str]) -> DataFram
     def ranks(value: str) -> DataFrame:
         counts = points.groupBy(*keys, F.col(value + "r").alias("range"), F.col(value).alias("value")) \
                        .agg(F.sum("cnt").alias("cnt"))
-        placed = running_counts(counts, keys)
-        return placed.select(*keys, F.col("value").alias(value), F.col("cnt").alias("c_" + value),
-                             (average_rank() - (F.col("n") + 1) / F.lit(2.0)).alias("d_" + value))
+        return _centred_ranks(counts, keys, value)
 
     step = attach_by_value(points, ranks("x"), "x", "c_x", keys, spread="y", total=total)
     step = attach_by_value(step, ranks("y"), "y", "c_y", keys, spread="x", total=total)
-    w = F.col("cnt")
-    dx, dy = F.col("d_x"), F.col("d_y")
-    out = step.groupBy(*keys).agg(
-        F.sum(w).alias("n"),
-        F.try_divide(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx) * F.sum(w * dy * dy))).alias("r"))
+    out = step.groupBy(*keys).agg(F.sum("cnt").alias("n"), _rank_r(F.col("cnt"), F.col("d_x"), F.col("d_y")).alias("r"))
     first, second = (F.array(*[F.lit(p[i]) for p in pairs]) for i in (0, 1))
     return out.select(*by, F.get(first, "pair").alias("var1"), F.get(second, "pair").alias("var2"), "n", "r")
 
 
+def _spearman_complete(data: DataFrame, cols: Sequence[str], by: Sequence[str], total: int | None) -> DataFrame:
+    """Without nulls a column has one rank for all its pairs: rank p columns, not p(p-1)/2 pairs."""
+    rows = data.select(*by, *cols)
+    for i, c in enumerate(cols):
+        counts = data.groupBy(*by, F.col(c + "__range").alias("range"), F.col(c).alias("value")) \
+                     .agg(F.count(F.lit(1)).alias("cnt"))
+        rows = attach_by_value(rows, _centred_ranks(counts, list(by), c), c, "c_" + c, list(by),
+                               spread=cols[i - 1], total=total).drop("c_" + c)
+    aggs, out = [], []
+    for i, (a, b) in enumerate(combinations(cols, 2)):
+        aggs.append(F.struct(F.count(F.lit(1)).alias("n"),
+                             _rank_r(F.lit(1.0), F.col("d_" + a), F.col("d_" + b)).alias("r")).alias(f"p_{i}"))
+        out.append(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+                            F.col(f"p_{i}.n").alias("n"), F.col(f"p_{i}.r").alias("r")))
+    return rows.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*out)))
+
+
 def correlate(df: DataFrame, cols: Sequence[str], method: str = "pearson", by: Sequence[str] = ()) -> DataFrame:
     """(by..., var1, var2, n, r) for every pair, on pairwise complete rows."""
     return {"pearson": _pearson, "spearman": _spearman}[method](df, cols, list(by))

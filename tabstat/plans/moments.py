@@ -7,12 +7,13 @@ because each task ships a single partial row per group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,9 +87,52 @@ def from_row(row, cols: Sequence[str], prefix: str = "") -> Moments:
     return Moments(tuple(cols), n, mean, cross)
 
 
+def pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(i, j, n, sx, sy, sxx, syy, sxy) of every column pair i <= j on its complete rows.
+
+    For many columns: thousands of aggregate expressions no longer compile into one
+    stage, so each partition multiplies its Arrow batches and sends one small matrix.
+    Columns are centred on their means first, which keeps the sums stable.
+    """
+    x = [as_double(c) for c in cols]
+    centre = df.agg(*[F.avg(c) for c in x]).first()
+    data = df.select(*[(c - F.lit(float(m or 0.0))).alias(f"x{i}") for i, (c, m) in enumerate(zip(x, centre))])
+    p = len(cols)
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, p, p))
+        for pdf in batches:
+            v = pdf.to_numpy(dtype=float)
+            m = (~np.isnan(v)).astype(float)
+            v = np.where(m > 0, v, 0.0)
+            sx, sxx = v.T @ m, (v * v).T @ m
+            total += np.stack([m.T @ m, sx, sx.T, sxx, sxx.T, v.T @ v])
+        i, j = np.triu_indices(p)
+        yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32")} | {k: total[t, i, j] for t, k in enumerate(names)})
+
+    parts = data.mapInPandas(run, "i int, j int, " + ", ".join(f"{k} double" for k in names))
+    return parts.groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in names])
+
+
+WIDE = 24  # columns from which the batch products take over
+
+
 def moment_matrix(df: DataFrame, cols: Sequence[str]) -> Moments:
-    """One pass, one row to the driver."""
-    return from_row(moments(df, cols).first(), cols)
+    """One pass, one row (or one small matrix) to the driver."""
+    if len(set(cols)) < WIDE:
+        return from_row(moments(df, cols).first(), cols)
+    data = complete(df, cols)
+    mean0 = data.agg(*[F.avg(as_double(c)) for c in cols]).first()
+    p = len(cols)
+    shift, cross, n = np.zeros(p), np.zeros((p, p)), 0
+    for r in pair_sums(data, cols).collect():  # p (p + 1) / 2 lines
+        n = int(r["n"])
+        if r["i"] == r["j"]:
+            shift[r["i"]] = r["sx"]
+        cross[r["i"], r["j"]] = cross[r["j"], r["i"]] = r["sxy"]
+    shift /= max(n, 1)
+    return Moments(tuple(cols), n, np.array([m or 0.0 for m in mean0]) + shift, cross - n * np.outer(shift, shift))
 
 
 def moment_matrices(df: DataFrame, sets: Sequence[Sequence[str]]) -> list[Moments]:

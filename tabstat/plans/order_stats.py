@@ -34,6 +34,7 @@ class Ranges:
     splits: list[list[float]]
     rows: int
     tied: bool  # some value holds more than about one range
+    complete: bool  # no column has a null
 
     def apply(self, df: DataFrame, suffix: str = "__range") -> DataFrame:
         """Add ``<col>__range``: a range number that grows with the (double) column, null for null."""
@@ -50,17 +51,17 @@ def sketch_ranges(df: DataFrame, cols: Sequence[str]) -> Ranges:
     """One pass without a shuffle of rows: each task sends one small mergeable sketch per column."""
     k = range_count(df)
     ranks = F.array(*[F.lit(i / k) for i in range(1, k)])
-    sketch = df.agg(F.count(F.lit(1)).alias("rows"), *[
+    sketch = df.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"n_{i}") for i, c in enumerate(cols)], *[
         F.when(F.count(c) > 0, F.kll_sketch_agg_double(as_double(c), SKETCH_SIZE)).alias(f"e_{i}")
         for i, c in enumerate(cols)])
-    row = sketch.select("rows", *[F.kll_sketch_get_quantile_double(f"e_{i}", ranks).alias(f"e_{i}")
+    row = sketch.select("rows", *[f"n_{i}" for i in range(len(cols))], *[F.kll_sketch_get_quantile_double(f"e_{i}", ranks).alias(f"e_{i}")
                                   for i in range(len(cols))]).first()
     splits, tied = [], False
     for i in range(len(cols)):
         edges = [float(e) for e in (row[f"e_{i}"] or [0.0])]
         tied = tied or len(set(edges)) < len(edges)
         splits.append([float("-inf"), *sorted(set(edges)), float("inf")])
-    return Ranges(tuple(cols), splits, row["rows"], tied)
+    return Ranges(tuple(cols), splits, row["rows"], tied, all(row[f"n_{i}"] == row["rows"] for i in range(len(cols))))
 
 
 def with_ranges(df: DataFrame, cols: Sequence[str], suffix: str = "__range") -> DataFrame:

@@ -149,6 +149,16 @@ def test_perfect_and_constant_correlations(spark):
     assert cr.compare_correlations(df.withColumn("g", (F.col("x") < 3).cast("string")), "g", ["x", "y"]).count() == 0
 
 
+def test_many_columns_take_the_batch_products(spark):
+    from tabstat.plans.moments import from_row, moment_matrix, moments
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame(rng.normal(1e4, 1, (500, 26)), columns=[f"v{i}" for i in range(26)])
+    df = spark.createDataFrame(pdf).repartition(5).withColumn("v3", F.when(F.col("v5") > 1e4 - 2, F.col("v3")))
+    cols = list(pdf.columns)
+    wide, want = moment_matrix(df, cols), from_row(moments(df, cols).first(), cols)
+    assert wide.n == want.n and np.allclose(wide.mean, want.mean) and np.allclose(wide.cross, want.cross, atol=1e-6)
+
+
 def test_path_model_recovers_and_skips(demo):
     df, pdf = demo
     got = {(r["src"], r["dst"]): r for r in pa.path_model(df.withColumn("empty", F.when(F.col("id") < 2, 1.0)), [
