@@ -93,8 +93,10 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: str,
     # one struct key: equal also where a series key is null, and shared by window, sum and join
     data = data.withColumn("chunk__", F.struct(*keys, "pos____range"))
     chunk = Window.partitionBy("chunk__").orderBy(order_by)
+    # the next value is the last one of the reversed order: a frame that only grows costs one step per row
+    reverse = Window.partitionBy("chunk__").orderBy(F.col(order_by).desc())
     back = chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = chunk.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = reverse.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     data = data.withColumn("rn__", F.row_number().over(chunk))
 
     def seen(c: str) -> Column:
@@ -105,9 +107,9 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: str,
         F.count(F.lit(1)).alias("len__"),
         *[F.max(seen(c)).alias(f"last_{i}") for i, c in enumerate(cols)],
         *[F.min(seen(c)).alias(f"first_{i}") for i, c in enumerate(cols)])
-    series = Window.partitionBy(*[F.col("chunk__")[k] for k in keys]).orderBy(F.col("chunk__")["pos____range"])
-    before = series.rowsBetween(Window.unboundedPreceding, -1)
-    after = series.rowsBetween(1, Window.unboundedFollowing)
+    series, spot = Window.partitionBy(*[F.col("chunk__")[k] for k in keys]), F.col("chunk__")["pos____range"]
+    before = series.orderBy(spot).rowsBetween(Window.unboundedPreceding, -1)
+    after = series.orderBy(spot.desc()).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum("len__").over(before), F.lit(0)).cast("double")
     summary = summary.withColumn("start__", start)
 
@@ -120,12 +122,12 @@ def interpolate(df: DataFrame, cols: Sequence[str], order_by: str,
     carry = summary.select(
         "chunk__", "start__",
         *[F.last(f"last_{i}", ignorenulls=True).over(before).alias(f"prev_{i}") for i in range(len(cols))],
-        *[F.first(f"first_{i}", ignorenulls=True).over(after).alias(f"next_{i}") for i in range(len(cols))])
+        *[F.last(f"first_{i}", ignorenulls=True).over(after).alias(f"next_{i}") for i in range(len(cols))])
 
     local = {}
     for i, c in enumerate(cols):
         local[f"lo_{i}"] = F.last(seen(c), ignorenulls=True).over(back)
-        local[f"hi_{i}"] = F.first(seen(c), ignorenulls=True).over(ahead)
+        local[f"hi_{i}"] = F.last(seen(c), ignorenulls=True).over(ahead)
     data = data.withColumns(local)
     joined = data.join(carry, "chunk__", "left")
     filled = {}
