@@ -101,9 +101,8 @@ def preprocessor(train: DataFrame, xs: Sequence[str], max_levels: int = 1000) ->
         stages.append(SQLTransformer(statement=f"SELECT *, {', '.join(fills)} FROM __THIS__"))
         stages.append(StringIndexer(inputCols=[c + "__t" for c in text], outputCols=[c + "__x" for c in text],
                                     handleInvalid="keep", stringOrderType="alphabetAsc"))
-        # the last slot is the one for unknown levels and is dropped: unknown means all zero
-        stages.append(OneHotEncoder(inputCols=[c + "__x" for c in text], outputCols=[c + "__o" for c in text],
-                                    dropLast=False, handleInvalid="keep"))
+        # a level not seen in training has its own slot, which is 0 in every training row and so adds nothing
+        stages.append(OneHotEncoder(inputCols=[c + "__x" for c in text], outputCols=[c + "__o" for c in text], dropLast=False))
         inputs += [c + "__o" for c in text]
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return stages
@@ -121,7 +120,7 @@ def estimator(model: str, task: str, classes: int = 2, seed: int = 42):
     base = {"logistic": lambda: LogisticRegression(maxIter=1000, regParam=0.0, family="auto"),
             "forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed),
             "boosting": lambda: GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=seed),
-            "svm": lambda: LinearSVC(maxIter=100, regParam=0.01)}[model]()
+            "svm": lambda: LinearSVC(maxIter=100, regParam=0.01, tol=1e-4)}[model]()
     return OneVsRest(classifier=base) if classes > 2 and model in ("boosting", "svm") else base
 
 
@@ -376,11 +375,14 @@ def kfold(df: DataFrame, y: str, xs: Sequence[str], model: str, task: str, k: in
             place = sum(((u >= r[f"q_{i}"]).cast("int") for i in range(k - 1)), F.lit(0))
             fold = F.when(F.col(stratify) == r[stratify], place).otherwise(fold)
     data = df.withColumn("fold__", fold).persist()
-    out = None
-    for i in range(k):
-        fitted = train(data.where(F.col("fold__") != i), y, xs, model, task, seed=seed)
-        scored = fitted.predict(data.where(F.col("fold__") == i))
-        row = fit_metrics(scored, y, "prediction") if task == "regression" else class_metrics(scored, y, "prediction")
-        row = row.withColumn("fold", F.lit(i))
-        out = row if out is None else out.unionByName(row)
-    return out
+    rows = []
+    try:
+        for i in range(k):
+            fitted = train(data.where(F.col("fold__") != i), y, xs, model, task, seed=seed)
+            scored = fitted.predict(data.where(F.col("fold__") == i))
+            row = fit_metrics(scored, y, "prediction") if task == "regression" else class_metrics(scored, y, "prediction")
+            row = row.withColumn("fold", F.lit(i))
+            rows.append(row.first())  # one line of metrics per fold
+    finally:
+        data.unpersist()
+    return local_table(df.sparkSession, rows, row.schema)

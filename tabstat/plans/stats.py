@@ -74,9 +74,13 @@ def unpivot_doubles(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """Give every core a share of rows that an iterative fit will read many times.
+    """Give every core a fair share of rows that an iterative fit will read many times.
 
-    Only where the source has fewer files than cores; a large table is left as it is.
+    Only where the source has fewer files than cores: some 20,000 rows per task, so that
+    a short table is not cut into many tasks either. A large table is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    parts = min(cores, -(-df.count() // 20_000) or 1)
+    return df.coalesce(1) if parts == 1 else df.repartition(parts)

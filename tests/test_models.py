@@ -194,6 +194,34 @@ def test_penalized_logistic_is_at_its_optimum(demo):
     assert np.abs(gradient).max() < 0.05 and abs((p - pdf.bin).sum()) < 0.05
 
 
+def test_classes_names_and_unseen_levels(demo):
+    df, pdf = demo
+    cut = df.withColumn("band", F.when(F.col("a") < 9, "low").when(F.col("a") < 11, "mid").otherwise("top"))
+    m = sv.train(cut.where("c <> 'Z'"), "band", ["a", "b", "c"], "svm", "classification")
+    assert m.labels == ["low", "mid", "top"]
+    scored = m.predict(cut)
+    assert scored.count() == len(pdf) and set(scored.select("prediction").distinct().toPandas().prediction) <= set(m.labels)
+    report = sv.class_report(scored, "band", "prediction").toPandas().set_index("class")
+    assert report.support["macro avg"] == len(pdf) and report.recall["low"] > 0.7
+    forest = sv.train(cut, "y", ["a", "b", "c"], "forest", grid={"numTrees": [5, 10], "maxDepth": [2, 4]}, folds=2)
+    names = sv.feature_names(forest)
+    assert names == ["a", "b", "c_X", "c_Y", "c_Z", "c_unknown"]
+    assert len(names) == forest.model.transform(cut).first()["features"].size and forest.best["maxDepth"] in (2, 4)
+    top = sv.importances(df.sparkSession, forest).toPandas()
+    assert top.importance.sum() == pytest.approx(1) and top.feature[0] == "a"
+
+
+def test_nulls_in_features_and_target(demo):
+    df, pdf = demo
+    holes = df.withColumn("a", F.when(F.col("id") % 5 > 0, F.col("a"))).withColumn("c", F.when(F.col("id") % 7 > 0, F.col("c")))
+    m = sv.train(holes.withColumn("y", F.when(F.col("id") % 9 > 0, F.col("y"))), "y", ["a", "b", "c"], "linear")
+    assert m.predict(holes).where("prediction IS NULL").count() == 0
+    k = sv.train(holes.withColumn("d", F.when(F.col("id") % 9 > 0, F.col("d"))), "d", ["a", "b"], "logistic", "classification")
+    assert k.labels == ["p", "q"] and k.predict(holes).where("score NOT BETWEEN 0 AND 1").count() == 0
+    folds = sv.kfold(holes, "y", ["a", "c"], "linear", "regression", 3, "id").toPandas()
+    assert folds.n.sum() == len(pdf) and sorted(folds.fold) == [0, 1, 2]
+
+
 # --- multilevel ---------------------------------------------------------------------
 
 def dense_reml(y, x, v):
