@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from tabstat.catalog.registry import Tables, query, rounded
 from tabstat.operators import bayes as by
 from tabstat.operators import multilevel as ml
+from tabstat.operators.reshape import DIMENSIONS
 
-DIMS = {"Trocas materiais": ["o_totalprice", "o_month"], "Subjetividades": ["o_status"]}
+DIMS = {DIMENSIONS[0]: ["o_totalprice", "o_month"], DIMENSIONS[1]: ["o_status"]}
 
 
 def nested_orders(spark, sf):

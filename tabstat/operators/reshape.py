@@ -13,6 +13,9 @@ from tabstat.plans.stats import local_table
 # label of rows that were left out of a clustering, fixed value
 NOT_CLUSTERED = "Não_Clusterizado"
 
+# the four dimensions of the composite page in their order, fixed values
+DIMENSIONS = ("Trocas materiais", "Subjetividades", "Estrutura/Instituições", "Relações interpessoais")
+
 
 def join_pairs(a: DataFrame, b: DataFrame, on: Sequence[str] = ("var1", "var2"), how: str = "inner") -> DataFrame:
     """Equi-join of two result tables on the pair of variables (``inner`` or ``full``)."""
@@ -44,7 +47,7 @@ def value_pairs(levels: DataFrame, col: str, max_levels: int = 1000) -> DataFram
     return first.select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b"))
 
 
-def dimension_table(metrics: DataFrame, dims: Sequence[str], name: str = "Grupo", metric: str = "metrica") -> DataFrame:
+def dimension_table(metrics: DataFrame, dims: Sequence[str] = DIMENSIONS, name: str = "Grupo", metric: str = "metrica") -> DataFrame:
     """Every dimension in its fixed order with its first metric, null where there is none."""
     order = local_table(metrics.sparkSession, list(enumerate(dims)), f"ord int, {name} string")
     first = metrics.groupBy(name).agg(F.first(metric).alias(metric))

@@ -37,6 +37,35 @@ def test_quantiles_with_ties_and_a_hot_group(skewed):
                 assert row["n"] == len(v) and np.allclose([row[f"q_{i}"] for i in range(len(probs))], v.quantile(probs))
 
 
+def test_beyond_the_broadcast_limit_a_shuffle_join_gives_the_same(skewed, monkeypatch):
+    """With every size check failing, grouped quantiles, Levene and box summaries take their other way."""
+    from tabstat.operators import describe as ds
+    from tabstat.operators import hypothesis as hy
+    from tabstat.plans import order_stats
+    df, pdf = skewed
+
+    def run():
+        q = quantile_table(df, ["x", "y"], [0.25, 0.5], ["g"]).orderBy("g", "variable").collect()
+        return q, hy.levene(df, "y", ["g"]).first(), ds.box_summary(df, ["x"], ["g"]).orderBy("g").collect()
+
+    small = run()
+    for module in (order_stats, hy, ds):
+        monkeypatch.setattr(module, "settle", lambda table: None)
+    large = run()
+    assert small[0] == large[0] and small[2] == large[2]
+    assert large[1]["statistic"] == pytest.approx(small[1]["statistic"]) and large[1]["n"] == len(pdf)
+
+
+def test_quantile_intervals_on_a_long_column(spark):
+    """More rows than the sketch keeps: intervals from the sketch, exact values from the counts."""
+    x = (F.pmod(F.xxhash64("id"), F.lit(100_003)) / 7.0)
+    df = spark.range(0, 200_000, 1, 24).select(F.exp(x / 3000).alias("x")).repartitionByRange(12, "x")
+    probs = [0.0, 0.001, 0.25, 0.5, 0.501, 0.99, 1.0]
+    got = quantile_table(df, ["x"], probs).first()
+    want = df.agg(F.percentile("x", probs)).first()[0]
+    assert np.allclose([got[f"q_{i}"] for i in range(len(probs))], want, rtol=1e-12)
+
+
 def test_spearman_with_a_value_in_a_third_of_the_rows(skewed):
     df, pdf = skewed
     ok = pdf.dropna()
