@@ -252,3 +252,13 @@ def clean_recipe_q(spark, sf):
     df = with_holes(Tables(spark, sf).events).select("event_id", "value")
     return rounded(cl.clean(df, [("impute", ["value"], {"strategy": "mean"}),
                                  ("outliers", ["value"], {"method": "winsorize"}), ("minmax", ["value"])]))
+
+
+@query("clean_report", f"""WITH h AS ({HOLES_SQL}), f AS (SELECT event_id, event_type, coalesce(value, avg(value) OVER ()) AS value FROM h), {B.format(c='value', t='f')},
+ r AS (SELECT f.* FROM f, b WHERE NOT (value < lo OR value > hi))
+SELECT 'value' AS "column", (SELECT count(*) FROM h) AS rows_before, (SELECT count(*) FROM r) AS rows_after, (SELECT count(*) - count(value) FROM h) AS nulls_before, (SELECT count(*) - count(value) FROM r) AS nulls_after
+UNION ALL SELECT 'event_type', (SELECT count(*) FROM h), (SELECT count(*) FROM r), (SELECT count(*) - count(event_type) FROM h), (SELECT count(*) - count(event_type) FROM r)""")
+def clean_report_q(spark, sf):
+    df = with_holes(Tables(spark, sf).events)
+    after = cl.clean(df, [("impute", ["value"], {"strategy": "mean"}), ("outliers", ["value"], {"method": "remove"})])
+    return cl.change_report(df, after, ["value", "event_type"])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tabstat.operators.columns import columns_of, drop_missing
 from tabstat.plans.order_stats import quantile_row, with_ranges
 from tabstat.plans.stats import as_double, one_row, scalar_stats
+from tabstat.sources.tables import overview
 
 
 def _numeric(df: DataFrame, cols: Sequence[str]) -> list[str]:
@@ -224,6 +225,14 @@ def log1p_clip(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                            for c in _numeric(df, cols)})
 
 
+def change_report(before: DataFrame, after: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, rows_before, rows_after, nulls_before, nulls_after): what a recipe changed, one pass per side."""
+    def counts(df: DataFrame, suffix: str) -> DataFrame:
+        return overview(df.select(*cols)).select("column", F.col("n_rows").alias(f"rows_{suffix}"),
+                                                 (F.col("n_rows") - F.col("n_non_null")).alias(f"nulls_{suffix}"))
+    return counts(before, "before").join(F.broadcast(counts(after, "after")), "column")  # one line per column
+
+
 # recipe step name -> operator; every entry takes (df, cols, **options)
 STEPS: dict[str, Callable[..., DataFrame]] = {
     "drop_missing": drop_missing,

@@ -111,7 +111,7 @@ def _links(core: DataFrame, d: int, eps: float, reach: int, fine: int = 8) -> Da
     """(u, v): cells holding core rows within eps of each other.
 
     Boxes settle most pairs. Open pairs are compared again through sub-cells with tight
-    boxes, and only sub-cell pairs that are still open are compared row by row.
+    boxes, and only rows of still open sub-cell pairs that reach the other box are compared.
     """
     e2 = eps * eps
     side = eps / math.sqrt(d)
@@ -128,11 +128,18 @@ def _links(core: DataFrame, d: int, eps: float, reach: int, fine: int = 8) -> Da
     pairs = unsure.join(a, "u").join(b, "v").where(_gap2("a_", "b_", d) <= e2) \
         .withColumn("sure", _span2("a_", "b_", d) <= e2)
     done = pairs.where("sure").select("u", "v").distinct()
-    left = pairs.where("NOT sure").select("u", "v", "a_sub", "b_sub").join(done, ["u", "v"], "left_anti")
+    left = pairs.where("NOT sure").drop("sure").join(done, ["u", "v"], "left_anti")
     p = core.select(F.col("cell").alias("u"), F.col("sub").alias("a_sub"), *[F.col(f"x{i}").alias(f"p{i}") for i in range(d)]).distinct()
     q = core.select(F.col("cell").alias("v"), F.col("sub").alias("b_sub"), *[F.col(f"x{i}").alias(f"q{i}") for i in range(d)]).distinct()
     dist2 = reduce(add, [(F.col(f"p{i}") - F.col(f"q{i}")) * (F.col(f"p{i}") - F.col(f"q{i}")) for i in range(d)])
-    close = left.join(p, ["u", "a_sub"]).join(q, ["v", "b_sub"]).where(dist2 <= e2).select("u", "v").distinct()
+
+    def reaches(row: str, box: str) -> Column:
+        """The row is within eps of the other box; the others cannot take part in a link."""
+        out = [F.greatest(F.col(f"{box}lo{i}") - F.col(f"{row}{i}"), F.col(f"{row}{i}") - F.col(f"{box}hi{i}"), F.lit(0.0)) for i in range(d)]
+        return reduce(add, [x * x for x in out]) <= e2
+
+    close = left.join(p, ["u", "a_sub"]).where(reaches("p", "b_")).join(q, ["v", "b_sub"]).where(reaches("q", "a_")) \
+        .where(dist2 <= e2).select("u", "v").distinct()
     return sure.unionByName(done).unionByName(close)
 
 
