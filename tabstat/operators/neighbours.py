@@ -3,9 +3,10 @@
 Both sides are assigned to the nearest of a few hundred pivot rows. For a test row,
 the distance to its k-th nearest pivot bounds the distance to its k-th neighbour
 (pivots are training rows), so by the triangle inequality only some cells can hold a
-neighbour. Cells are cut into blocks of bounded size on both sides, so neither a
-crowded cell nor many copies of one point end up in one task; each block pair keeps
-the best k per test row and a small window merges them.
+neighbour, and in a large cell only the rings at a fitting distance from its pivot.
+Rings are cut into blocks of bounded size on both sides, so neither a crowded cell nor
+many copies of one point end up in one task; each block pair keeps the best k per test
+row and a small window merges them.
 """
 
 from __future__ import annotations
@@ -30,18 +31,27 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
-def _assigner(pivots: np.ndarray, cols: Sequence[str], k: int, gaps: np.ndarray | None, radius: np.ndarray | None):
-    """Partition function adding ``cell``; on the test side one row per cell that may hold neighbours."""
+RINGS = 32  # distance rings of a cell that is larger than a block
+
+
+def _assigner(pivots: np.ndarray, cols: Sequence[str], k: int, edges: np.ndarray | None,
+              gaps: np.ndarray | None = None, radius: np.ndarray | None = None):
+    """Partition function adding ``cell`` and ``ring``; on the test side one row per ring that may hold neighbours.
+
+    ``edges`` are the inner ring limits of every cell (cells x rings - 1).
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for start in range(0, len(pdf), 4096):
-                part = pdf.iloc[start:start + 4096]
+            for start in range(0, len(pdf), 512):
+                part = pdf.iloc[start:start + 512]
                 if part.empty:
                     continue
                 d = _distances(part[list(cols)].to_numpy(float), pivots)
                 own = d.argmin(axis=1)
                 if radius is None:
-                    yield part.assign(cell=own.astype("int32"), dist=d[np.arange(len(d)), own])
+                    dist = d[np.arange(len(d)), own]
+                    ring = (dist[:, None] >= edges[own]).sum(axis=1) if edges is not None else np.zeros(len(d))
+                    yield part.assign(cell=own.astype("int32"), ring=ring.astype("int32"), dist=dist)
                     continue
                 bound = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(d), np.inf)
                 slack = 1e-9 * (1 + bound)
@@ -52,7 +62,13 @@ def _assigner(pivots: np.ndarray, cols: Sequence[str], k: int, gaps: np.ndarray
                     plane = (d ** 2 - d[np.arange(len(d)), own][:, None] ** 2) / (2 * gap)
                 near &= ~((gap > 0) & (plane > (bound + slack)[:, None]))
                 row, cell = np.nonzero(near)
-                yield part.iloc[row].assign(cell=cell.astype("int32"))
+                away, reach = d[row, cell], (bound + slack)[row]
+                first = (edges[cell] <= (away - reach)[:, None]).sum(axis=1)
+                last = (edges[cell] <= (away + reach)[:, None]).sum(axis=1)
+                times = last - first + 1
+                at = np.repeat(np.arange(len(row)), times)
+                ring = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + first[at]
+                yield part.iloc[row[at]].assign(cell=cell[at].astype("int32"), ring=ring.astype("int32"))
     return run
 
 
@@ -69,26 +85,36 @@ def nearest(train: DataFrame, test: DataFrame, xs: Sequence[str], key: str, k: i
     m = pivots or int(min(1024, max(16, n ** 0.5)))
     chosen = left.orderBy(F.xxhash64("neighbour"), "neighbour").limit(m).select(*xs).toPandas().to_numpy(float)
 
-    assigned = left.mapInPandas(_assigner(chosen, xs, k, None, None),
-                                left.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("dist")).schema)
-    sizes = assigned.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("r")).collect()  # one row per pivot
-    radius = np.full(len(chosen), -np.inf)
-    blocks = np.ones(len(chosen), dtype=int)
-    for r in sizes:
-        radius[r["cell"]], blocks[r["cell"]] = r["r"], -(-r["n"] // block)
-    gaps = _distances(chosen, chosen)
-    probes = right.mapInPandas(_assigner(chosen, xs, k, gaps, radius), right.select("*", F.lit(0).alias("cell")).schema)
-    loads = probes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()
-    turns = np.ones(len(chosen), dtype=int)
-    for r in loads:
-        turns[r["cell"]] = -(-r["n"] // block)
-
-    plan = local_table(train.sparkSession, [(i, int(b), int(t)) for i, (b, t) in enumerate(zip(blocks, turns))],
-                       "cell int, blocks int, turns int")
-    assigned = assigned.join(F.broadcast(plan), "cell") \
+    placed = left.select("*", F.lit(0).alias("cell"), F.lit(0).alias("ring"), F.lit(0.0).alias("dist")).schema
+    ranks = F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)])
+    cells = left.mapInPandas(_assigner(chosen, xs, k, None), placed).groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("dist").alias("r"),
+        F.kll_sketch_get_quantile_double(F.kll_sketch_agg_double("dist", 400), ranks).alias("e")).collect()  # one row per pivot
+    rings = RINGS if max((r["n"] for r in cells), default=0) > block else 1
+    radius, edges = np.full(len(chosen), -np.inf), np.zeros((len(chosen), rings - 1))
+    for r in cells:
+        radius[r["cell"]] = r["r"]
+        if rings > 1:
+            edges[r["cell"]] = sorted(r["e"])
+    assigned = left.mapInPandas(_assigner(chosen, xs, k, edges), placed)
+    probes = right.mapInPandas(_assigner(chosen, xs, k, edges, _distances(chosen, chosen), radius),
+                               right.select("*", F.lit(0).alias("cell"), F.lit(0).alias("ring")).schema)
+
+    # blocks only bound the work, so the share of a ring may come from its edges (equal edges: many copies)
+    blocks = {}
+    for r in cells:
+        for g in range(rings):
+            below = int(np.searchsorted(edges[r["cell"]], edges[r["cell"]][g - 1])) if g else 0
+            share = min(1.0, (g - below + 1) / rings)
+            blocks[r["cell"], g] = int(-(-r["n"] * share // block)) or 1
+    loads = probes.groupBy("cell", "ring").agg(F.count(F.lit(1)).alias("n")).collect()  # pivots x rings lines at most
+    turns = {(r["cell"], r["ring"]): -(-r["n"] // block) for r in loads}
+    plan = local_table(train.sparkSession, [(c, g, b, turns[c, g]) for (c, g), b in blocks.items() if (c, g) in turns],
+                       "cell int, ring int, blocks int, turns int")
+    assigned = assigned.join(F.broadcast(plan), ["cell", "ring"]) \
         .withColumn("part", F.pmod(F.xxhash64("neighbour"), F.col("blocks")).cast("int")) \
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("dist", "blocks", "turns")
-    probes = probes.join(F.broadcast(plan), "cell") \
+    probes = probes.join(F.broadcast(plan), ["cell", "ring"]) \
         .withColumn("turn", F.pmod(F.xxhash64(key), F.col("turns")).cast("int")) \
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "turns")
     extra = list(payload)
@@ -119,7 +145,7 @@ def nearest(train: DataFrame, test: DataFrame, xs: Sequence[str], key: str, k: i
     schema = schema.add("neighbour", left.schema["neighbour"].dataType).add("distance", "double")
     for c in extra:
         schema = schema.add(c, left.schema[c].dataType)
-    on = ["cell", "part", "turn"]
+    on = ["cell", "ring", "part", "turn"]
     found = assigned.groupBy(*on).cogroup(probes.groupBy(*on)).applyInPandas(best, schema)
     place = F.row_number().over(Window.partitionBy(key).orderBy("distance", "neighbour"))
     return found.withColumn("position", place).where(F.col("position") <= k)
