@@ -6,8 +6,15 @@ from pyspark.sql import functions as F
 
 from llm.near_duplicates import near_duplicates
 from llm.registry import query, table
+from llm.substring_dedup import remove_repeats
 
 
 @query("op5_minhash_near_dedup")
 def op5(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query("op9_substring_dedup")
+def op9(spark, sf_dir):
+    out = remove_repeats(table(spark, sf_dir, "documents"), width=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
