@@ -172,11 +172,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         .where(_distance("sa", "sb") <= allowed).select("a", "b")
     families = groups_of(near.unionByName(candidates.where("star").select("a", "b")))
 
-    members = classes.join(families, "id").select("id", F.col("label").alias("family"), "key", "mark", "n_shingles")
+    members = stored(classes.join(families, "id").select(
+        "id", F.col("label").alias("family"), "key", "mark", F.greatest("n_shingles", F.lit(LEAST_WEIGHT)).alias("weight")))
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    members = texts.join(members, ["key", "mark"]) \
-        .select("id", "family", "text", F.greatest("n_shingles", F.lit(LEAST_WEIGHT)).alias("weight"))
-    groups = stored(confirm(members, ["text"], _linked(width, percent), TASK_SHINGLES))
+    with_text = texts.join(members.drop("weight"), ["key", "mark"]).select("id", "family", "text")
+    groups = stored(confirm(members, with_text, ["text"], _linked(width, percent), TASK_SHINGLES))
 
     named = classes.join(groups, "id", "left").withColumn("group", F.coalesce("label", "id"))
     lowest = named.groupBy("group").agg(F.min("key").alias("component_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from llm.line_dedup import dedup_lines
 from llm.near_duplicates import near_duplicates
 from llm.registry import query, table
 from llm.substring_dedup import remove_repeats
@@ -18,3 +19,8 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"), width=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op2_line_dedup")
+def op2(spark, sf_dir):
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")

@@ -96,14 +96,14 @@ def meet(entries: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def confirm(members: DataFrame, payload: list[str], links: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], limit: int) -> DataFrame:
+def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], limit: int) -> DataFrame:
     """(id, label): groups of the members that ``links`` connects.
 
-    ``members`` has id, family, weight and the payload columns. ``links(table)`` takes rows of one family and
-    returns index pairs that connect all linked rows (a spanning set is enough). ``limit`` bounds the weight
-    of the rows that a task compares at once.
+    ``weights`` has family and weight of each member, ``members`` id, family and the payload columns.
+    ``links(table)`` takes rows of one family and returns index pairs that connect all linked rows (a spanning
+    set is enough). ``limit`` bounds the weight of the rows that a task compares at once.
     """
-    size = members.groupBy("family").agg(F.sum("weight").alias("total"))
+    size = weights.groupBy("family").agg(F.sum("weight").alias("total"))
     size = stored(size.withColumn("blocks", F.ceil(F.col("total") / limit).cast("long")))
     whole, large = size.agg(F.sum(F.when(F.col("blocks") == 1, F.col("total"))), F.max("blocks")).first()
     tasks = max(1, int(np.ceil((whole or 0) / limit)))
@@ -128,7 +128,7 @@ def confirm(members: DataFrame, payload: list[str], links: Callable[[pa.Table],
     columns = ["id", "family", *payload]
     small = with_size.where("blocks = 1").select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("task"))
     done = small.groupBy("task").applyInArrow(labelled, "id long, label long")
-    if not large or large == 1:
+    if (large or 1) == 1:
         return done.distinct()
     block = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))
     tiles = with_size.where("blocks > 1").withColumn("own", block) \

@@ -18,6 +18,9 @@ SLICE_BYTES = 2 << 20
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space and ASCII punctuation.
+PUNCTUATION = _SPACE.copy()
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
@@ -85,11 +88,14 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         at = end
 
 
-def find_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the first word of each text (one more entry than texts)."""
+def find_words(data: np.ndarray, bounds: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the first word of each text (one more entry than texts).
+
+    ``separators`` marks the byte values between words.
+    """
     inside = np.empty(len(data) + 2, bool)
     inside[0] = inside[-1] = False
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(separators[data], out=inside[1:-1])
     first, last = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     cuts = bounds[1:-1]
     cuts = cuts[(cuts > 0) & (cuts < len(data))]
@@ -135,6 +141,15 @@ def hash_windows(words: np.ndarray, width: int, seed: int = 2) -> np.ndarray:
     return mix(out)
 
 
+def hash_runs(words: np.ndarray, first: np.ndarray, seed: int = 3) -> np.ndarray:
+    """A 64-bit hash of each run words[first[i]:first[i + 1]]."""
+    f, n = family(seed), len(words)
+    sums = np.zeros(n + 1, _U)
+    np.cumsum(words * f.up(n), out=sums[1:])
+    runs = (sums[first[1:]] - sums[first[:-1]]) * f.down(n + 1)[first[:-1]]
+    return mix(runs ^ np.diff(first).astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
 def whole_windows(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first word, text) of every window that lies inside one text."""
     counts = np.diff(first)
