@@ -14,8 +14,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from llm import words
 from llm.graph import groups_of, local_labels
@@ -28,8 +30,8 @@ BLOCKS = 5
 #: Longest run of a block pair in which all signatures are compared; a longer one gets a star.
 COMPARED_RUN = 20_000
 #: Characters of the lines that one task compares at once; a line weighs LEAST_WEIGHT at least.
-TASK_CHARS = 4_000_000
-LEAST_WEIGHT = 2_000
+TASK_CHARS = 8_000_000
+LEAST_WEIGHT = 200
 #: Text bytes of a chunk, about.
 CHUNK_BYTES = 8 << 20
 
@@ -39,8 +41,17 @@ _EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
 TABLES = list(combinations(range(BLOCKS), BLOCKS - DISTANCE))
 
 
+#: White space and punctuation as spaces, A-Z in lower case.
+_NORMAL = words.lowered(np.where(words.PUNCTUATION, 32, np.arange(256)).astype(np.uint8)).tobytes()
+
+
+def normal_line(line: bytes) -> str:
+    """The normalised line: its words, joined by one space."""
+    return b" ".join(line.translate(_NORMAL).split()).decode()
+
+
 class Lines:
-    """The lines of a slice of texts: their text, place in it, words and hashes."""
+    """The lines of a slice of texts and their places."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         ends = np.flatnonzero(data == 0x0A) + 1
@@ -51,26 +62,44 @@ class Lines:
         self.first = np.searchsorted(self.owner, np.arange(len(bounds)))
         self.number = np.arange(len(starts)) - self.first[self.owner]
         self.data, self.edge = data, np.append(starts, len(data))
+
+    def with_words(self) -> np.ndarray:
+        """Whether each line has words."""
+        seen = np.concatenate([[0], np.cumsum(~words.PUNCTUATION[self.data])])
+        return seen[self.edge[1:]] > seen[self.edge[:-1]]
+
+
+class HashedLines(Lines):
+    """Lines with two 64-bit hashes and the SimHash of their words."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+        super().__init__(data, bounds)
         low = words.lowered(data)
         self.word_start, self.word_end, self.word = words.find_words(low, self.edge, words.PUNCTUATION)
-        self.low, self.n_words = low, np.diff(self.word)
-
-    def hashes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Two 64-bit hashes and the SimHash of the words of each line."""
-        own = words.hash_spans(self.low, self.word_start, self.word_end)
-        h1, h2 = words.hash_runs(own, self.word, 11), words.hash_runs(own, self.word, 12)
-        sign = np.zeros(len(self.number), _U)
-        full = np.flatnonzero(self.n_words)
-        if len(full):
-            bits = np.unpackbits(words.mix(own + _U(99)).view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, self.word[full], axis=0, dtype=np.int32)
-            sign[full] = np.packbits(2 * ones > self.n_words[full, None], axis=1).view(_U).ravel()
-        return h1, h2, sign
-
-    def normal(self, k: int) -> str:
-        """The normalised line: its words, joined by one space."""
-        spans = range(self.word[k], self.word[k + 1])
-        return " ".join(self.low[self.word_start[i]:self.word_end[i]].tobytes().decode() for i in spans)
+        self.n_words = np.diff(self.word)
+        own = words.hash_spans(low, self.word_start, self.word_end)
+        self.h1, self.h2 = words.hash_runs(own, self.word, 11), words.hash_runs(own, self.word, 12)
+        self.sign = simhash(words.mix(own + _U(99)), self.word)
+
+
+def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run hashes[first[i]:first[i + 1]]: the bits that more than half of its hashes have set.
+
+    Bit k of all eight bytes of a hash is counted at once, in byte counters of 64-bit sums over 255 hashes at most.
+    """
+    n = np.diff(first)
+    out, full = np.zeros(len(n), _U), np.flatnonzero(n)
+    if not len(full):
+        return out
+    pieces = -(-n[full] // 255)
+    piece = np.concatenate([[0], np.cumsum(pieces)])[:-1]
+    start = np.repeat(first[full] - 255 * piece, pieces) + 255 * np.arange(pieces.sum())
+    for k in range(8):
+        counts = np.add.reduceat(hashes >> _U(k) & _U(0x0101010101010101), start).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(counts, piece, axis=0, dtype=np.int64) if len(counts) > len(full) else counts.astype(np.int64)
+        most = 2 * ones > n[full, None]
+        out[full] |= np.ascontiguousarray(most).view(_U).ravel() << _U(k)
+    return out
 
 
 def _rotations(signs: np.ndarray, table: int) -> np.ndarray:
@@ -206,13 +235,12 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, data, bounds in words.slices(batch.column(1)):
-                lines = Lines(data, bounds)
-                h1, h2, sign = lines.hashes()
+                lines = HashedLines(data, bounds)
                 some = np.flatnonzero(lines.n_words)
                 rows = pa.array(lines.owner[some] + at)
                 size = (lines.word_end[lines.word[some + 1] - 1] - lines.word_start[lines.word[some]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[some].view(np.int64)) for x in (h1, h2, sign)]
+                    [pa.array(x[some].view(np.int64)) for x in (lines.h1, lines.h2, lines.sign)]
                     + [batch.column(0).take(rows), batch.column(2).take(rows), batch.column(3).take(rows),
                        pa.array(lines.number[some].astype(np.int32)), pa.array(size)],
                     ["h1", "h2", "sign", "key", "mark", "chunk", "line", "size"])
@@ -226,29 +254,22 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     families = groups_of(stored(_candidates(classes, classes.count())))
 
     members = stored(classes.join(families.withColumnRenamed("label", "family"), "id").select(
-        "id", "family", "h1", "h2", "sign", F.col("first.chunk").alias("chunk"),
+        "id", "family", "sign", F.col("first.mark").alias("mark"), F.col("first.line").alias("line_no"), F.col("first.chunk").alias("chunk"),
         F.greatest("size", F.lit(LEAST_WEIGHT)).alias("weight")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), mark.alias("mark"), chunk.alias("chunk"))
+    others = [c for c in docs.columns if c not in (key, text)]
+    rows = docs.select(F.struct(F.lit(0).alias("0"), *others).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), mark.alias("mark"), chunk.alias("chunk"))
     by_chunk = rows.groupBy("chunk")
 
     def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        ids, lines = [], []
-        h1 = wanted["h1"].to_numpy()
-        order = np.argsort(h1, kind="stable")
-        sought, sought2, left = h1[order], wanted["h2"].to_numpy()[order], np.ones(len(h1), bool)
-        for part in table["text"].chunks if len(h1) else []:
-            for _, _, data, bounds in words.slices(part):
-                own = Lines(data, bounds)
-                g1, g2, _ = own.hashes()
-                _, once = np.unique(g1, return_index=True)
-                at = np.minimum(np.searchsorted(sought, g1[once].view(np.int64)), len(sought) - 1)
-                for k, i in zip(once, at):
-                    if own.n_words[k] and left[i] and sought[i] == g1[k].view(np.int64) and sought2[i] == g2[k].view(np.int64):
-                        left[i] = False
-                        ids.append(order[i])
-                        lines.append(own.normal(k))
-        found = wanted.take(pa.array(ids, pa.int64()))
-        return pa.table({"id": found["id"], "family": found["family"], "sign": found["sign"], "line": pa.array(lines, pa.string())})
+        marks, first = np.unique(table["mark"].to_numpy(), return_index=True)
+        row = first[np.searchsorted(marks, wanted["mark"].to_numpy())] if len(marks) else np.zeros(0, int)
+        order = np.argsort(row, kind="stable")
+        wanted, texts, lines, now = wanted.take(pa.array(order)), table["text"], [], None
+        for at, line in zip(row[order].tolist(), wanted["line_no"].to_pylist()):
+            if at != now:
+                now, split = at, texts[at].as_py().encode().split(b"\n")
+            lines.append(normal_line(split[line]))
+        return pa.table({"id": wanted["id"], "family": wanted["family"], "sign": wanted["sign"], "line": pa.array(lines, pa.string())})
 
     with_line = by_chunk.cogroup(members.groupBy("chunk")).applyInArrow(fetch, "id long, family long, sign long, line string")
     groups = confirm(members, with_line, ["sign", "line"], _linked(percent), TASK_CHARS)
@@ -260,26 +281,29 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         stays: dict[tuple, set[int]] = {}
         for k, m, line in zip(stay["key"].to_pylist(), stay["mark"].to_pylist(), stay["line"].to_pylist()):
             stays.setdefault((k, m), set()).add(line)
-        out, n_lines, n_removed = [], [], []
+        texts, n_lines, n_removed = [], [], []
         keys, marks, at = table["key"].to_pylist(), table["mark"].to_pylist(), 0
         for part in table["text"].chunks:
             for s, e, data, bounds in words.slices(part):
                 lines = Lines(data, bounds)
-                for row in range(s, e):
-                    low, high = lines.first[row - s], lines.first[row - s + 1]
-                    mine, some = stays.get((keys[at], marks[at]), ()), lines.n_words[low:high] > 0
-                    gone = [k for k in np.flatnonzero(some).tolist() if k not in mine]
-                    original = part[row].as_py()
-                    if gone:
-                        drop = set(gone)
-                        original = "\n".join(x for k, x in enumerate(original.split("\n")) if k not in drop)
-                    out.append(original)
-                    n_lines.append(int(some.sum()))
-                    n_removed.append(len(gone))
-                    at += 1
-        return pa.table({"row": table["row"], "text": pa.array(out, pa.string()), "n_lines": pa.array(n_lines, pa.int64()), "n_removed": pa.array(n_removed, pa.int64())})
-
-    row_type = rows.schema["row"].dataType.simpleString()
-    done = by_chunk.cogroup(kept.groupBy("chunk")).applyInArrow(rewrite, f"row {row_type}, text string, n_lines long, n_removed long")
-    names = [F.col("text").alias(text) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+                some, new = lines.with_words(), []
+                gone = some.copy()
+                for row in range(e - s):
+                    gone[[lines.first[row] + k for k in stays.get((keys[at + row], marks[at + row]), ())]] = False
+                total, lost = (np.concatenate([[0], np.cumsum(x)])[lines.first] for x in (some, gone))
+                for row in np.flatnonzero(np.diff(lost)).tolist():
+                    drop = gone[lines.first[row]:lines.first[row + 1]]
+                    rest = [x for x, g in zip(part[s + row].as_py().split("\n"), drop) if not g]
+                    new.append("\n".join(rest))
+                texts.append(pc.replace_with_mask(part.slice(s, e - s), pa.array(np.diff(lost) > 0), pa.array(new, pa.string())))
+                n_lines.append(np.diff(total))
+                n_removed.append(np.diff(lost))
+                at += e - s
+        out = {"key": table["key"], "row": table["row"], "text": pa.chunked_array(texts, pa.string())}
+        return pa.table(out | {"n_lines": np.concatenate([np.zeros(0, np.int64), *n_lines]), "n_removed": np.concatenate([np.zeros(0, np.int64), *n_removed])})
+
+    result = T.StructType([T.StructField("key", docs.schema[key].dataType), rows.schema["row"], T.StructField("text", T.StringType()),
+                           T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    done = by_chunk.cogroup(kept.groupBy("chunk")).applyInArrow(rewrite, result)
+    names = [F.col("key" if c == key else "text").alias(c) if c in (key, text) else F.col("row").getField(c).alias(c) for c in docs.columns]
     return done.select(*names, "n_lines", "n_removed")

@@ -124,6 +124,8 @@ def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: C
             out_label.append(low[label])
         return pa.table({"id": np.concatenate(out_id).astype(np.int64), "label": np.concatenate(out_label).astype(np.int64)})
 
+    if (large or 1) > 1:
+        members = stored(members)
     with_size = members.join(size.select("family", "blocks"), "family")
     columns = ["id", "family", *payload]
     small = with_size.where("blocks = 1").select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("task"))
