@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from llm.decontamination import contained
 from llm.line_dedup import dedup_lines
+from llm.mixing import mix
 from llm.near_duplicates import near_duplicates
 from llm.registry import query, table
+from llm.secrets import BASE, joined_spans, secret_report
 from llm.substring_dedup import remove_repeats
 
 
@@ -24,3 +27,38 @@ def op9(spark, sf_dir):
 @query("op2_line_dedup")
 def op2(spark, sf_dir):
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query("op1_mixing")
+def op1(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+#: Containment of five-word shingles, counted in full.
+CONTAINED_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+s AS (SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS shingle
+      FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT item_id, w, least(5, len(w)) AS k FROM i WHERE len(w) > 0))),
+n AS (SELECT item_id, count(*) AS n_item FROM s GROUP BY item_id),
+t AS (SELECT DISTINCT doc_id, k, array_to_string(w[p:p + k - 1], ' ') AS shingle
+      FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM s) WHERE len(w) >= k))
+SELECT doc_id, item_id, n_item, count(*) AS n_shared FROM s JOIN t USING (k, shingle) JOIN n USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item"""
+
+
+@query("op3_decontamination", CONTAINED_SQL)
+def op3(spark, sf_dir):
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_secret_scan")
+def op10(spark, sf_dir):
+    out = secret_report(table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["kind"].isin(*BASE))
+
+    def number(kind: str):
+        return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number(kind) for kind in BASE]
+    return out.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("found")).alias("spans"))
