@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from llm.decontamination import contained
+from llm.fingerprints import edited_fingerprints
 from llm.line_dedup import dedup_lines
 from llm.mixing import mix
 from llm.near_duplicates import near_duplicates
@@ -62,3 +63,8 @@ def op10(spark, sf_dir):
 
     counts = [number(kind) for kind in BASE]
     return out.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("found")).alias("spans"))
+
+
+@query("op7_document_fingerprints")
+def op7(spark, sf_dir):
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
