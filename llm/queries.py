@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from llm import toxicity
 from llm.decontamination import contained
 from llm.fingerprints import edited_fingerprints
 from llm.line_dedup import dedup_lines
@@ -68,3 +69,19 @@ def op10(spark, sf_dir):
 @query("op7_document_fingerprints")
 def op7(spark, sf_dir):
     return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def held_out(key: str = "doc_id"):
+    """Rows whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(False))
+
+
+def toxicity_scores(spark, sf_dir, docs):
+    labels = table(spark, sf_dir, "labels").where(~held_out())
+    return toxicity.score(docs, toxicity.fit(table(spark, sf_dir, "documents"), labels))
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    out = toxicity_scores(spark, sf_dir, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
