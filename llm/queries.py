@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from llm import toxicity
 from llm.decontamination import contained
 from llm.fingerprints import edited_fingerprints
+from llm.html_text import main_text
 from llm.line_dedup import dedup_lines
 from llm.mixing import mix
 from llm.near_duplicates import near_duplicates
@@ -85,3 +86,8 @@ def toxicity_scores(spark, sf_dir, docs):
 def op8(spark, sf_dir):
     out = toxicity_scores(spark, sf_dir, table(spark, sf_dir, "documents"))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
+@query("op4_html_extraction")
+def op4(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
