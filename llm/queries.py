@@ -14,6 +14,7 @@ from llm.near_duplicates import near_duplicates
 from llm.registry import query, table
 from llm.secrets import BASE, joined_spans, secret_report
 from llm.substring_dedup import remove_repeats
+from llm.token_counts import token_counts
 
 
 @query("op5_minhash_near_dedup")
@@ -91,3 +92,8 @@ def op8(spark, sf_dir):
 @query("op4_html_extraction")
 def op4(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query("op6_token_counts")
+def op6(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
