@@ -28,7 +28,7 @@ RUN = 4
 PAGE_SHARE = 0.6
 LEAST_PAGES = 20
 #: Bytes of a shard of a host's pages, about.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 #: Hosts with more shards than one are sent to every task up to this number, and joined by a shuffle beyond.
 BROADCAST_HOSTS = 100_000
 

@@ -279,6 +279,25 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(scored, schema).withColumnRenamed("key", key)
 
 
+def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, all columns as they are; no shuffle."""
+    shipped = ready(docs.sparkSession).sparkContext.broadcast(model)
+    at_text = docs.columns.index(text)
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shipped.value
+        for batch in batches:
+            for at, end, data, bounds in words.slices(batch.column(at_text)):
+                if model.chain is None:
+                    value = np.full(end - at, model.prior)
+                else:
+                    found, first, _, _ = features(data, bounds)
+                    value = model.score(model.chain.marginals(found, first), first)
+                yield batch.slice(at, end - at).filter(pa.array(value < threshold))
+
+    return docs.mapInArrow(clean, docs.schema)
+
+
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
