@@ -25,7 +25,7 @@ from llm.session import ready
 from llm.similar import bucket_bits
 
 #: Text bytes of a chunk, about.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 5 << 20
 #: Hashes of a bucket, about.
 BUCKET_HASHES = 1 << 21
 #: Bits of a block hash that are sent besides those that name the bucket. A false match only adds a candidate.

@@ -27,7 +27,7 @@ from llm.session import ready
 
 #: Labelled documents of each class, and words of all of them, that training uses at most.
 SAMPLE_ROWS = 3_000
-SAMPLE_WORDS = 3_000_000
+SAMPLE_WORDS = 1_500_000
 FEATURE_BITS = 18
 PREFIXES = (4, 5, 6)
 #: A feature marks words of toxic documents if its log odds, and the excess of its toxic contexts over chance in deviations, reach these.
@@ -46,7 +46,7 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     starts, ends, first = words.find_words(low, bounds, words.PUNCTUATION)
     columns = [words.hash_spans(low, starts, ends)]
     columns += [words.mix(words.hash_spans(low, starts, np.minimum(starts + n, ends)) + _U(n)) for n in PREFIXES]
-    return np.stack(columns, axis=1) >> _U(64 - FEATURE_BITS), first, starts, ends
+    return np.stack([(c >> _U(64 - FEATURE_BITS)).astype(np.uint32) for c in columns], axis=1), first, starts, ends
 
 
 @dataclass
@@ -58,7 +58,7 @@ class Chain:
     moves: np.ndarray
 
     def emissions(self, found: np.ndarray) -> np.ndarray:
-        return np.exp(np.clip(self.weights[found].sum(axis=1) + self.bias, -30, 30))
+        return np.exp(np.clip(sum(self.weights[column] for column in found.T) + self.bias, -30, 30))
 
     def passes(self, emission: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Forward and backward vectors of every word (each scaled to sum 1).
@@ -116,12 +116,12 @@ def word_labels(found: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.n
     A feature is counted once per word that stands before it, so that copies of a document count little more than one.
     """
     text, low = np.repeat(np.arange(len(toxic)), np.diff(first)), _U((1 << FEATURE_BITS) - 1)
-    before = np.concatenate([np.zeros(1, _U), found[:-1, 0]])[:len(found)]
-    context = words.mix(before + _U(31)) & ~low
+    before = np.concatenate([np.zeros(1, np.uint32), found[:-1, 0]])[:len(found)]
+    context = words.mix(before.astype(_U) + _U(31)) & ~low
     seen = []
     for y in (0, 1):
         mine = toxic[text] == y
-        pairs = np.unique(context[mine, None] | found[mine])
+        pairs = np.unique(context[mine, None] | found[mine].astype(_U))
         seen.append(np.bincount((pairs & low).astype(np.int64), minlength=1 << FEATURE_BITS))
     all_clean, all_toxic = int(seen[0].sum()), int(seen[1].sum())
     odds = np.log((seen[1] + 0.5) / (all_toxic + 1)) - np.log((seen[0] + 0.5) / (all_clean + 1))
@@ -142,7 +142,6 @@ def train_chain(found: np.ndarray, first: np.ndarray, label: np.ndarray, steps:
     seen_moves = np.bincount(2 * label[inner - 1] + label[inner], minlength=4).reshape(2, 2)
     params = np.concatenate([chain.weights, [chain.bias], chain.moves.ravel()])
     m, v = np.zeros_like(params), np.zeros_like(params)
-    flat = found.astype(np.int64).ravel()
     for t in range(1, steps + 1):
         emission = chain.emissions(found)
         forward, backward = chain.passes(emission, first)
@@ -152,7 +151,7 @@ def train_chain(found: np.ndarray, first: np.ndarray, label: np.ndarray, steps:
         pair = forward[inner - 1, :, None] * np.exp(chain.moves)[None] * state[inner, None, :]
         pair /= pair.sum(axis=(1, 2), keepdims=True)
         gap = label - p
-        slope = np.concatenate([np.bincount(flat, np.repeat(gap, found.shape[1]), size), [gap.sum()], (seen_moves - pair.sum(axis=0)).ravel()])
+        slope = np.concatenate([sum(np.bincount(column, gap, size) for column in found.T), [gap.sum()], (seen_moves - pair.sum(axis=0)).ravel()])
         slope -= 0.05 * params
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         params = params + 0.4 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
