@@ -63,8 +63,8 @@ def likeness(identity_a: Column, lanes_a: str, identity_b: Column, lanes_b: str)
     """1 for equal fingerprints, else the cosine of the likeness lanes, 0 at least."""
     def dot(a: str, b: str) -> Column:
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot(lanes_a, lanes_b) / F.sqrt(dot(lanes_a, lanes_a) * dot(lanes_b, lanes_b))
-    return F.when(identity_a == identity_b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.nanvl(cosine, F.lit(0.0)), F.lit(0.0)))))
+    cosine = F.try_divide(dot(lanes_a, lanes_b), F.sqrt(dot(lanes_a, lanes_a)) * F.sqrt(dot(lanes_b, lanes_b)))  # null without words
+    return F.when(identity_a == identity_b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(cosine, F.lit(0.0)))))
 
 
 def in_order(rows: DataFrame) -> DataFrame:
