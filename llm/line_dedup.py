@@ -22,13 +22,15 @@ from pyspark.sql import types as T
 from llm import words
 from llm.graph import groups_of, local_labels
 from llm.session import ready, stored
-from llm.similar import bucket_bits, confirm, pairs_of_runs, unpacked
+from llm.similar import STANDS, STARS, bucket_bits, confirm, pairs_of_runs, thinned, unpacked
 
 #: Largest number of differing signature bits of a candidate pair.
 DISTANCE = 3
 BLOCKS = 5
 #: Longest run of a block pair in which all signatures are compared; a longer one gets a star.
 COMPARED_RUN = 20_000
+#: Longest run of a block pair that one batch of lines sends whole; of a longer one it makes a star.
+SENT_RUN = 1_000
 #: Characters of the lines that one task compares at once; a line weighs LEAST_WEIGHT at least.
 TASK_CHARS = 8_000_000
 LEAST_WEIGHT = 200
@@ -127,26 +129,37 @@ def _candidates(classes: DataFrame, lines: int) -> DataFrame:
             for t in range(len(TABLES) if len(ids) else 0):
                 keys = _rotations(signs, t)
                 order = np.argsort(keys, kind="stable")
-                top = keys[order] >> _U(64 - bits)
-                names, start = np.unique(top, return_index=True)
-                for b, s, e in zip(names, start, np.append(start[1:], len(top))):
+                keys, own = keys[order], ids[order]
+                kept, sent, hubs, spokes = thinned(keys >> _U(64 - _kept_bits(t)), np.arange(len(keys)), SENT_RUN)
+                if len(hubs):  # a block pair that many lines of this batch share
+                    buckets.append(STARS)
+                    parts.append(np.concatenate([own[hubs.astype(np.int64)], own[spokes.astype(np.int64)]]).tobytes())
+                at = (sent & ~STANDS).astype(np.int64)
+                keys, own = keys[at], own[at] | sent & STANDS
+                names, start = np.unique(keys >> _U(64 - bits), return_index=True)
+                for b, s, e in zip(names, start, np.append(start[1:], len(keys))):
                     buckets.append(t << bits | int(b))
-                    parts.append(np.concatenate([keys[order[s:e]], ids[order[s:e]]]).tobytes())
+                    parts.append(np.concatenate([keys[s:e], own[s:e]]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(parts, pa.binary())], ["bucket", "part"])
 
     def compared(name: tuple, table: pa.Table) -> pa.Table:
         keys, ids = unpacked(table["part"].to_pylist())
+        if name[0].as_py() == STARS:
+            return pa.table({"a": np.minimum(keys, ids).astype(np.int64), "b": np.maximum(keys, ids).astype(np.int64)})
         order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
+        stands, ids = ids >= STANDS, ids & ~STANDS
         top = keys >> _U(64 - _kept_bits(name[0].as_py() >> bits))
         start = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
         size = np.diff(np.append(start, len(keys)))
-        short = (size > 1) & (size <= 64)
+        star = (size > COMPARED_RUN) | (np.logical_or.reduceat(stands, start) & (size > 1))
+        short = (size > 1) & (size <= 64) & ~star
         i, j = pairs_of_runs(start[short], size[short])
         near = np.bitwise_count(keys[i] ^ keys[j]) <= DISTANCE
         left, right = [i[near]], [j[near]]
-        for s, n in zip(start[size > 64], size[size > 64]):
-            if n > COMPARED_RUN:
+        rest = star | (size > 64)
+        for s, n, whole in zip(start[rest], size[rest], star[rest]):
+            if whole:
                 left.append(np.full(n - 1, s))
                 right.append(np.arange(s + 1, s + n))
                 continue
@@ -160,7 +173,9 @@ def _candidates(classes: DataFrame, lines: int) -> DataFrame:
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     met = classes.select("id", "sign").mapInArrow(spread, "bucket long, part binary")
-    return met.groupBy("bucket").applyInArrow(compared, "a long, b long").distinct()
+    # stars are spread over tasks of their own
+    spread_out = F.when(F.col("bucket") == STARS, F.xxhash64("part")).otherwise(F.lit(0))
+    return met.withColumn("spread", spread_out).groupBy("bucket", "spread").applyInArrow(compared, "a long, b long").distinct()
 
 
 def edit_distance(a: str, b: str) -> int:

@@ -40,7 +40,7 @@ def targets(sizes: list[int], weights: list[float], share: float, most: float) -
 
 
 def fit(sizes: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
-    """How many documents of each size to take: their words come as near to ``goal``, from below, as the programme reaches."""
+    """How many documents of each size to take: their words come as near to ``goal`` as the programme reaches, or one document above if that is nearer."""
     total = int((sizes * counts).sum())
     if goal >= total:
         return counts.copy()
@@ -71,6 +71,10 @@ def fit(sizes: np.ndarray, counts: np.ndarray, goal: int) -> np.ndarray:
         n = next(n for n in range(count + 1) if at >= n * size and earlier >> at - n * size & 1)
         taken[i] += n
         at -= n * size
+    rest = goal - int((taken * sizes).sum())
+    above = [(int(s), i) for i, (s, c) in enumerate(zip(sizes, counts - taken)) if c > 0 and rest < s < 2 * rest]
+    if above:  # one document more comes nearer than none
+        taken[min(above)[1]] += 1
     return taken
 
 

@@ -32,14 +32,41 @@ def bucket_bits(entries: int, per_bucket: int = BUCKET_ENTRIES, least: int = 4)
     return max(least, int(np.ceil(np.log2(max(1, entries / per_bucket)))))
 
 
-def by_bucket(keys: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, packed keys and ids) for the buckets that the leading bits of the keys name."""
-    order = np.argsort(keys, kind="stable")
+#: In an id: the member stands for a long run of its key that a sender has joined by a star.
+STANDS = np.uint64(1 << 63)
+#: Bucket of the stars that senders make.
+STARS = -1
+
+
+def thinned(keys: np.ndarray, ids: np.ndarray, long_run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys and ids in which one member stands for each run longer than ``long_run``; the stars (hub, spoke) of those runs.
+
+    So a key that a large part of all items share is sent a bounded number of times by each task.
+    """
+    order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order].astype(np.uint64)
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(keys)))
+    long = np.repeat(size > long_run, size)
+    first = np.zeros(len(keys), bool)
+    first[start] = True
+    hubs = np.repeat(ids[start], size)
+    spokes = long & ~first
+    stars = hubs[spokes], ids[spokes]
+    sent = np.where(long, ids | STANDS, ids)
+    return keys[~spokes], sent[~spokes], *stars
+
+
+def by_bucket(keys: np.ndarray, ids: np.ndarray, bits: int, long_run: int = LONG_RUN) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed keys and ids) for the buckets that the leading bits of the keys name, and stars of long runs."""
+    keys, ids, hubs, spokes = thinned(keys, ids, long_run)
     cuts = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
     for k in np.flatnonzero(np.diff(cuts)):
         part = slice(cuts[k], cuts[k + 1])
         yield int(k), np.concatenate([keys[part], ids[part]]).tobytes()
+    if len(hubs):
+        hubs, spokes = distinct_pairs(hubs, spokes)
+        yield STARS, np.concatenate([hubs, spokes]).tobytes()
 
 
 def unpacked(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -73,13 +100,16 @@ def meet(entries: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
 
     A pair whose members meet in a long run of the same bucket is left to that run's star.
     """
-    def runs(table: pa.Table) -> pa.Table:
+    def met(name: tuple, table: pa.Table) -> pa.Table:
         keys, ids = unpacked(table["part"].to_pylist())
-        keys, ids = distinct_pairs(keys, ids)
+        if name[0].as_py() == STARS:
+            return pa.table({"a": keys.astype(np.int64), "b": ids.astype(np.int64), "star": np.ones(len(keys), bool)})
+        stands = ids >= STANDS
+        keys, ids, plain = distinct_pairs(keys, ids & ~STANDS, ~stands)
         start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
         size = np.diff(np.append(start, len(keys)))
         nodes, node = np.unique(ids, return_inverse=True)
-        long = size > long_run
+        long = (size > long_run) | np.logical_or.reduceat(~plain, start) if len(start) else size > long_run
         hub = np.repeat(start[long], size[long] - 1)
         spoke = np.concatenate([np.arange(s + 1, s + n) for s, n in zip(start[long], size[long])]) if long.any() else hub
         label = local_labels(len(nodes), node[hub], node[spoke])
@@ -92,7 +122,9 @@ def meet(entries: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
         a, b, star = distinct_pairs(np.minimum(a, b), np.maximum(a, b), star)
         return pa.table({"a": a, "b": b, "star": star == 0})
 
-    found = entries.groupBy("bucket").applyInArrow(runs, "a long, b long, star boolean")
+    # a sender's stars go to tasks of their own
+    spread = F.when(F.col("bucket") == STARS, F.xxhash64("part")).otherwise(F.lit(0))
+    found = entries.withColumn("spread", spread).groupBy("bucket", "spread").applyInArrow(met, "a long, b long, star boolean")
     return found.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 

@@ -43,8 +43,8 @@ def test_near_duplicates(spark, width, percent):
 def test_near_duplicates_in_tiles_and_stars(spark, monkeypatch):
     """A family beyond a task's limit is compared block by block; long runs of a key are stars."""
     monkeypatch.setattr(nd, "TASK_SHINGLES", 6_000)
-    monkeypatch.setattr(similar, "LONG_RUN", 4)
     monkeypatch.setattr(nd, "meet", lambda entries: similar.meet(entries, 4))
+    monkeypatch.setattr(nd, "by_bucket", lambda keys, ids, bits: similar.by_bucket(keys, ids, bits, 3))
     got = Counter(map(tuple, nd.near_duplicates(odd_documents(spark, 8), width=3, percent=85).collect()))
     assert got == expected_components(odd_texts(8), 3, 85)
 
@@ -144,6 +144,7 @@ def test_fuzzy_lines(spark, tiles, monkeypatch):
     monkeypatch.setattr(line_dedup, "CHUNK_BYTES", 20_000)
     if tiles:
         monkeypatch.setattr(line_dedup, "TASK_CHARS", 2_000)
+        monkeypatch.setattr(line_dedup, "SENT_RUN", 2)
     out = line_dedup.dedup_lines(docs)
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
     got = Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect())
