@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     members = stored(classes.join(families, "id").select(
         "id", F.col("label").alias("family"), "key", "mark", F.greatest("n_shingles", F.lit(LEAST_WEIGHT)).alias("weight")))
     texts = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("mark"))
-    with_text = texts.join(members.drop("weight"), ["key", "mark"]).select("id", "family", "text")
+    # the same join at every size: the members of all families have no bound
+    with_text = texts.join(members.drop("weight").hint("merge"), ["key", "mark"]).select("id", "family", "text")
     groups = stored(confirm(members, with_text, ["text"], _linked(width, percent), TASK_SHINGLES))
 
     named = classes.join(groups, "id", "left").withColumn("group", F.coalesce("label", "id"))
