@@ -2,7 +2,8 @@
 
 A line is normalised to its words: A-Z in lower case, white space and ASCII punctuation dropped. Lines with equal
 words are one class. A SimHash of 64 bits over the words is cut into five blocks; signatures that differ in three bits
-at most agree in two blocks at least, so ten tables, one per pair of blocks, bring every such pair together. Pairs are
+at most agree in two blocks at least, so ten tables, one per pair of blocks, bring every such pair together. They also bring
+together most pairs that differ in a few bits more; a second SimHash tells those from chance. Pairs are
 compared where they meet, and only the links of a spanning set leave a bucket. Families of candidates are
 then confirmed on the edit similarity of the normalised lines.
 """
@@ -24,9 +25,13 @@ from llm.graph import groups_of, local_labels
 from llm.session import ready, stored
 from llm.similar import STANDS, STARS, bucket_bits, confirm, pairs_of_runs, thinned, unpacked
 
-#: Largest number of differing signature bits of a candidate pair.
+#: Differing signature bits up to which every pair is a candidate.
 DISTANCE = 3
 BLOCKS = 5
+#: A pair that agrees in BLOCKS - DISTANCE blocks is a candidate up to this number of differing bits of both signatures.
+BOTH_DISTANCE = 12
+#: Characters of the pieces that the quick bound of the edit distance looks for.
+PIECE = 10
 #: Longest run of a block pair in which all signatures are compared; a longer one gets a star.
 COMPARED_RUN = 20_000
 #: Longest run of a block pair that one batch of lines sends whole; of a longer one it makes a star.
@@ -39,6 +44,7 @@ CHUNK_BYTES = 8 << 20
 
 _U = np.uint64
 _EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
+_MASKS = [_U((1 << int(b)) - (1 << int(a))) for a, b in zip(_EDGES[:-1], _EDGES[1:])]
 #: One table per kept set of blocks.
 TABLES = list(combinations(range(BLOCKS), BLOCKS - DISTANCE))
 
@@ -72,7 +78,7 @@ class Lines:
 
 
 class HashedLines(Lines):
-    """Lines with two 64-bit hashes and the SimHash of their words."""
+    """Lines with two 64-bit hashes and two SimHashes of their words."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         super().__init__(data, bounds)
@@ -81,7 +87,7 @@ class HashedLines(Lines):
         self.n_words = np.diff(self.word)
         own = words.hash_spans(low, self.word_start, self.word_end)
         self.h1, self.h2 = words.hash_runs(own, self.word, 11), words.hash_runs(own, self.word, 12)
-        self.sign = simhash(words.mix(own + _U(99)), self.word)
+        self.sign, self.sign2 = simhash(words.mix(own + _U(99)), self.word), simhash(words.mix(own + _U(1_234_567)), self.word)
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -118,36 +124,49 @@ def _kept_bits(table: int) -> int:
     return int(sum(_EDGES[b + 1] - _EDGES[b] for b in TABLES[table]))
 
 
+def close(apart: np.ndarray, apart2: np.ndarray) -> np.ndarray:
+    """Whether pairs that agree in enough blocks are candidates, from the differing bits of their first and second signatures."""
+    first = np.bitwise_count(apart)
+    return (first <= DISTANCE) | (first + np.bitwise_count(apart2) <= BOTH_DISTANCE)
+
+
+def candidate(apart: np.ndarray, apart2: np.ndarray) -> np.ndarray:
+    """Whether pairs with these differing bits meet in a table and are candidates."""
+    equal = sum((apart & mask == 0).astype(np.int8) for mask in _MASKS)
+    return (equal >= BLOCKS - DISTANCE) & close(apart, apart2)
+
+
 def _candidates(classes: DataFrame, lines: int) -> DataFrame:
-    """(a, b): edges that connect the classes whose signatures differ in DISTANCE bits at most."""
+    """(a, b): edges that connect all pairs of classes that are candidates."""
     bits = min(bucket_bits(lines, least=1), min(map(_kept_bits, range(len(TABLES)))))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, signs = batch.column(0).to_numpy().astype(_U), batch.column(1).to_numpy().view(_U)
+            ids, signs, signs2 = batch.column(0).to_numpy().astype(_U), batch.column(1).to_numpy().view(_U), batch.column(2).to_numpy().view(_U)
             buckets, parts = [], []
             for t in range(len(TABLES) if len(ids) else 0):
                 keys = _rotations(signs, t)
                 order = np.argsort(keys, kind="stable")
-                keys, own = keys[order], ids[order]
+                keys, own, second = keys[order], ids[order], signs2[order]
                 kept, sent, hubs, spokes = thinned(keys >> _U(64 - _kept_bits(t)), np.arange(len(keys)), SENT_RUN)
                 if len(hubs):  # a block pair that many lines of this batch share
                     buckets.append(STARS)
                     parts.append(np.concatenate([own[hubs.astype(np.int64)], own[spokes.astype(np.int64)]]).tobytes())
                 at = (sent & ~STANDS).astype(np.int64)
-                keys, own = keys[at], own[at] | sent & STANDS
+                keys, own, second = keys[at], own[at] | sent & STANDS, second[at]
                 names, start = np.unique(keys >> _U(64 - bits), return_index=True)
                 for b, s, e in zip(names, start, np.append(start[1:], len(keys))):
                     buckets.append(t << bits | int(b))
-                    parts.append(np.concatenate([keys[s:e], own[s:e]]).tobytes())
+                    parts.append(np.concatenate([keys[s:e], own[s:e], second[s:e]]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(parts, pa.binary())], ["bucket", "part"])
 
     def compared(name: tuple, table: pa.Table) -> pa.Table:
-        keys, ids = unpacked(table["part"].to_pylist())
         if name[0].as_py() == STARS:
-            return pa.table({"a": np.minimum(keys, ids).astype(np.int64), "b": np.maximum(keys, ids).astype(np.int64)})
+            a, b = (x.astype(np.int64) for x in unpacked(table["part"].to_pylist()))
+            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        keys, ids, second = unpacked(table["part"].to_pylist(), 3)
         order = np.argsort(keys, kind="stable")
-        keys, ids = keys[order], ids[order]
+        keys, ids, second = keys[order], ids[order], second[order]
         stands, ids = ids >= STANDS, ids & ~STANDS
         top = keys >> _U(64 - _kept_bits(name[0].as_py() >> bits))
         start = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
@@ -155,7 +174,7 @@ def _candidates(classes: DataFrame, lines: int) -> DataFrame:
         star = (size > COMPARED_RUN) | (np.logical_or.reduceat(stands, start) & (size > 1))
         short = (size > 1) & (size <= 64) & ~star
         i, j = pairs_of_runs(start[short], size[short])
-        near = np.bitwise_count(keys[i] ^ keys[j]) <= DISTANCE
+        near = close(keys[i] ^ keys[j], second[i] ^ second[j])
         left, right = [i[near]], [j[near]]
         rest = star | (size > 64)
         for s, n, whole in zip(start[rest], size[rest], star[rest]):
@@ -164,7 +183,7 @@ def _candidates(classes: DataFrame, lines: int) -> DataFrame:
                 right.append(np.arange(s + 1, s + n))
                 continue
             for k in range(s, s + n - 1):
-                hit = np.flatnonzero(np.bitwise_count(keys[k + 1:s + n] ^ keys[k]) <= DISTANCE) + k + 1
+                hit = np.flatnonzero(close(keys[k + 1:s + n] ^ keys[k], second[k + 1:s + n] ^ second[k])) + k + 1
                 left.append(np.full(len(hit), k))
                 right.append(hit)
         label = local_labels(len(keys), np.concatenate(left), np.concatenate(right))
@@ -172,30 +191,58 @@ def _candidates(classes: DataFrame, lines: int) -> DataFrame:
         a, b = ids[label[rest]].astype(np.int64), ids[rest].astype(np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    met = classes.select("id", "sign").mapInArrow(spread, "bucket long, part binary")
+    met = classes.select("id", "sign", "sign2").mapInArrow(spread, "bucket long, part binary")
     # stars are spread over tasks of their own
     spread_out = F.when(F.col("bucket") == STARS, F.xxhash64("part")).otherwise(F.lit(0))
     return met.withColumn("spread", spread_out).groupBy("bucket", "spread").applyInArrow(compared, "a long, b long").distinct()
 
 
 def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance; a column of the table is the bits of one integer."""
+    """Levenshtein distance; a column of the table is the bits of two integers, where it rises and where it falls."""
     if len(a) < len(b):
         a, b = b, a
-    if not b:
-        return len(a)
     where: dict[str, int] = {}
     for i, c in enumerate(b):
         where[c] = where.get(c, 0) | 1 << i
-    full, top, up, down, score = (1 << len(b)) - 1, 1 << len(b) - 1, (1 << len(b)) - 1, 0, len(b)
+    full, wide = (1 << len(b)) - 1, (2 << len(b)) - 1
+    up, down = full, 0
     for c in a:
-        same = where.get(c, 0) | down
-        flat = ((where.get(c, 0) & up) + up ^ up) | same
-        plus, minus = down | ~(flat | up) & full, up & flat
-        score += (plus & top > 0) - (minus & top > 0)
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        up, down = minus | ~(same | plus) & full, plus & same
-    return score
+        same = where.get(c, 0)
+        flat = (same & up) + up ^ up | same | down
+        plus = (((flat | up) ^ wide | down) << 1 | 1) & full
+        up, down = ((up & flat) << 1 | (flat | plus) ^ wide) & full, plus & flat
+    return len(a) + up.bit_count() - down.bit_count()
+
+
+def _shared(a: str, b: str) -> int:
+    """Characters of the common start."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _core(a: str, b: str) -> tuple[str, str]:
+    """The strings without their common start and end."""
+    low = _shared(a, b)
+    a, b = a[low:], b[low:]
+    high = _shared(a[::-1], b[::-1])
+    return a[:len(a) - high], b[:len(b) - high]
+
+
+def distance_bound(a: str, b: str, slack: int) -> int:
+    """No less than the edit distance: starts, ends and pieces that both have (at most ``slack`` apart) stay, the rest is exchanged."""
+    a, b = _core(a, b)
+    for at in (len(a) // 2, len(a) // 4, 3 * len(a) // 4):
+        if at + PIECE <= len(a):
+            there = b.find(a[at:at + PIECE], max(0, at - slack), at + PIECE + slack)
+            if there >= 0:
+                return distance_bound(a[:at], b[:there], slack) + distance_bound(a[at + PIECE:], b[there + PIECE:], slack)
+    return max(len(a), len(b))
 
 
 def similar_lines(a: str, b: str, percent: int) -> bool:
@@ -204,16 +251,13 @@ def similar_lines(a: str, b: str, percent: int) -> bool:
     allowed = (100 - percent) * longest // 100
     if abs(len(a) - len(b)) > allowed:
         return False
-    low = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    a, b = a[low:], b[low:]
-    high = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
-    a, b = a[:len(a) - high], b[:len(b) - high]
-    return max(len(a), len(b)) <= allowed or edit_distance(a, b) <= allowed
+    a, b = _core(a, b)
+    return distance_bound(a, b, allowed) <= allowed or edit_distance(a, b) <= allowed
 
 
 def _linked(percent: int):
     def links(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        texts, signs = table["line"].to_pylist(), table["sign"].to_numpy().view(_U)
+        texts, signs, signs2 = table["line"].to_pylist(), table["sign"].to_numpy().view(_U), table["sign2"].to_numpy().view(_U)
         group, left, right = list(range(len(texts))), [], []
 
         def root(x: int) -> int:
@@ -222,7 +266,7 @@ def _linked(percent: int):
             return x
 
         for i in range(len(texts) - 1):
-            for j in (np.flatnonzero(np.bitwise_count(signs[i + 1:] ^ signs[i]) <= DISTANCE) + i + 1).tolist():
+            for j in (np.flatnonzero(candidate(signs[i + 1:] ^ signs[i], signs2[i + 1:] ^ signs2[i])) + i + 1).tolist():
                 if root(i) != root(j) and similar_lines(texts[i], texts[j], percent):
                     group[root(j)] = root(i)
                     left.append(i)
@@ -234,8 +278,8 @@ def _linked(percent: int):
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, plus n_lines and n_removed (lines with words).
 
-    Lines end at \\n. Two lines are linked if their words are equal, or if their signatures differ in three bits at
-    most and the edit similarity of the normalised lines is ``percent`` / 100 at least. Of each connected
+    Lines end at \\n. Two lines are linked if their words are equal, or if they are candidates by their signatures (``candidate``)
+    and the edit similarity of the normalised lines is ``percent`` / 100 at least. Of each connected
     group the first line stays, by key (null last), then by a hash of the text, then by line number; the others go with
     their line end. Lines without words (blank, punctuation only) stay. A null text stays null with 0 lines. Rows
     with equal key and text are one document and share their result. All columns of ``docs`` come
@@ -255,21 +299,21 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
                 rows = pa.array(lines.owner[some] + at)
                 size = (lines.word_end[lines.word[some + 1] - 1] - lines.word_start[lines.word[some]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[some].view(np.int64)) for x in (lines.h1, lines.h2, lines.sign)]
+                    [pa.array(x[some].view(np.int64)) for x in (lines.h1, lines.h2, lines.sign, lines.sign2)]
                     + [batch.column(0).take(rows), batch.column(2).take(rows), batch.column(3).take(rows),
                        pa.array(lines.number[some].astype(np.int32)), pa.array(size)],
-                    ["h1", "h2", "sign", "key", "mark", "chunk", "line", "size"])
+                    ["h1", "h2", "sign", "sign2", "key", "mark", "chunk", "line", "size"])
 
     occurrences = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), mark.alias("mark"), chunk.alias("chunk")) \
-        .mapInArrow(describe, f"h1 long, h2 long, sign long, key {key_type}, mark long, chunk long, line int, size long")
+        .mapInArrow(describe, f"h1 long, h2 long, sign long, sign2 long, key {key_type}, mark long, chunk long, line int, size long")
     place = F.struct(F.col("key").isNull().alias("last"), "key", "mark", "line", "chunk")
     classes = stored(
-        occurrences.groupBy("h1", "h2", "sign").agg(F.min(place).alias("first"), F.max("size").alias("size"))
+        occurrences.groupBy("h1", "h2", "sign").agg(F.min(place).alias("first"), F.max("sign2").alias("sign2"), F.max("size").alias("size"))
         .withColumn("id", F.monotonically_increasing_id()))
     families = groups_of(stored(_candidates(classes, classes.count())))
 
     members = stored(classes.join(families.withColumnRenamed("label", "family"), "id").select(
-        "id", "family", "sign", F.col("first.mark").alias("mark"), F.col("first.line").alias("line_no"), F.col("first.chunk").alias("chunk"),
+        "id", "family", "sign", "sign2", F.col("first.mark").alias("mark"), F.col("first.line").alias("line_no"), F.col("first.chunk").alias("chunk"),
         F.greatest("size", F.lit(LEAST_WEIGHT)).alias("weight")))
     others = [c for c in docs.columns if c not in (key, text)]
     rows = docs.select(F.struct(F.lit(0).alias("0"), *others).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), mark.alias("mark"), chunk.alias("chunk"))
@@ -284,10 +328,10 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
             if at != now:
                 now, split = at, texts[at].as_py().encode().split(b"\n")
             lines.append(normal_line(split[line]))
-        return pa.table({"id": wanted["id"], "family": wanted["family"], "sign": wanted["sign"], "line": pa.array(lines, pa.string())})
+        return pa.table({"id": wanted["id"], "family": wanted["family"], "sign": wanted["sign"], "sign2": wanted["sign2"], "line": pa.array(lines, pa.string())})
 
-    with_line = by_chunk.cogroup(members.groupBy("chunk")).applyInArrow(fetch, "id long, family long, sign long, line string")
-    groups = confirm(members, with_line, ["sign", "line"], _linked(percent), TASK_CHARS)
+    with_line = by_chunk.cogroup(members.groupBy("chunk")).applyInArrow(fetch, "id long, family long, sign long, sign2 long, line string")
+    groups = confirm(members, with_line, ["sign", "sign2", "line"], _linked(percent), TASK_CHARS)
     group = F.coalesce("label", "id")
     kept = classes.join(groups, "id", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")) \
         .select("first.key", "first.mark", "first.line", F.col("first.chunk").alias("chunk"))

@@ -69,10 +69,9 @@ def by_bucket(keys: np.ndarray, ids: np.ndarray, bits: int, long_run: int = LONG
         yield STARS, np.concatenate([hubs, spokes]).tobytes()
 
 
-def unpacked(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    arrays = [np.frombuffer(p, np.uint64).reshape(2, -1) for p in parts]
-    both = np.concatenate(arrays, axis=1) if arrays else np.zeros((2, 0), np.uint64)
-    return both[0], both[1]
+def unpacked(parts: list[bytes], columns: int = 2) -> tuple[np.ndarray, ...]:
+    arrays = [np.frombuffer(p, np.uint64).reshape(columns, -1) for p in parts]
+    return tuple(np.concatenate(arrays, axis=1) if arrays else np.zeros((columns, 0), np.uint64))
 
 
 def pairs_of_runs(cuts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

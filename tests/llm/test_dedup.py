@@ -100,12 +100,15 @@ def expected_lines(texts, percent):
         for n, raw in enumerate((t or "").split("\n")):
             normal = line_dedup.normal_line(raw.encode())
             lines[k, t, n] = normal
-            signs.setdefault(normal, int(found.sign[n]))
+            signs.setdefault(normal, (int(found.sign[n]), int(found.sign2[n])))
     classes = [x for x in signs if x]
     groups, at = Groups(len(classes)), {x: i for i, x in enumerate(classes)}
     for i, a in enumerate(classes):
         for j in range(i):
-            if (signs[a] ^ signs[classes[j]]).bit_count() <= line_dedup.DISTANCE and line_dedup.similar_lines(a, classes[j], percent):
+            apart, apart2 = (x ^ y for x, y in zip(signs[a], signs[classes[j]]))
+            blocks = sum(not (apart >> low) % (1 << high - low) for low, high in ((0, 12), (12, 25), (25, 38), (38, 51), (51, 64)))
+            bits = apart.bit_count(), apart2.bit_count()
+            if blocks >= 2 and (bits[0] <= 3 or sum(bits) <= 12) and line_dedup.similar_lines(a, classes[j], percent):
                 groups.join(i, j)
     marks = {}
     for k, t in distinct:
@@ -165,7 +168,7 @@ def plain_distance(a, b):
 @settings(max_examples=300, deadline=None)
 @given(st.text("abc é", max_size=20), st.text("abc é", max_size=20))
 def test_edit_distance(a, b):
-    assert line_dedup.edit_distance(a, b) == plain_distance(a, b)
+    assert line_dedup.edit_distance(a, b) == plain_distance(a, b) <= line_dedup.distance_bound(a, b, 2)
     longest = max(len(a), len(b))
     assert line_dedup.similar_lines(a, b, 80) == (plain_distance(a, b) <= 20 * longest // 100)
 
