@@ -28,8 +28,11 @@ from llm.similar import STANDS, STARS, bucket_bits, confirm, pairs_of_runs, thin
 #: Differing signature bits up to which every pair is a candidate.
 DISTANCE = 3
 BLOCKS = 5
-#: A pair that agrees in BLOCKS - DISTANCE blocks is a candidate up to this number of differing bits of both signatures.
-BOTH_DISTANCE = 12
+#: A pair that agrees in BLOCKS - DISTANCE blocks is a candidate up to this number of differing bits of both signatures (64 and 48 bits).
+BOTH_DISTANCE = 8
+#: Low bits of the second signature's word hold the logarithm of the line's length, in steps of 1 / LENGTH_STEPS octaves.
+LENGTH_BITS = 16
+LENGTH_STEPS = 2048
 #: Characters of the pieces that the quick bound of the edit distance looks for.
 PIECE = 10
 #: Longest run of a block pair in which all signatures are compared; a longer one gets a star.
@@ -78,7 +81,7 @@ class Lines:
 
 
 class HashedLines(Lines):
-    """Lines with two 64-bit hashes and two SimHashes of their words."""
+    """Lines with two 64-bit hashes and two SimHashes of their words; the second one with the length of the normalised line."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         super().__init__(data, bounds)
@@ -87,7 +90,10 @@ class HashedLines(Lines):
         self.n_words = np.diff(self.word)
         own = words.hash_spans(low, self.word_start, self.word_end)
         self.h1, self.h2 = words.hash_runs(own, self.word, 11), words.hash_runs(own, self.word, 12)
-        self.sign, self.sign2 = simhash(words.mix(own + _U(99)), self.word), simhash(words.mix(own + _U(1_234_567)), self.word)
+        self.sign = simhash(words.mix(own + _U(99)), self.word)
+        points = np.concatenate([[0], np.cumsum(~words.PUNCTUATION[data] & ((data & 0xC0) != 0x80))])[self.edge]
+        length = np.rint(LENGTH_STEPS * np.log2(np.maximum(1, np.diff(points) + self.n_words - 1))).astype(_U)
+        self.sign2 = simhash(words.mix(own + _U(1_234_567)), self.word) >> _U(LENGTH_BITS) << _U(LENGTH_BITS) | length
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -124,19 +130,23 @@ def _kept_bits(table: int) -> int:
     return int(sum(_EDGES[b + 1] - _EDGES[b] for b in TABLES[table]))
 
 
-def close(apart: np.ndarray, apart2: np.ndarray) -> np.ndarray:
-    """Whether pairs that agree in enough blocks are candidates, from the differing bits of their first and second signatures."""
-    first = np.bitwise_count(apart)
-    return (first <= DISTANCE) | (first + np.bitwise_count(apart2) <= BOTH_DISTANCE)
+def close(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs that agree in enough blocks are candidates: by the differing bits of their first signatures, and their second words.
+
+    Pairs whose lengths alone rule out an edit similarity of ``percent`` / 100 are none.
+    """
+    first, mask = np.bitwise_count(apart), _U((1 << LENGTH_BITS) - 1)
+    length = np.abs((a & mask).astype(np.int32) - (b & mask).astype(np.int32)) <= LENGTH_STEPS * np.log2(100 / max(percent, 1)) + 1
+    return length & ((first <= DISTANCE) | (first + np.bitwise_count((a ^ b) >> _U(LENGTH_BITS)) <= BOTH_DISTANCE))
 
 
-def candidate(apart: np.ndarray, apart2: np.ndarray) -> np.ndarray:
-    """Whether pairs with these differing bits meet in a table and are candidates."""
+def candidate(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs meet in a table and are candidates."""
     equal = sum((apart & mask == 0).astype(np.int8) for mask in _MASKS)
-    return (equal >= BLOCKS - DISTANCE) & close(apart, apart2)
+    return (equal >= BLOCKS - DISTANCE) & close(apart, a, b, percent)
 
 
-def _candidates(classes: DataFrame, lines: int) -> DataFrame:
+def _candidates(classes: DataFrame, lines: int, percent: int) -> DataFrame:
     """(a, b): edges that connect all pairs of classes that are candidates."""
     bits = min(bucket_bits(lines, least=1), min(map(_kept_bits, range(len(TABLES)))))
 
@@ -174,7 +184,7 @@ def _candidates(classes: DataFrame, lines: int) -> DataFrame:
         star = (size > COMPARED_RUN) | (np.logical_or.reduceat(stands, start) & (size > 1))
         short = (size > 1) & (size <= 64) & ~star
         i, j = pairs_of_runs(start[short], size[short])
-        near = close(keys[i] ^ keys[j], second[i] ^ second[j])
+        near = close(keys[i] ^ keys[j], second[i], second[j], percent)
         left, right = [i[near]], [j[near]]
         rest = star | (size > 64)
         for s, n, whole in zip(start[rest], size[rest], star[rest]):
@@ -183,7 +193,7 @@ def _candidates(classes: DataFrame, lines: int) -> DataFrame:
                 right.append(np.arange(s + 1, s + n))
                 continue
             for k in range(s, s + n - 1):
-                hit = np.flatnonzero(close(keys[k + 1:s + n] ^ keys[k], second[k + 1:s + n] ^ second[k])) + k + 1
+                hit = np.flatnonzero(close(keys[k + 1:s + n] ^ keys[k], second[k + 1:s + n], second[k], percent)) + k + 1
                 left.append(np.full(len(hit), k))
                 right.append(hit)
         label = local_labels(len(keys), np.concatenate(left), np.concatenate(right))
@@ -266,7 +276,7 @@ def _linked(percent: int):
             return x
 
         for i in range(len(texts) - 1):
-            for j in (np.flatnonzero(candidate(signs[i + 1:] ^ signs[i], signs2[i + 1:] ^ signs2[i])) + i + 1).tolist():
+            for j in (np.flatnonzero(candidate(signs[i + 1:] ^ signs[i], signs2[i + 1:], signs2[i], percent)) + i + 1).tolist():
                 if root(i) != root(j) and similar_lines(texts[i], texts[j], percent):
                     group[root(j)] = root(i)
                     left.append(i)
@@ -310,7 +320,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     classes = stored(
         occurrences.groupBy("h1", "h2", "sign").agg(F.min(place).alias("first"), F.max("sign2").alias("sign2"), F.max("size").alias("size"))
         .withColumn("id", F.monotonically_increasing_id()))
-    families = groups_of(stored(_candidates(classes, classes.count())))
+    families = groups_of(stored(_candidates(classes, classes.count(), percent)))
 
     members = stored(classes.join(families.withColumnRenamed("label", "family"), "id").select(
         "id", "family", "sign", "sign2", F.col("first.mark").alias("mark"), F.col("first.line").alias("line_no"), F.col("first.chunk").alias("chunk"),

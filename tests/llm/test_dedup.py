@@ -107,8 +107,8 @@ def expected_lines(texts, percent):
         for j in range(i):
             apart, apart2 = (x ^ y for x, y in zip(signs[a], signs[classes[j]]))
             blocks = sum(not (apart >> low) % (1 << high - low) for low, high in ((0, 12), (12, 25), (25, 38), (38, 51), (51, 64)))
-            bits = apart.bit_count(), apart2.bit_count()
-            if blocks >= 2 and (bits[0] <= 3 or sum(bits) <= 12) and line_dedup.similar_lines(a, classes[j], percent):
+            bits = apart.bit_count(), (apart2 >> 16).bit_count()
+            if blocks >= 2 and (bits[0] <= 3 or sum(bits) <= 8) and line_dedup.similar_lines(a, classes[j], percent):
                 groups.join(i, j)
     marks = {}
     for k, t in distinct:
