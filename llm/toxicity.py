@@ -36,6 +36,10 @@ LEAST_DEVIATIONS = 5.0
 STEPS = 25
 #: Words of a segment of the chain: segments are multiplied out side by side.
 SEGMENT = 64
+#: Words whose marginals are formed at once, about; only a single longer text exceeds it.
+BLOCK_WORDS = 1 << 17
+#: Parts in which features are counted.
+LABEL_PARTS = 8
 
 _U = np.uint64
 
@@ -49,6 +53,14 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.stack([(c >> _U(64 - FEATURE_BITS)).astype(np.uint32) for c in columns], axis=1), first, starts, ends
 
 
+def blocks(first: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """The words of whole texts, and the first word of each of them, in blocks; every word is in one block."""
+    cuts = np.searchsorted(first, np.arange(0, first[-1] + BLOCK_WORDS, BLOCK_WORDS)).clip(max=len(first) - 1)
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        if first[s] < first[e]:
+            yield slice(first[s], first[e]), first[s:e + 1] - first[s]
+
+
 @dataclass
 class Chain:
     """Emission weights of state 1 (state 0 has none), their bias, and log transition weights."""
@@ -105,9 +117,35 @@ class Chain:
 
     def marginals(self, found: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The probability of state 1 of every word."""
-        forward, backward = self.passes(self.emissions(found), first)
+        out = np.empty(len(found))
+        for own, at in blocks(first):
+            forward, backward = self.passes(self.emissions(found[own]), at)
+            both = forward * backward
+            out[own] = both[:, 1] / np.maximum(both.sum(axis=1), 1e-300)
+        return out
+
+    def slope(self, found: np.ndarray, first: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """The slope of the log likelihood of the labels, in the order of ``params``."""
+        inner = _inner(first)
+        emission = self.emissions(found)
+        forward, backward = self.passes(emission, first)
         both = forward * backward
-        return both[:, 1] / np.maximum(both.sum(axis=1), 1e-300)
+        gap = label - both[:, 1] / both.sum(axis=1)
+        state = np.stack([np.ones(len(label)), emission], axis=1) * backward
+        pair = forward[inner - 1, :, None] * np.exp(self.moves)[None] * state[inner, None, :]
+        pair /= pair.sum(axis=(1, 2), keepdims=True)
+        moves = np.bincount(2 * label[inner - 1] + label[inner], minlength=4) - pair.sum(axis=0).ravel()
+        return np.concatenate([sum(np.bincount(column, gap, len(self.weights)) for column in found.T), [gap.sum()], moves])
+
+    def params(self) -> np.ndarray:
+        return np.concatenate([self.weights, [self.bias], self.moves.ravel()])
+
+
+def _inner(first: np.ndarray) -> np.ndarray:
+    """Words that follow a word of their text."""
+    opens = np.zeros(first[-1], bool)
+    opens[first[:-1][np.diff(first) > 0]] = True
+    return np.flatnonzero(~opens)
 
 
 def word_labels(found: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -118,11 +156,12 @@ def word_labels(found: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.n
     text, low = np.repeat(np.arange(len(toxic)), np.diff(first)), _U((1 << FEATURE_BITS) - 1)
     before = np.concatenate([np.zeros(1, np.uint32), found[:-1, 0]])[:len(found)]
     context = words.mix(before.astype(_U) + _U(31)) & ~low
-    seen = []
+    seen = np.zeros((2, 1 << FEATURE_BITS), np.int64)
     for y in (0, 1):
-        mine = toxic[text] == y
-        pairs = np.unique(context[mine, None] | found[mine].astype(_U))
-        seen.append(np.bincount((pairs & low).astype(np.int64), minlength=1 << FEATURE_BITS))
+        for part in range(LABEL_PARTS):  # features in parts, which bounds the pairs held at once
+            at, column = np.nonzero((found % LABEL_PARTS == part) & (toxic[text] == y)[:, None])
+            pairs = np.unique(context[at] | found[at, column])
+            seen[y] += np.bincount((pairs & low).astype(np.int64), minlength=1 << FEATURE_BITS)
     all_clean, all_toxic = int(seen[0].sum()), int(seen[1].sum())
     odds = np.log((seen[1] + 0.5) / (all_toxic + 1)) - np.log((seen[0] + 0.5) / (all_clean + 1))
     both, share = seen[0] + seen[1], all_toxic / (all_clean + all_toxic)
@@ -133,26 +172,15 @@ def word_labels(found: np.ndarray, first: np.ndarray, toxic: np.ndarray) -> np.n
 
 def train_chain(found: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = STEPS) -> Chain:
     """Maximum likelihood with a small ridge, by Adam on the whole sample."""
-    n, size = len(label), 1 << FEATURE_BITS
-    opens = np.zeros(n, bool)
-    opens[first[:-1][np.diff(first) > 0]] = True
+    size = 1 << FEATURE_BITS
     rate = np.clip(label.mean(), 1e-4, 0.5)
     chain = Chain(np.zeros(size), float(np.log(rate / (1 - rate))), np.zeros((2, 2)))
-    inner = np.flatnonzero(~opens)
-    seen_moves = np.bincount(2 * label[inner - 1] + label[inner], minlength=4).reshape(2, 2)
-    params = np.concatenate([chain.weights, [chain.bias], chain.moves.ravel()])
+    params = chain.params()
     m, v = np.zeros_like(params), np.zeros_like(params)
     for t in range(1, steps + 1):
-        emission = chain.emissions(found)
-        forward, backward = chain.passes(emission, first)
-        both = forward * backward
-        p = both[:, 1] / both.sum(axis=1)
-        state = np.stack([np.ones(n), emission], axis=1) * backward
-        pair = forward[inner - 1, :, None] * np.exp(chain.moves)[None] * state[inner, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
-        gap = label - p
-        slope = np.concatenate([sum(np.bincount(column, gap, size) for column in found.T), [gap.sum()], (seen_moves - pair.sum(axis=0)).ravel()])
-        slope -= 0.05 * params
+        slope = -0.05 * params
+        for own, at in blocks(first):
+            slope += chain.slope(found[own], at, label[own])
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         params = params + 0.4 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         chain = Chain(params[:size], float(params[size]), params[size + 1:].reshape(2, 2))

@@ -249,6 +249,22 @@ def test_forward_backward_in_segments():
     assert len(chain.marginals(found[:0], np.array([0, 0]))) == 0
 
 
+@pytest.mark.parametrize("sizes", [[0, 3, 0, 0, 7, 1, 40, 0], [5], [8, 8, 8], [0, 0], []])
+def test_blocks_of_texts_change_nothing(sizes, monkeypatch):
+    rng = np.random.default_rng(5)
+    first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    found = rng.integers(0, 1 << toxicity.FEATURE_BITS, (first[-1], 4)).astype(np.uint32)
+    label = rng.integers(0, 2, first[-1])
+    chain = toxicity.Chain(rng.normal(size=1 << toxicity.FEATURE_BITS), 0.1, rng.normal(size=(2, 2)))
+    whole = chain.marginals(found, first), chain.slope(found, first, label)
+    monkeypatch.setattr(toxicity, "BLOCK_WORDS", 8)
+    parts = list(toxicity.blocks(first))
+    assert np.array_equal(np.concatenate([np.arange(len(found))[own] for own, _ in parts] or [[]]), np.arange(len(found)))
+    assert chain.marginals(found, first) == pytest.approx(whole[0])
+    total = sum((chain.slope(found[own], at, label[own]) for own, at in parts), np.zeros(len(whole[1])))
+    assert np.allclose(total, whole[1])
+
+
 def test_toxicity_on_held_out_rows(spark):
     """A made vocabulary of bad words, with endings never seen in training."""
     rng = np.random.default_rng(5)
