@@ -29,7 +29,7 @@ from llm.similar import STANDS, STARS, bucket_bits, confirm, pairs_of_runs, thin
 DISTANCE = 3
 BLOCKS = 5
 #: A pair that agrees in BLOCKS - DISTANCE blocks is a candidate up to this number of differing bits of both signatures (64 and 48 bits).
-BOTH_DISTANCE = 8
+BOTH_DISTANCE = 12
 #: Low bits of the second signature's word hold the logarithm of the line's length, in steps of 1 / LENGTH_STEPS octaves.
 LENGTH_BITS = 16
 LENGTH_STEPS = 2048
