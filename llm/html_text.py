@@ -1,10 +1,10 @@
 """Main text of web pages: structure first, then a suffix array per host that finds boilerplate.
 
 Each page is read once into blocks: element semantics, roles and class names say which parts are menus, headers, footers,
-sidebars, notices, adverts, forms or comments. Pages of one host are then brought together, their token streams are concatenated
-and their suffixes are sorted by prefix doubling to the depth of RUN tokens. A run of RUN tokens or more that stands on
-PAGE_SHARE of the pages is boilerplate; a block of which every word is covered by such runs goes, unique runs stay.
-A host with more text than a task should hold is cut into shards of pages by a hash of address and key; each shard is judged for itself.
+sidebars, notices, adverts, forms or comments. The distinct page texts of one host are then brought together, their token streams are
+concatenated and their suffixes are sorted by prefix doubling to the depth of RUN tokens. A run of RUN tokens or more that stands on
+PAGE_SHARE of the distinct texts is boilerplate; a block of which every word is covered by such runs goes, unique runs stay.
+A host with more text than a task should hold is cut into shards by a hash of the page text; runs are counted over all shards of the host.
 """
 
 from __future__ import annotations
@@ -20,17 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from llm import words
-from llm.session import ready
+from llm.session import ready, stored
 
 #: Tokens (words and block edges) of a repeated run, at least; a power of two.
 RUN = 4
-#: A run is boilerplate if it stands on this share of the pages, of LEAST_PAGES pages at least.
+#: A run is boilerplate if it stands on this share of the distinct page texts of a host, and on LEAST_PAGES at least.
 PAGE_SHARE = 0.6
 LEAST_PAGES = 20
 #: Bytes of a shard of a host's pages, about.
 SHARD_BYTES = 4 << 20
-#: Hosts with more shards than one are sent to every task up to this number, and joined by a shuffle beyond.
+#: Hosts up to this number are sent to every task, and joined by a shuffle beyond.
 BROADCAST_HOSTS = 100_000
+#: Frequent runs of all hosts up to this number are sent to every task, and joined by a shuffle beyond.
+BROADCAST_RUNS = 1_000_000
 
 # Element names, roles and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -199,61 +201,130 @@ def blocks_of(html: str) -> list[str]:
     return [text for _, link, text in out if not link]
 
 
-def _boilerplate(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first byte of each block and the end, whether it is covered by runs that stand on enough of the pages)."""
-    n_pages = len(bounds) - 1
+def _runs(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first byte of each block and the end, first word of each block and the end, token of each word, run at each token, page of the run or -1).
+
+    A run is the hash of RUN tokens from there on: words and block edges of one page.
+    """
     newline = np.flatnonzero(data == 0x0A)
     begins = np.unique(np.concatenate([bounds[:-1], newline + 1]))
     begins = begins[begins < len(data)]
     edges = np.append(begins, len(data))
-    keep = np.zeros(len(begins), bool)
-    if n_pages < LEAST_PAGES:
-        return edges, keep
     starts, ends, first = words.find_words(data, edges)
     values = words.hash_spans(data, starts, ends)
-    # tokens: an edge before each block, its words; an edge and an end of its own after each page
+    # tokens: an edge before each block, its words; an edge after each page
     page = np.searchsorted(bounds, begins, "right") - 1
     size = np.diff(first)
-    last = np.append(page[1:] != page[:-1], True)
-    offset = np.concatenate([[0], np.cumsum(1 + size + 2 * last)])
-    tokens = np.full(offset[-1], -1, np.int64)
+    last = np.append(page[1:] != page[:-1], True)[:len(page)]
+    offset = np.concatenate([[0], np.cumsum(1 + size + last)])
     word_at = np.repeat(offset[:-1] + 1 - first[:-1], size) + np.arange(len(values))
-    rank = np.unique(values, return_inverse=True)[1].astype(np.int64) + 1
-    tokens[word_at] = rank
-    tokens[offset[:-1]] = 0
-    tail = offset[1:][last]
-    tokens[tail - 2] = 0
-    tokens[tail - 1] = rank.max(initial=0) + 1 + np.arange(len(tail))
+    runs = np.zeros(offset[-1], np.uint64)
+    runs[word_at] = words.mix(values + np.uint64(1))
     owner = np.repeat(page, np.diff(offset))
-    order, depth = tokens, 1
-    while depth < RUN:  # prefix doubling: ranks of the first 2, 4, ... tokens of every suffix
-        after = np.append(order[depth:], np.full(depth, -1))
-        order = np.unique((order + 1) * (len(tokens) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
+    depth = 1
+    while depth < RUN:  # prefix doubling: hashes of the first 2, 4, ... tokens of every suffix
+        runs = words.mix(runs * np.uint64(0x9E3779B97F4A7C15) + np.append(runs[depth:], np.zeros(depth, np.uint64))[:len(runs)] + np.uint64(depth))
         depth *= 2
-    pairs = np.unique(order * n_pages + owner)
-    pages = np.bincount(pairs // n_pages, minlength=int(order.max(initial=0)) + 1)
-    frequent = (pages >= max(LEAST_PAGES, int(np.ceil(PAGE_SHARE * n_pages))))[order]
-    frequent &= np.append(owner[RUN - 1:], np.full(RUN - 1, -1)) == owner
-    cover = np.zeros(len(tokens) + RUN, np.int64)
-    np.add.at(cover, np.flatnonzero(frequent), 1)
-    np.add.at(cover, np.flatnonzero(frequent) + RUN, -1)
-    covered = np.cumsum(cover)[word_at] > 0
-    seen = np.concatenate([[0], np.cumsum(covered)])
-    return edges, (seen[first[1:]] - seen[first[:-1]] == size) & (size > 0)
+    whole = np.append(owner[RUN - 1:], np.full(RUN - 1, -1))[:len(owner)] == owner
+    return edges, first, word_at, runs, np.where(whole, owner, -1)
+
+
+def _of_host(runs: np.ndarray, hosts: np.ndarray) -> np.ndarray:
+    """The runs as runs of their hosts: equal runs of two hosts differ."""
+    return words.mix(runs + words.mix(hosts.view(np.uint64)))
+
+
+def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(runs in ascending order, number of texts that hold each)."""
+    for _, _, data, bounds in words.slices(texts, 1 << 62):
+        runs, owner = _runs(data, bounds)[3:]
+        found, order = np.unique(runs[owner >= 0], return_inverse=True)
+        pairs = np.unique(order * len(bounds) + owner[owner >= 0])
+        return found, np.bincount(pairs // len(bounds), minlength=len(found))
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def _without(texts: pa.Array, hosts: np.ndarray, frequent: np.ndarray) -> list[str]:
+    """The texts without the blocks of which every word is covered by ``frequent`` (sorted) runs of their hosts."""
+    out = []
+    for at, end, data, bounds in words.slices(texts):
+        edges, first, word_at, runs, owner = _runs(data, bounds)
+        hit = np.zeros(len(runs), bool)
+        some = owner >= 0
+        named = _of_host(runs[some], hosts[at:end][owner[some]])
+        if len(frequent):
+            hit[some] = frequent[np.minimum(np.searchsorted(frequent, named), len(frequent) - 1)] == named
+        cover = np.zeros(len(runs) + RUN, np.int64)
+        np.add.at(cover, np.flatnonzero(hit), 1)
+        np.add.at(cover, np.flatnonzero(hit) + RUN, -1)
+        seen = np.concatenate([[0], np.cumsum(np.cumsum(cover)[word_at] > 0)])
+        covered = (seen[first[1:]] - seen[first[:-1]] == np.diff(first)) & (np.diff(first) > 0)
+        for row in range(end - at):
+            low, high = np.searchsorted(edges[:-1], bounds[row:row + 2])
+            if covered[low:high].any():
+                kept = [data[edges[k]:edges[k + 1]].tobytes().decode().rstrip("\n") for k in range(low, high) if not covered[k]]
+                out.append("\n".join(kept))
+            else:
+                out.append(data[bounds[row]:bounds[row + 1]].tobytes().decode())
+    return out
+
+
+def _frequent(parsed: DataFrame) -> DataFrame:
+    """(host, run): the runs that stand on enough of the host's distinct page texts, counted over all of its shards.
+
+    A run that has the share of a host has it in one shard at least; those runs are counted in every shard of the host.
+    """
+    pages = parsed.where("text <> ''").withColumn("mark", F.xxhash64("text"))
+    sizes = pages.groupBy("host", "mark").agg(F.max("size").alias("size")).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).where(F.col("n") >= LEAST_PAGES)
+    need = F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") * F.lit(PAGE_SHARE))).cast("long")
+    hosts = stored(sizes.select("host", need.alias("need"), F.greatest(F.lit(1), F.ceil(F.col("size") / SHARD_BYTES)).cast("long").alias("shards")))
+    n_hosts, most = hosts.agg(F.count(F.lit(1)), F.max("shards")).first()
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # copies of a page in a batch are sent once
+            at = np.unique(np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), axis=0, return_index=True)[1]
+            yield batch.take(pa.array(np.sort(at)))
+
+    def distinct(table: pa.Table) -> pa.Array:
+        at = np.unique(table["mark"].to_numpy(), return_index=True)[1]
+        return pa.concat_arrays(table["text"].take(pa.array(at)).cast(pa.large_binary()).chunks)
+
+    def first_pass(table: pa.Table) -> pa.Table:
+        texts, many = distinct(table), table["shards"][0].as_py() > 1
+        runs, n = _counted(texts)
+        runs = runs[n >= (PAGE_SHARE * len(texts) - 1e-6 if many else table["need"][0].as_py())].view(np.int64)
+        return pa.table({"host": np.full(len(runs), table["host"][0].as_py()), "run": runs, "many": np.full(len(runs), many)})
+
+    def second_pass(table: pa.Table, asked: pa.Table) -> pa.Table:
+        wanted = np.unique(asked["run"].to_numpy().view(np.uint64))
+        runs, n = _counted(distinct(table)) if table.num_rows else (wanted[:0], np.zeros(0, np.int64))
+        here = np.isin(runs, wanted)
+        host = table["host"][0].as_py() if table.num_rows else 0
+        return pa.table({"host": np.full(here.sum(), host), "run": runs[here].view(np.int64), "n": n[here].astype(np.int64)})
+
+    known = F.broadcast(hosts) if n_hosts <= BROADCAST_HOSTS else hosts
+    texts = pages.join(known, "host").select("host", "mark", "text", "need", "shards", F.pmod("mark", "shards").alias("shard"))
+    texts = texts.mapInArrow(once, texts.schema)
+    found = stored(texts.groupBy("host", "shard").applyInArrow(first_pass, "host long, run long, many boolean").distinct())
+    final = found.where("not many").select("host", "run")
+    if (most or 1) == 1:
+        return final
+    asked = found.where("many").join(known, "host").select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
+    counts = texts.where("shards > 1").groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInArrow(second_pass, "host long, run long, n long")
+    whole = counts.groupBy("host", "run").agg(F.sum("n").alias("n")).join(known, "host").where("n >= need").select("host", "run")
+    return stored(final.unionByName(whole))
 
 
 def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text) of every page: blocks joined by \\n, character references decoded, white space in a block as one space.
 
     A null page is empty; a page without main text has the empty text. Pages without an address, or with one that
-    has no host, are judged as pages of one host without name. Repeated rows are pages of their own; null keys stay. An empty
-    table gives an empty result. Other columns are not used.
+    has no host, are judged as pages of one host without name. Copies and repeated rows of a page count once on a host
+    and get the same text; null keys stay. An empty table gives an empty result. Other columns are not used.
     """
-    ready(pages.sparkSession)
+    spark = ready(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), host.alias("host"))
-    large = rows.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / SHARD_BYTES).cast("long").alias("shards")).where("shards > 1")
-    known = large.limit(BROADCAST_HOSTS + 1).collect()
+    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"), F.xxhash64(host).alias("host"), F.octet_length(html).cast("long").alias("size"))
     key_type, url_type = pages.schema[key].dataType, pages.schema[url].dataType
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,26 +332,31 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = ["\n".join(blocks_of(x.as_py() or "")) for x in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), part.column(3)], ["key", "url", "text", "host"])
-
-    def judged(table: pa.Table) -> pa.Table:
-        texts, column = [], pa.concat_arrays(table["text"].cast(pa.large_binary()).chunks)
-        for _, _, data, bounds in words.slices(column, 1 << 62):
-            edges, covered = _boilerplate(data, bounds)
-            for row in range(len(bounds) - 1):
-                low, high = np.searchsorted(edges[:-1], bounds[row:row + 2])
-                if covered[low:high].any():
-                    kept = [data[edges[k]:edges[k + 1]].tobytes().decode().rstrip("\n") for k in range(low, high) if not covered[k]]
-                    texts.append("\n".join(kept))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), part.column(3), part.column(4)], ["key", "url", "text", "host", "size"])
+
+    fields = [T.StructField("key", key_type), T.StructField("url", url_type), T.StructField("text", T.StringType())]
+    parsed = stored(rows.mapInArrow(read, T.StructType([*fields, T.StructField("host", T.LongType()), T.StructField("size", T.LongType())])))
+    frequent = _frequent(parsed)
+    sent = frequent.limit(BROADCAST_RUNS + 1).toArrow()
+    if sent.num_rows <= BROADCAST_RUNS:
+        shipped = spark.sparkContext.broadcast(np.sort(_of_host(sent["run"].to_numpy().view(np.uint64), sent["host"].to_numpy())))
+        parsed = parsed.select("key", "url", "text", "host")
+    else:
+        shipped = None
+        packed = frequent.groupBy("host").agg(F.collect_list("run").alias("runs"))
+        parsed = parsed.join(packed, "host", "left").select("key", "url", "text", "host", "runs")
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                hosts = part.column(3).to_numpy()
+                if shipped is not None:
+                    known = shipped.value
                 else:
-                    texts.append(data[bounds[row]:bounds[row + 1]].tobytes().decode())
-        return pa.table({"key": table["key"], "url": table["url"], "text": pa.array(texts, pa.string())})
-
-    text = T.StructField("text", T.StringType())
-    parsed = rows.mapInArrow(read, T.StructType([T.StructField("key", key_type), T.StructField("url", url_type), text, T.StructField("host", T.StringType())]))
-    if len(known) <= BROADCAST_HOSTS:
-        large = F.broadcast(pages.sparkSession.createDataFrame(known, "host string, shards long"))
-    parsed = parsed.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("url", "key"), F.coalesce("shards", F.lit(1))))
-    out = parsed.select("key", "url", "text", "host", "shard").groupBy("host", "shard") \
-        .applyInArrow(judged, T.StructType([T.StructField("key", key_type), T.StructField("url", url_type), text]))
-    return out.withColumnsRenamed({"key": key, "url": url})
+                    names, one = np.unique(hosts, return_index=True)
+                    own = [np.array(part.column(4)[int(i)].as_py() or [], np.int64) for i in one]
+                    known = np.sort(_of_host(np.concatenate(own).view(np.uint64), np.repeat(names, [len(x) for x in own])))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(_without(part.column(2), hosts, known), pa.string())], ["key", "url", "text"])
+
+    return parsed.mapInArrow(cleaned, T.StructType(fields)).withColumnsRenamed({"key": key, "url": url})
