@@ -280,14 +280,32 @@ def _frequent(parsed: DataFrame) -> DataFrame:
     hosts = stored(sizes.select("host", need.alias("need"), F.greatest(F.lit(1), F.ceil(F.col("size") / SHARD_BYTES)).cast("long").alias("shards")))
     n_hosts, most = hosts.agg(F.count(F.lit(1)), F.max("shards")).first()
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # copies of a page in a batch are sent once
-            at = np.unique(np.column_stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]), axis=0, return_index=True)[1]
-            yield batch.take(pa.array(np.sort(at)))
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # the texts of a shard in one piece; copies of a page in a batch are sent once
+            place = np.column_stack([batch.column(k).to_numpy() for k in (0, 1, 4)])  # host, shard, mark
+            place, at = np.unique(place, axis=0, return_index=True)
+            start = np.flatnonzero(np.append(True, (place[1:, :2] != place[:-1, :2]).any(1))) if len(place) else at
+            marks, sizes, parts, length = [], [], [], []
+            for s, e in zip(start, np.append(start[1:], len(place))):
+                own = [x.encode() for x in batch.column(5).take(pa.array(at[s:e])).to_pylist()]
+                marks.append(place[s:e, 2].tobytes())
+                sizes.append(np.array([len(x) for x in own], np.int64).tobytes())
+                length.append(sum(map(len, own)))
+                parts.append(pa.compress(b"".join(own), "zstd", asbytes=True))
+            head = batch.take(pa.array(at[start])).columns[:4]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(marks, pa.binary()), pa.array(sizes, pa.binary()), pa.array(length, pa.int64()), pa.array(parts, pa.binary())],
+                                             ["host", "shard", "need", "shards", "marks", "sizes", "length", "part"])
 
     def distinct(table: pa.Table) -> pa.Array:
-        at = np.unique(table["mark"].to_numpy(), return_index=True)[1]
-        return pa.concat_arrays(table["text"].take(pa.array(at)).cast(pa.large_binary()).chunks)
+        known, out = set(), []
+        for marks, sizes, length, part in zip(*(table[c].to_pylist() for c in ("marks", "sizes", "length", "part"))):
+            data, end = pa.decompress(part, length, "zstd", asbytes=True), 0
+            for mark, size in zip(np.frombuffer(marks, np.int64).tolist(), np.frombuffer(sizes, np.int64).tolist()):
+                end += size
+                if mark not in known:
+                    known.add(mark)
+                    out.append(data[end - size:end])
+        return pa.array(out, pa.large_binary())
 
     def first_pass(table: pa.Table) -> pa.Table:
         texts, many = distinct(table), table["shards"][0].as_py() > 1
@@ -303,14 +321,16 @@ def _frequent(parsed: DataFrame) -> DataFrame:
         return pa.table({"host": np.full(here.sum(), host), "run": runs[here].view(np.int64), "n": n[here].astype(np.int64)})
 
     known = F.broadcast(hosts) if n_hosts <= BROADCAST_HOSTS else hosts
-    texts = pages.join(known, "host").select("host", "mark", "text", "need", "shards", F.pmod("mark", "shards").alias("shard"))
-    texts = texts.mapInArrow(once, texts.schema)
+    texts = pages.join(known, "host").select("host", F.pmod("mark", "shards").alias("shard"), "need", "shards", "mark", "text")
+    texts = texts.mapInArrow(packed, "host long, shard long, need long, shards long, marks binary, sizes binary, length long, part binary")
     found = stored(texts.groupBy("host", "shard").applyInArrow(first_pass, "host long, run long, many boolean").distinct())
     final = found.where("not many").select("host", "run")
     if (most or 1) == 1:
         return final
+    open_hosts = found.where("many").select("host").distinct()
+    open_texts = texts.where("shards > 1").join(F.broadcast(open_hosts) if n_hosts <= BROADCAST_HOSTS else open_hosts, "host", "left_semi")
     asked = found.where("many").join(known, "host").select("host", "run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard"))
-    counts = texts.where("shards > 1").groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInArrow(second_pass, "host long, run long, n long")
+    counts = open_texts.groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInArrow(second_pass, "host long, run long, n long")
     whole = counts.groupBy("host", "run").agg(F.sum("n").alias("n")).join(known, "host").where("n >= need").select("host", "run")
     return stored(final.unionByName(whole))
 
@@ -343,8 +363,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         parsed = parsed.select("key", "url", "text", "host")
     else:
         shipped = None
-        packed = frequent.groupBy("host").agg(F.collect_list("run").alias("runs"))
-        parsed = parsed.join(packed, "host", "left").select("key", "url", "text", "host", "runs")
+        of_host = frequent.groupBy("host").agg(F.collect_list("run").alias("runs"))
+        parsed = parsed.join(of_host, "host", "left").select("key", "url", "text", "host", "runs")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

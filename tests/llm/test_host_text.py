@@ -21,9 +21,9 @@ def texts(spark, rows):
 
 @pytest.mark.parametrize("url", ["http://a.example.org/%d", None])
 def test_copies_count_once(spark, url):
-    """30 copies of an article fill a host: its text stays, and what all pages share goes from the copies too."""
-    rows = [(i, url and url % i, page(words_of(0) if i < 30 else words_of(i))) for i in range(55)]
-    assert texts(spark, rows) == {i: words_of(0) if i < 30 else words_of(i) for i in range(55)}
+    """40 copies of an article fill a host: its text stays, and what all pages share goes from the copies too."""
+    rows = [(i, url and url % i, page(words_of(0) if i < 40 else words_of(i))) for i in range(65)]
+    assert texts(spark, rows) == {i: words_of(0) if i < 40 else words_of(i) for i in range(65)}
 
 
 def test_repeated_rows_are_one_page(spark):
