@@ -26,7 +26,7 @@ from llm.session import ready, stored
 RUN = 4
 #: A run is boilerplate if it stands on this share of the distinct page texts of a host, and on LEAST_PAGES at least.
 PAGE_SHARE = 0.6
-LEAST_PAGES = 20
+LEAST_PAGES = 3
 #: Bytes of a shard of a host's pages, about.
 SHARD_BYTES = 4 << 20
 #: Hosts up to this number are sent to every task, and joined by a shuffle beyond.

@@ -39,3 +39,11 @@ def test_large_pages_are_judged_over_the_host(spark, monkeypatch, runs):
     own = {i: words_of(i) + ("</p><p>a passage that some pages share" if i % 3 == 0 else "") for i in range(60)}
     got = texts(spark, [(i, "http://a.example.org/%d" % i, page(t)) for i, t in own.items()])
     assert got == {i: t.replace("</p><p>", "\n") for i, t in own.items()}
+
+
+def test_small_hosts(spark):
+    """Notices on all pages of a host of 18 or 4 pages go; two pages are too few, and copies are no further pages."""
+    own = [(h, i) for h, n in (("a", 18), ("b", 4), ("c", 2)) for i in range(n)] + [("c", 1)] * 5
+    rows = [(100 * ord(h) + i, f"http://{h}.example.org/{i}", page(words_of(i))) for h, i in own]
+    whole = lambda i: "\n".join(("Read more on our site now", words_of(i), "Copyright of the host"))
+    assert texts(spark, rows) == {100 * ord(h) + i: whole(i) if h == "c" else words_of(i) for h, i in own}
