@@ -28,6 +28,8 @@ from llm.session import ready
 #: Labelled documents of each class, and words of all of them, that training uses at most.
 SAMPLE_ROWS = 3_000
 SAMPLE_WORDS = 1_500_000
+#: A text with more than SAMPLE_WORDS / LONG_TEXT words is scored, but not learned from.
+LONG_TEXT = 50
 FEATURE_BITS = 18
 PREFIXES = (4, 5, 6)
 #: A feature marks words of toxic documents if its log odds, and the excess of its toxic contexts over chance in deviations, reach these.
@@ -223,19 +225,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(summary(marginal, first) @ self.curve, -30, 30)))
 
 
+def _within(size: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Whether each text is learned from: a class has half of SAMPLE_WORDS and what the other leaves; single long texts are passed over."""
+    short = size <= SAMPLE_WORDS // LONG_TEXT
+    words_of = [int(size[short & (toxic == y)].sum()) for y in (0, 1)]
+    kept = short.copy()
+    for y in (0, 1):
+        own = short & (toxic == y)
+        kept[own] = np.cumsum(size[own]) <= SAMPLE_WORDS - min(words_of[1 - y], SAMPLE_WORDS // 2)
+    return kept
+
+
 def _trained(texts: list[str], toxic: np.ndarray, shares: tuple[float, float]) -> Model:
     """``shares``: of clean and toxic among all labelled rows, which the sample doesn't keep."""
     if len(np.unique(toxic)) < 2:
         return Model(None, None, shares[1])
+    size = [np.diff(words.find_words(data, bounds)[2]) for _, _, data, bounds in words.slices(pa.array(texts, pa.string()))]
+    kept = _within(np.concatenate(size), toxic)
+    if len(np.unique(toxic[kept])) < 2:
+        raise ValueError(f"every text of a class has more than {SAMPLE_WORDS // LONG_TEXT} words: none is left to learn from")
+    texts, toxic = [x for x, k in zip(texts, kept) if k], toxic[kept]
     found, first = [], [np.zeros(1, np.int64)]
     for _, _, data, bounds in words.slices(pa.array(texts, pa.string())):
         f, own, _, _ = features(data, bounds)
         found.append(f)
         first.append(own[1:] + first[-1][-1])
-        if first[-1][-1] > SAMPLE_WORDS:
-            break
     found, first = np.concatenate(found), np.concatenate(first)
-    toxic = toxic[:len(first) - 1]
     text = np.repeat(np.arange(len(toxic)), np.diff(first))
     order = np.zeros(len(toxic), int)
     for y in (0, 1):  # two thirds of each class for the chain
@@ -259,7 +274,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from the labelled rows; nulls are passed over, of repeated labels the largest counts.
 
-    The sample holds ``sample_rows`` documents of each class, the first by a seeded hash of the key.
+    The sample holds ``sample_rows`` documents of each class, the first by a seeded hash of the key; of rows with one key the least
+    text. It raises if every sampled text of a class is too long to learn from.
     """
     spark = ready(docs.sparkSession)
     one = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
@@ -269,7 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     for y in (0, 1):
         rows = one.where(F.col("toxic") == y).withColumn("draw", F.xxhash64(F.lit(seed), "key")).orderBy("draw", "key").limit(sample_rows)
         sample = rows if sample is None else sample.unionByName(rows)
-    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "key")
+    texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(sample), "key") \
+        .groupBy("key").agg(F.first("toxic").alias("toxic"), F.first("draw").alias("draw"), F.min("text").alias("text"))  # one row of a key
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["draw", "key", "text"])
