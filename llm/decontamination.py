@@ -72,11 +72,13 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
 
     Shingles are runs of ``width`` words, lower-cased (A-Z); an item of fewer words is one shingle of its words. Items
     and documents that are null or blank match nothing; rows without a key are not reported. Repeated keys: a pair is
-    reported once if any of its rows match, with the largest n_shared. Empty tables give an empty result. Other columns
+    reported once if any of its rows match, with the largest n_shared over the rows of both and n_item of that item row. Empty tables give an empty result. Other columns
     are not used.
     """
     ready(docs.sparkSession)
-    shingles = stored(item_shingles(items, item_key, item_text, width))
+    # rows of one item key with other texts are items of their own
+    own = items.where(F.col(item_key).isNotNull()).select(F.struct(F.col(item_key).alias("key"), F.xxhash64(item_text).alias("mark")).alias("item"), F.col(item_text).alias("text"))
+    shingles = stored(item_shingles(own, "item", "text", width))
     sizes = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("n_item"))
     sizes = sizes.withColumn("part", F.floor(F.log2(F.col("n_item").cast("double"))).cast("int")) \
         .withColumn("needed", F.ceil(F.col("n_item") * percent / 100).cast("long"))
@@ -86,7 +88,7 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
     parts = [(r.part, r.bound, r.needed) for r in sets.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("bound"), F.min("needed").alias("needed")).collect()]
     short = sorted(r.width for r in sets.select("width").distinct().where(F.col("width") < width).collect())
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    key_field, item_field = T.StructField("key", docs.schema[key].dataType), T.StructField("item", items.schema[item_key].dataType)
+    key_field, item_field = T.StructField("key", docs.schema[key].dataType), T.StructField("item", own.schema["item"].dataType)
     long = lambda name: T.StructField(name, T.LongType())
 
     if shingles.count() <= broadcast_limit:
@@ -133,7 +135,9 @@ def contained(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             .join(sets.select("item", F.explode("hashes").alias("hash")), ["item", "hash"]) \
             .groupBy("key", "mark", "item").agg(F.count(F.lit(1)).alias("n_shared"))
         pairs = counts.join(sets.select("item", "n_item", "needed"), "item").where("n_shared >= needed")
-    return pairs.groupBy(F.col("key").alias(key), F.col("item").alias(item_key)).agg(F.first("n_item").alias("n_item"), F.max("n_shared").alias("n_shared"))
+    most = F.max(F.struct("n_shared", (-F.col("n_item")).alias("n"))).alias("most")
+    return pairs.groupBy(F.col("key").alias(key), F.col("item.key").alias(item_key)).agg(most) \
+        .select(key, item_key, (-F.col("most.n")).alias("n_item"), F.col("most.n_shared").alias("n_shared"))
 
 
 def _index(sets: pa.Table, parts: list[tuple]) -> tuple:
