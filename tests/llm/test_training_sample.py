@@ -14,9 +14,8 @@ def labelled(n=600):
 
 def test_one_long_text_does_not_end_the_sample(monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_WORDS", 20_000)
-    monkeypatch.setattr("llm.words.SLICE_BYTES", 2_000)
     texts, toxic = labelled()
-    assert toxicity._trained(["long " * 30_000, *texts], np.append(0, toxic), (0.5, 0.5)).chain is not None
+    assert toxicity._trained(["long " * 500_000, *texts], np.append(0, toxic), (0.5, 0.5)).chain is not None
 
 
 def test_words_are_dealt_by_class(monkeypatch):
