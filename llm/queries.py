@@ -14,8 +14,10 @@ from llm.mixing import mix
 from llm.near_duplicates import near_duplicates
 from llm.registry import query, table
 from llm.secrets import BASE, joined_spans, secret_report
+from llm.simhash_near import simhash_groups
 from llm.substring_dedup import remove_repeats
 from llm.token_counts import token_counts
+from llm.vector_codes import vector_codes
 
 
 @query("op5_minhash_near_dedup")
@@ -122,3 +124,34 @@ def op11(spark, sf_dir):
     out = fill_in_middle(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@query("op12_simhash_near_dedup")
+def op12(spark, sf_dir):
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+#: A round of the codebooks: nearest entries, then the floors of their means; ``b`` is the codebook before, ``c`` the one after.
+_ROUND_SQL = """
+m{b} AS (SELECT r, part, any_value(q) AS q, min({{'d': list_sum([(y - z[i]) * (y - z[i]) FOR y, i IN q])::BIGINT, 'e': entry}}) AS best
+         FROM p JOIN c{b} USING (part) GROUP BY r, part),
+s{b} AS (SELECT part, entry, list(floor(total / n)::BIGINT ORDER BY i) AS new FROM (
+           SELECT part, best.e AS entry, i, sum(q[i])::DOUBLE AS total, count(*) AS n FROM m{b}, (SELECT unnest(range(1, w + 1)) AS i FROM d) GROUP BY ALL) GROUP BY part, entry),
+c{c} AS (SELECT part, entry, coalesce(new, z) AS z FROM c{b} LEFT JOIN s{b} USING (part, entry)),"""
+
+CODES_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS x FROM embeddings
+           WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+d AS (SELECT max(len(x)) // 16 AS w FROM v),
+p AS (SELECT r, part, list_slice(x, part * w + 1, part * w + w) AS q FROM v, d, (SELECT unnest(range(16)) AS part)),
+c0 AS (SELECT part, k - 1 AS entry, q AS z FROM (SELECT r, row_number() OVER (ORDER BY vec_id, x) AS k FROM v) JOIN p USING (r) WHERE k <= 64),""" + "".join(
+    _ROUND_SQL.format(b=k, c=k + 1) for k in range(2)) + """
+f AS (SELECT r, part, min({'d': list_sum([(y - z[i]) * (y - z[i]) FOR y, i IN q])::BIGINT, 'e': entry}) AS best FROM p JOIN c2 USING (part) GROUP BY r, part),
+g AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM f GROUP BY r)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       sha256((SELECT string_agg(array_to_string(z, ','), ',' ORDER BY part, entry) FROM c2)) AS codebooks_sha256 FROM g JOIN v USING (r)"""
+
+
+@query("op13_vector_codes", CODES_SQL)
+def op13(spark, sf_dir):
+    return vector_codes(table(spark, sf_dir, "embeddings"))
