@@ -6,13 +6,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
+from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import (Imputer, OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,16 +108,18 @@ def preprocessor(train: DataFrame, xs: Sequence[str], max_levels: int = 1000) ->
     return stages
 
 
-REGRESSORS = ("linear", "forest", "boosting")
-CLASSIFIERS = ("logistic", "forest", "boosting", "svm")
+REGRESSORS = ("linear", "tree", "forest", "boosting")
+CLASSIFIERS = ("logistic", "tree", "forest", "boosting", "svm")
 
 
 def estimator(model: str, task: str, classes: int = 2, seed: int = 42):
     if task == "regression":
         return {"linear": lambda: LinearRegression(solver="normal"),
+                "tree": lambda: DecisionTreeRegressor(maxDepth=5, seed=seed),
                 "forest": lambda: RandomForestRegressor(numTrees=100, maxDepth=10, seed=seed),
                 "boosting": lambda: GBTRegressor(maxIter=100, stepSize=0.1, maxDepth=5, seed=seed)}[model]()
     base = {"logistic": lambda: LogisticRegression(maxIter=1000, regParam=0.0, family="auto"),
+            "tree": lambda: DecisionTreeClassifier(maxDepth=5, seed=seed),
             "forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed),
             "boosting": lambda: GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=5, seed=seed),
             "svm": lambda: LinearSVC(maxIter=100, regParam=0.01, tol=1e-4)}[model]()
@@ -170,8 +172,9 @@ class Trained:
 
 
 def train(df: DataFrame, y: str, xs: Sequence[str], model: str, task: str = "regression",
-          grid: Mapping[str, Sequence] | None = None, folds: int = 5, seed: int = 42, parallelism: int = 4) -> Trained:
-    """Fit one model on ``df``; with a grid, cross-validated on R2 or accuracy."""
+          grid: Mapping[str, Sequence] | None = None, folds: int = 5, seed: int = 42, parallelism: int = 4,
+          params: Mapping[str, object] | None = None) -> Trained:
+    """Fit one model on ``df``; with a grid, cross-validated on R2 or accuracy. ``params`` are set on the estimator first."""
     labels: list[str] = []
     if task == "regression":
         data = fill_target(df, y).withColumn("label", as_double(y))
@@ -179,6 +182,9 @@ def train(df: DataFrame, y: str, xs: Sequence[str], model: str, task: str = "reg
         data, labels = encode_target(df, y)
     stages = preprocessor(data, xs)
     est = estimator(model, task, len(labels), seed)
+    inner = est.getClassifier() if isinstance(est, OneVsRest) else est
+    for name, value in (params or {}).items():
+        inner.set(inner.getParam(name), value)
     prepared = Pipeline(stages=stages).fit(data)
     features = spread_out(prepared.transform(data).select("features", "label")).persist()
     try:
