@@ -33,14 +33,16 @@ BOTH_DISTANCE = 12
 #: Low bits of the second signature's word hold the logarithm of the line's length, in steps of 1 / LENGTH_STEPS octaves.
 LENGTH_BITS = 16
 LENGTH_STEPS = 2048
+#: How often the search for an edit distance looks whether it can still end below the limit.
+LOOKS = 12
 #: Characters of the pieces that the quick bound of the edit distance looks for.
 PIECE = 10
 #: Longest run of a block pair in which all signatures are compared; a longer one gets a star.
 COMPARED_RUN = 20_000
 #: Longest run of a block pair that one batch of lines sends whole; of a longer one it makes a star.
 SENT_RUN = 1_000
-#: Characters of the lines that one task compares at once; a line weighs LEAST_WEIGHT at least.
-TASK_CHARS = 8_000_000
+#: Characters of the lines that one task compares at once; a line weighs LEAST_WEIGHT at least. A larger family is compared block by block.
+TASK_CHARS = 3_000_000
 LEAST_WEIGHT = 200
 #: Text bytes of a chunk, about.
 CHUNK_BYTES = 8 << 20
@@ -224,6 +226,39 @@ def edit_distance(a: str, b: str) -> int:
     return len(a) + up.bit_count() - down.bit_count()
 
 
+def within_distance(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance is no more than ``most``.
+
+    As ``edit_distance``, but some columns of the table are unfolded on the way: no path through a column costs less than its entry there and
+    the difference of the lengths that are left, so a column without an entry low enough ends the search.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return False
+    where: dict[str, int] = {}
+    for i, c in enumerate(b):
+        where[c] = where.get(c, 0) | 1 << i
+    n, m, size = len(a), len(b), (len(b) + 7) // 8
+    full, wide = (1 << m) - 1, (2 << m) - 1
+    up, down, at = full, 0, 0
+    step = max(24, n // LOOKS)
+    left = m - np.arange(m + 1)
+    while at < n:
+        for c in a[at:at + step]:
+            same = where.get(c, 0)
+            flat = (same & up) + up ^ up | same | down
+            plus = (((flat | up) ^ wide | down) << 1 | 1) & full
+            up, down = ((up & flat) << 1 | (flat | plus) ^ wide) & full, plus & flat
+        at = min(n, at + step)
+        if at < n and at > most // 2:
+            rise, fall = (np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), count=m, bitorder="little").view(np.int8) for x in (up, down))
+            entry = np.concatenate([[0], np.cumsum(rise - fall, dtype=np.int32)])
+            if at + int((entry + np.abs(left - (n - at))).min()) > most:
+                return False
+    return n + up.bit_count() - down.bit_count() <= most
+
+
 def _shared(a: str, b: str) -> int:
     """Characters of the common start."""
     low, high = 0, min(len(a), len(b))
@@ -262,11 +297,12 @@ def similar_lines(a: str, b: str, percent: int) -> bool:
     if abs(len(a) - len(b)) > allowed:
         return False
     a, b = _core(a, b)
-    return distance_bound(a, b, allowed) <= allowed or edit_distance(a, b) <= allowed
+    return distance_bound(a, b, allowed) <= allowed or within_distance(a, b, allowed)
 
 
 def _linked(percent: int):
-    def links(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def links(table: pa.Table, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """With ``cut``, rows before it are compared with the others only."""
         texts, signs, signs2 = table["line"].to_pylist(), table["sign"].to_numpy().view(_U), table["sign2"].to_numpy().view(_U)
         group, left, right = list(range(len(texts))), [], []
 
@@ -275,8 +311,9 @@ def _linked(percent: int):
                 group[x] = x = group[group[x]]
             return x
 
-        for i in range(len(texts) - 1):
-            for j in (np.flatnonzero(candidate(signs[i + 1:] ^ signs[i], signs2[i + 1:], signs2[i], percent)) + i + 1).tolist():
+        for i in range(len(texts) - 1 if cut is None else cut):
+            s = i + 1 if cut is None else cut
+            for j in (np.flatnonzero(candidate(signs[s:] ^ signs[i], signs2[s:], signs2[i], percent)) + s).tolist():
                 if root(i) != root(j) and similar_lines(texts[i], texts[j], percent):
                     group[root(j)] = root(i)
                     left.append(i)
@@ -341,7 +378,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
         return pa.table({"id": wanted["id"], "family": wanted["family"], "sign": wanted["sign"], "sign2": wanted["sign2"], "line": pa.array(lines, pa.string())})
 
     with_line = by_chunk.cogroup(members.groupBy("chunk")).applyInArrow(fetch, "id long, family long, sign long, sign2 long, line string")
-    groups = confirm(members, with_line, ["sign", "sign2", "line"], _linked(percent), TASK_CHARS)
+    groups = confirm(members, with_line, ["sign", "sign2", "line"], _linked(percent), TASK_CHARS, across=True)
     group = F.coalesce("label", "id")
     kept = classes.join(groups, "id", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")) \
         .select("first.key", "first.mark", "first.line", F.col("first.chunk").alias("chunk"))

@@ -127,12 +127,13 @@ def meet(entries: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], limit: int) -> DataFrame:
+def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: Callable[..., tuple[np.ndarray, np.ndarray]], limit: int, across: bool = False) -> DataFrame:
     """(id, label): groups of the members that ``links`` connects.
 
     ``weights`` has family and weight of each member, ``members`` id, family and the payload columns.
     ``links(table)`` takes rows of one family and returns index pairs that connect all linked rows (a spanning
-    set is enough). ``limit`` bounds the weight of the rows that a task compares at once.
+    set is enough). ``limit`` bounds the weight of the rows that a task compares at once. With ``across``, ``links(table, cut)`` compares
+    the rows before ``cut`` with the others only: two blocks of a family meet without looking inside either again.
     """
     size = weights.groupBy("family").agg(F.sum("weight").alias("total"))
     size = stored(size.withColumn("blocks", F.ceil(F.col("total") / limit).cast("long")))
@@ -140,13 +141,14 @@ def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: C
     tasks = max(1, int(np.ceil((whole or 0) / limit)))
 
     def labelled(table: pa.Table) -> pa.Table:
-        family = np.column_stack([table[c].to_numpy() for c in ("family", "i", "j")])
+        family = np.column_stack([table[c].to_numpy() for c in ("family", "i", "j", "own")])
         order = np.lexsort(family.T[::-1])
         family, table = family[order], table.take(pa.array(order))
-        cut = np.flatnonzero(np.concatenate([[True], (family[1:] != family[:-1]).any(1), [True]]))
+        cut = np.flatnonzero(np.concatenate([[True], (family[1:, :3] != family[:-1, :3]).any(1), [True]]))
         ids, out_id, out_label = table["id"].to_numpy(), [], []
         for s, e in zip(cut[:-1], cut[1:]):
-            a, b = links(table.slice(s, e - s).select(["id", *payload]))
+            part, (_, i, j, _) = table.slice(s, e - s).select(["id", *payload]), family[s]
+            a, b = links(part, int(np.searchsorted(family[s:e, 3], j))) if across and i != j else links(part)
             label = local_labels(e - s, a, b)
             own = ids[s:e]
             low = np.full(e - s, np.iinfo(np.int64).max)
@@ -159,14 +161,14 @@ def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: C
         members = stored(members)
     with_size = members.join(size.select("family", "blocks"), "family")
     columns = ["id", "family", *payload]
-    small = with_size.where("blocks = 1").select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("task"))
+    small = with_size.where("blocks = 1").select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("task"))
     done = small.groupBy("task").applyInArrow(labelled, "id long, label long")
     if (large or 1) == 1:
         return done.distinct()
     block = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))
     tiles = with_size.where("blocks > 1").withColumn("own", block) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where("other <> own") \
-        .select(*columns, F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where(F.lit(across) | (F.col("other") != F.col("own"))) \
+        .select(*columns, F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), F.col("own").cast("int").alias("own")) \
         .withColumn("task", F.xxhash64("family", "i", "j"))
     edges = tiles.groupBy("task").applyInArrow(labelled, "id long, label long").where("id <> label")
     joined = groups_of(stored(edges.select(F.col("id").alias("a"), F.col("label").alias("b")).distinct()))
