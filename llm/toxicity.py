@@ -28,7 +28,7 @@ from llm.session import ready
 #: Labelled documents of each class, and words of all of them, that training uses at most.
 SAMPLE_ROWS = 3_000
 SAMPLE_WORDS = 1_500_000
-#: A text with more than SAMPLE_WORDS / LONG_TEXT words is scored, but not learned from.
+#: A text with more than SAMPLE_WORDS / LONG_TEXT words is scored, but not learned from; of a class that has only such texts a piece of each is.
 LONG_TEXT = 50
 FEATURE_BITS = 18
 PREFIXES = (4, 5, 6)
@@ -127,8 +127,11 @@ class Chain:
         return out
 
     def slope(self, found: np.ndarray, first: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """The slope of the log likelihood of the labels, in the order of ``params``."""
-        inner = _inner(first)
+        """The slope of the log likelihood of the labels, in the order of ``params``.
+
+        A text starts from either state alike: its first word has a move from a state that no label tells.
+        """
+        inner, opens = _inner(first), first[:-1][np.diff(first) > 0]
         emission = self.emissions(found)
         forward, backward = self.passes(emission, first)
         both = forward * backward
@@ -137,6 +140,10 @@ class Chain:
         pair = forward[inner - 1, :, None] * np.exp(self.moves)[None] * state[inner, None, :]
         pair /= pair.sum(axis=(1, 2), keepdims=True)
         moves = np.bincount(2 * label[inner - 1] + label[inner], minlength=4) - pair.sum(axis=0).ravel()
+        start = np.exp(self.moves)[None] * state[opens, None, :]
+        moves = moves - (start / start.sum(axis=(1, 2), keepdims=True)).sum(axis=0).ravel()
+        told = np.exp(self.moves) / np.exp(self.moves).sum(axis=0)  # where a known first state comes from
+        moves += (told * np.bincount(label[opens], minlength=2)[None]).ravel()
         return np.concatenate([sum(np.bincount(column, gap, len(self.weights)) for column in found.T), [gap.sum()], moves])
 
     def params(self) -> np.ndarray:
@@ -236,14 +243,28 @@ def _within(size: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return kept
 
 
+def _piece(text: str) -> str:
+    """As many words as a text to learn from may have, in a row from a place that follows from the text's hash."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = words.find_words(data, np.array([0, len(data)]))
+    most = max(1, SAMPLE_WORDS // LONG_TEXT)
+    if len(starts) <= most:
+        return text
+    first = int(words.hash_spans(data, starts[:1], ends[-1:])[0] % _U(len(starts) - most + 1))
+    return data[starts[first]:ends[first + most - 1]].tobytes().decode()
+
+
 def _trained(texts: list[str], toxic: np.ndarray, shares: tuple[float, float]) -> Model:
     """``shares``: of clean and toxic among all labelled rows, which the sample doesn't keep."""
     if len(np.unique(toxic)) < 2:
         return Model(None, None, shares[1])
-    size = [np.diff(words.find_words(data, bounds)[2]) for _, _, data, bounds in words.slices(pa.array(texts, pa.string()))]
-    kept = _within(np.concatenate(size), toxic)
-    if len(np.unique(toxic[kept])) < 2:
-        raise ValueError(f"every text of a class has more than {SAMPLE_WORDS // LONG_TEXT} words: none is left to learn from")
+    def sizes() -> np.ndarray:
+        return np.concatenate([np.diff(words.find_words(data, bounds)[2]) for _, _, data, bounds in words.slices(pa.array(texts, pa.string()))])
+
+    kept = _within(sizes(), toxic)
+    if len(np.unique(toxic[kept])) < 2:  # a class of long texts only
+        texts = [_piece(x) if toxic[i] not in toxic[kept] else x for i, x in enumerate(texts)]
+        kept = _within(sizes(), toxic)
     texts, toxic = [x for x, k in zip(texts, kept) if k], toxic[kept]
     found, first = [], [np.zeros(1, np.int64)]
     for _, _, data, bounds in words.slices(pa.array(texts, pa.string())):
@@ -275,7 +296,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     """A model from the labelled rows; nulls are passed over, of repeated labels the largest counts.
 
     The sample holds ``sample_rows`` documents of each class, the first by a seeded hash of the key; of rows with one key the least
-    text. It raises if every sampled text of a class is too long to learn from.
+    text. If every sampled text of a class is longer than what is learned from, a piece of each of them is, from a place that follows
+    from its hash. Without rows of both classes, or without words that tell them apart, every score is the share of toxic labels.
     """
     spark = ready(docs.sparkSession)
     one = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("toxic"))
@@ -324,7 +346,11 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score below ``threshold``, all columns as they are; no shuffle."""
+    """The rows of ``docs`` with a score below ``threshold``, all columns as they are; no shuffle.
+
+    Null, empty and blank texts have the score of zero words, as in ``score``, and are judged by it. Repeated rows are judged alike; null
+    keys and columns of any name stay. An empty table gives an empty result.
+    """
     shipped = ready(docs.sparkSession).sparkContext.broadcast(model)
     at_text = docs.columns.index(text)
 
