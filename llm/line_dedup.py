@@ -377,7 +377,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
             lines.append(normal_line(split[line]))
         return pa.table({"id": wanted["id"], "family": wanted["family"], "sign": wanted["sign"], "sign2": wanted["sign2"], "line": pa.array(lines, pa.string())})
 
-    with_line = by_chunk.cogroup(members.groupBy("chunk")).applyInArrow(fetch, "id long, family long, sign long, sign2 long, line string")
+    # written at every size: the plans that read it would else fetch the lines again
+    with_line = stored(by_chunk.cogroup(members.groupBy("chunk")).applyInArrow(fetch, "id long, family long, sign long, sign2 long, line string"))
     groups = confirm(members, with_line, ["sign", "sign2", "line"], _linked(percent), TASK_CHARS, across=True)
     group = F.coalesce("label", "id")
     kept = classes.join(groups, "id", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")) \

@@ -133,7 +133,8 @@ def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: C
     ``weights`` has family and weight of each member, ``members`` id, family and the payload columns.
     ``links(table)`` takes rows of one family and returns index pairs that connect all linked rows (a spanning
     set is enough). ``limit`` bounds the weight of the rows that a task compares at once. With ``across``, ``links(table, cut)`` compares
-    the rows before ``cut`` with the others only: two blocks of a family meet without looking inside either again.
+    the rows before ``cut`` with the others only: two blocks of a family meet without looking inside either again. ``members`` is a
+    written table then, as two plans read it.
     """
     size = weights.groupBy("family").agg(F.sum("weight").alias("total"))
     size = stored(size.withColumn("blocks", F.ceil(F.col("total") / limit).cast("long")))
@@ -157,7 +158,7 @@ def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: C
             out_label.append(low[label])
         return pa.table({"id": np.concatenate(out_id).astype(np.int64), "label": np.concatenate(out_label).astype(np.int64)})
 
-    if (large or 1) > 1:
+    if (large or 1) > 1 and not across:
         members = stored(members)
     with_size = members.join(size.select("family", "blocks"), "family")
     columns = ["id", "family", *payload]
