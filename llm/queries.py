@@ -13,7 +13,7 @@ from llm.line_dedup import dedup_lines
 from llm.mixing import mix
 from llm.near_duplicates import near_duplicates
 from llm.registry import query, table
-from llm.secrets import BASE, joined_spans, secret_report
+from llm.secrets import BASE, joined_spans, ledgered_report
 from llm.simhash_near import simhash_groups
 from llm.substring_dedup import remove_repeats
 from llm.token_counts import token_counts
@@ -61,7 +61,7 @@ def op3(spark, sf_dir):
 
 @query("op10_secret_scan")
 def op10(spark, sf_dir):
-    out = secret_report(table(spark, sf_dir, "documents"))
+    out, _, _ = ledgered_report(table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
 
     def number(kind: str):

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from llm.session import ready
+from llm.session import ready, stored
 
 
 @dataclass(frozen=True)
@@ -96,7 +96,7 @@ def findings_of_paths(versions: DataFrame, findings: DataFrame, text: str = "tex
     """``versions`` with ``found``: all findings of its blob as (start, order, kind, end), sorted; an empty array if there are none.
 
     Findings are gathered per blob before the join, so a blob that many paths share is gathered once. All
-    columns of ``versions`` but the text come back; repeated rows stay.
+    columns of ``versions`` but the text come back (one named ``found`` is replaced); repeated rows stay.
     """
     order = F.coalesce(*[F.when(F.col("kind") == r.kind, F.lit(i)) for i, r in enumerate(rules)])
     one = F.struct("start", order.alias("order"), "kind", "end")
@@ -112,6 +112,28 @@ def joined_spans(found: Column) -> Column:
 
 
 def secret_report(docs: DataFrame, key: str = "doc_id", text: str = "text", ledger: DataFrame | None = None) -> DataFrame:
-    """(key, found) of every row after a scan of all blobs."""
+    """(key, found) of every row after one scan of the blobs and rule versions that ``ledger`` lacks.
+
+    A null or empty text is the empty blob, without findings. Null keys and repeated rows stay; an empty table gives an empty result.
+    """
     ready(docs.sparkSession)
     return findings_of_paths(docs.select(key, text), scan(docs, text, ledger), text)
+
+
+#: The rules as they were put to use: the base kinds first, then all. A later step scans what the ledger lacks, here the added kinds.
+STEPS = (tuple(r for r in RULES if r.kind in BASE), RULES)
+
+
+def ledgered_report(docs: DataFrame, key: str = "doc_id", text: str = "text", steps: tuple[tuple[Rule, ...], ...] = STEPS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((key, found) of every row, findings, ledger) after incremental scans, one per step of ``steps``.
+
+    Findings and scanned pairs of each step are written to the shared folder; the next one reads the ledger and scans unseen pairs of blob and
+    rule version only. Findings of all steps are joined back to all rows. Nulls, empty texts and repeated rows are as in ``secret_report``.
+    """
+    ready(docs.sparkSession)
+    findings = ledger = None
+    for rules in steps:
+        found, pairs = stored(scan(docs, text, ledger, rules)), stored(scanned(docs, text, ledger, rules))
+        findings = found if findings is None else findings.unionByName(found)
+        ledger = pairs if ledger is None else ledger.unionByName(pairs)
+    return findings_of_paths(docs.select(key, text), findings, text), findings, ledger
