@@ -29,7 +29,7 @@ from llm.similar import STANDS, STARS, bucket_bits, confirm, pairs_of_runs, thin
 DISTANCE = 3
 BLOCKS = 5
 #: A pair that agrees in BLOCKS - DISTANCE blocks is a candidate up to this number of differing bits of both signatures (64 and 48 bits).
-BOTH_DISTANCE = 12
+BOTH_DISTANCE = 18
 #: Low bits of the second signature's word hold the logarithm of the line's length, in steps of 1 / LENGTH_STEPS octaves.
 LENGTH_BITS = 16
 LENGTH_STEPS = 2048
@@ -83,7 +83,7 @@ class Lines:
 
 
 class HashedLines(Lines):
-    """Lines with two 64-bit hashes and two SimHashes of their words; the second one with the length of the normalised line."""
+    """Lines with two 64-bit hashes and two SimHashes: of all words, and of the distinct ones with the length of the normalised line."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         super().__init__(data, bounds)
@@ -95,7 +95,21 @@ class HashedLines(Lines):
         self.sign = simhash(words.mix(own + _U(99)), self.word)
         points = np.concatenate([[0], np.cumsum(~words.PUNCTUATION[data] & ((data & 0xC0) != 0x80))])[self.edge]
         length = np.rint(LENGTH_STEPS * np.log2(np.maximum(1, np.diff(points) + self.n_words - 1))).astype(_U)
-        self.sign2 = simhash(words.mix(own + _U(1_234_567)), self.word) >> _U(LENGTH_BITS) << _U(LENGTH_BITS) | length
+        self.sign2 = simhash(*distinct_words(own, self.n_words)) >> _U(LENGTH_BITS) << _U(LENGTH_BITS) | length
+
+
+def distinct_words(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A second hash of the distinct words of each line, and the first of each line and the end; words are told apart by 40 bits of their first."""
+    line, value = np.repeat(np.arange(len(counts), dtype=_U), counts), hashes >> _U(24)
+    if len(counts) < 1 << 24:  # one sort of both together
+        both = np.sort(line << _U(40) | value)
+        line, value = both >> _U(40), both & _U((1 << 40) - 1)
+    else:
+        order = np.lexsort((value, line))
+        line, value = line[order], value[order]
+    keep = np.ones(len(value), bool)
+    keep[1:] = (value[1:] != value[:-1]) | (line[1:] != line[:-1])
+    return words.mix(value[keep] + _U(1_234_567)), np.searchsorted(line[keep], np.arange(len(counts) + 1, dtype=_U))
 
 
 def simhash(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -330,7 +344,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     group the first line stays, by key (null last), then by a hash of the text, then by line number; the others go with
     their line end. Lines without words (blank, punctuation only) stay. A null text stays null with 0 lines. Rows
     with equal key and text are one document and share their result. All columns of ``docs`` come
-    back; columns that clash with names used inside are safe. An empty table gives an empty result.
+    back; columns that clash with names used inside are safe, columns named n_lines or n_removed are replaced. An empty table gives an empty result.
     """
     ready(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -362,7 +376,8 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     members = stored(classes.join(families.withColumnRenamed("label", "family"), "id").select(
         "id", "family", "sign", "sign2", F.col("first.mark").alias("mark"), F.col("first.line").alias("line_no"), F.col("first.chunk").alias("chunk"),
         F.greatest("size", F.lit(LEAST_WEIGHT)).alias("weight")))
-    others = [c for c in docs.columns if c not in (key, text)]
+    back = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    others = [c for c in back if c not in (key, text)]
     rows = docs.select(F.struct(F.lit(0).alias("0"), *others).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), mark.alias("mark"), chunk.alias("chunk"))
     by_chunk = rows.groupBy("chunk")
 
@@ -412,5 +427,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     result = T.StructType([T.StructField("key", docs.schema[key].dataType), rows.schema["row"], T.StructField("text", T.StringType()),
                            T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
     done = by_chunk.cogroup(kept.groupBy("chunk")).applyInArrow(rewrite, result)
-    names = [F.col("key" if c == key else "text").alias(c) if c in (key, text) else F.col("row").getField(c).alias(c) for c in docs.columns]
+    names = [F.col("key" if c == key else "text").alias(c) if c in (key, text) else F.col("row").getField(c).alias(c) for c in back]
     return done.select(*names, "n_lines", "n_removed")

@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame) -> DataFrame:
     """The rows, written once to the shared folder and read back: lineage ends here, and lost executors cost nothing.
 
-    ``checkpoint()`` would compute the rows twice. The files stay until the folder is cleared.
+    The files stay until the folder is cleared.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
