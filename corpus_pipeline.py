@@ -16,26 +16,36 @@ from llm.session import stored
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the tagger finds toxic go."""
+    """Documents that the tagger finds toxic go.
+
+    Null, empty and blank texts are judged as texts of zero words. Repeated rows share their fate; rows without id are judged like others.
+    """
     labels = table(spark, sf_dir, "labels").where(~held_out())
     return toxicity.without_toxic(docs, toxicity.fit(table(spark, sf_dir, "documents"), labels))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; a document that had lines and has none left goes with them. ``n_chars`` follows the text."""
+    """Repeated lines go; a document that had lines and has none left goes with them. ``n_chars`` follows the text.
+
+    Null, empty and blank texts had no lines and stay. Rows that repeat id and text are one document: they stay or go together.
+    """
     out = dedup_lines(docs).where("n_lines = 0 OR n_removed < n_lines")
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8) stays: the one with the smallest id."""
+    """One document of each group of near duplicates (five words, 0.8) stays: the one with the smallest id.
+
+    Null, empty and blank texts belong to no group and stay. Rows that repeat an id are one document, whose rows stay or go together; rows
+    without id are no documents that could be told apart, and stay.
+    """
     gone = near_duplicates(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item (five words, 0.8) go."""
+    """Documents that contain a benchmark item (five words, 0.8) go, with all rows that repeat their id; texts without words and rows without id stay."""
     found = contained(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return docs.join(found, "doc_id", "left_anti").select(docs.columns)
 
