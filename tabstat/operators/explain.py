@@ -64,7 +64,10 @@ def shuffle_column(df: DataFrame, col: str, key: str, seed: int, block: int = 50
 
 
 def permutation_importance(model: Trained, df: DataFrame, y: str, xs: Sequence[str], key: str, seed: int = 42) -> DataFrame:
-    """(feature, baseline, permuted, importance): loss of R2 or accuracy when one feature is shuffled."""
+    """(feature, baseline, permuted, importance): loss of R2 or accuracy when one feature is shuffled.
+
+    Values move inside hash blocks of at most some 50,000 rows, which are random rows of the table (``shuffle_column``).
+    """
     def score(data: DataFrame) -> DataFrame:
         scored = model.predict(data)
         if model.task == "regression":
