@@ -25,11 +25,12 @@ from llm.graph import groups_of, local_labels
 from llm.session import ready, stored
 from llm.similar import STANDS, STARS, bucket_bits, confirm, pairs_of_runs, thinned, unpacked
 
-#: Differing signature bits up to which every pair is a candidate.
-DISTANCE = 3
-BLOCKS = 5
+#: Differing signature bits up to which every pair meets in a table, and up to which it is a candidate by them alone.
+DISTANCE = 4
+SURE_DISTANCE = 3
+BLOCKS = 6
 #: A pair that agrees in BLOCKS - DISTANCE blocks is a candidate up to this number of differing bits of both signatures (64 and 48 bits).
-BOTH_DISTANCE = 18
+BOTH_DISTANCE = 22
 #: Low bits of the second signature's word hold the logarithm of the line's length, in steps of 1 / LENGTH_STEPS octaves.
 LENGTH_BITS = 16
 LENGTH_STEPS = 2048
@@ -153,7 +154,7 @@ def close(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.n
     """
     first, mask = np.bitwise_count(apart), _U((1 << LENGTH_BITS) - 1)
     length = np.abs((a & mask).astype(np.int32) - (b & mask).astype(np.int32)) <= LENGTH_STEPS * np.log2(100 / max(percent, 1)) + 1
-    return length & ((first <= DISTANCE) | (first + np.bitwise_count((a ^ b) >> _U(LENGTH_BITS)) <= BOTH_DISTANCE))
+    return length & ((first <= SURE_DISTANCE) | (first + np.bitwise_count((a ^ b) >> _U(LENGTH_BITS)) <= BOTH_DISTANCE))
 
 
 def candidate(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:

@@ -106,9 +106,9 @@ def expected_lines(texts, percent):
     for i, a in enumerate(classes):
         for j in range(i):
             apart, apart2 = (x ^ y for x, y in zip(signs[a], signs[classes[j]]))
-            blocks = sum(not (apart >> low) % (1 << high - low) for low, high in ((0, 12), (12, 25), (25, 38), (38, 51), (51, 64)))
+            blocks = sum(not apart & int(mask) for mask in line_dedup._MASKS)
             bits = apart.bit_count(), (apart2 >> 16).bit_count()
-            if blocks >= 2 and (bits[0] <= line_dedup.DISTANCE or sum(bits) <= line_dedup.BOTH_DISTANCE) and line_dedup.similar_lines(a, classes[j], percent):
+            if blocks >= 2 and (bits[0] <= line_dedup.SURE_DISTANCE or sum(bits) <= line_dedup.BOTH_DISTANCE) and line_dedup.similar_lines(a, classes[j], percent):
                 groups.join(i, j)
     marks = {}
     for k, t in distinct:

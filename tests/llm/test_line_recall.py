@@ -44,3 +44,13 @@ def test_recall_of_alike_lines(spark):
     docs = spark.createDataFrame(rows_of(list(enumerate(lines + others))), SCHEMA)
     removed = {r.doc_id for r in line_dedup.dedup_lines(docs).collect() if r.n_removed}
     assert removed <= set(range(len(lines), 2 * len(lines))) and len(removed) > len(lines) // 2
+
+
+@pytest.mark.parametrize("n_words, least", [(9, 0.28), (15, 0.5), (26, 0.7), (41, 0.83)])
+def test_share_of_alike_lines_that_are_candidates(n_words, least):
+    """Of all pairs with an edit similarity of 0.8 or more, one word replaced: what the signatures find, by length."""
+    lines, others = changed_lines(n_words, 1, 500)
+    found = line_dedup.HashedLines(*(lambda x: (x, np.array([0, len(x)])))(np.frombuffer("\n".join(lines + others).encode(), np.uint8)))
+    n, alike = len(lines), [line_dedup.similar_lines(a, b, 80) for a, b in zip(lines, others)]
+    hits = [line_dedup.candidate(found.sign[i] ^ found.sign[n + i], found.sign2[[n + i]], found.sign2[i], 80)[0] for i in range(n)]
+    assert sum(h for h, a in zip(hits, alike) if a) > least * sum(alike)
