@@ -25,12 +25,12 @@ from llm.graph import groups_of, local_labels
 from llm.session import ready, stored
 from llm.similar import STANDS, STARS, bucket_bits, confirm, pairs_of_runs, thinned, unpacked
 
-#: Differing signature bits up to which every pair meets in a table, and up to which it is a candidate by them alone.
+#: Differing signature bits up to which every pair meets in a table, and up to which it is a candidate whatever the second signature.
 DISTANCE = 4
-SURE_DISTANCE = 3
+SURE_DISTANCE = 0
 BLOCKS = 6
 #: A pair that agrees in BLOCKS - DISTANCE blocks is a candidate up to this number of differing bits of both signatures (64 and 48 bits).
-BOTH_DISTANCE = 22
+BOTH_DISTANCE = 21
 #: Low bits of the second signature's word hold the logarithm of the line's length, in steps of 1 / LENGTH_STEPS octaves.
 LENGTH_BITS = 16
 LENGTH_STEPS = 2048
@@ -38,6 +38,8 @@ LENGTH_STEPS = 2048
 LOOKS = 12
 #: Characters of the pieces that the quick bound of the edit distance looks for.
 PIECE = 10
+#: Longest run of a block pair whose pairs are formed at once; in a longer one each signature is compared with the rest.
+TABLE_RUN = 512
 #: Longest run of a block pair in which all signatures are compared; a longer one gets a star.
 COMPARED_RUN = 20_000
 #: Longest run of a block pair that one batch of lines sends whole; of a longer one it makes a star.
@@ -209,6 +211,12 @@ def _candidates(classes: DataFrame, lines: int, percent: int) -> DataFrame:
                 left.append(np.full(n - 1, s))
                 right.append(np.arange(s + 1, s + n))
                 continue
+            if n <= TABLE_RUN:
+                i, j = pairs_of_runs(np.array([s]), np.array([n]))
+                near = close(keys[i] ^ keys[j], second[i], second[j], percent)
+                left.append(i[near])
+                right.append(j[near])
+                continue
             for k in range(s, s + n - 1):
                 hit = np.flatnonzero(close(keys[k + 1:s + n] ^ keys[k], second[k + 1:s + n], second[k], percent)) + k + 1
                 left.append(np.full(len(hit), k))
