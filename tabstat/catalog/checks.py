@@ -53,12 +53,12 @@ def mlm_icc_table_q(spark, sf):
     return rounded(ml.icc_table(_ri(spark, sf)[1], DIMS), 3)
 
 
-@query("mlm_effects", RI_PARTS + """, u AS (SELECT l * m.n / (1 + l * m.n) * (my - b0 - b1 * mx) AS effect FROM m, t) SELECT count(*) AS n, round(avg(effect * effect), 3) AS mean_square, round(max(effect), 2) AS largest, round(min(effect), 2) AS smallest FROM u""")
+@query("mlm_effects", RI_PARTS + """, u AS (SELECT l * m.n / (1 + l * m.n) * (my - b0 - b1 * mx) AS effect FROM m, t) SELECT count(*) AS n, round(avg(effect * effect), 2) AS mean_square, round(max(effect), 2) AS largest, round(min(effect), 2) AS smallest FROM u""")
 def mlm_effects_q(spark, sf):
     """Predicted effects of all groups, in sums that a ratio read from a grid does not change."""
     e = F.col("effect")
     out = _ri(spark, sf)[1].random().agg(F.count(F.lit(1)).alias("n"), F.avg(e * e).alias("mean_square"), F.max(e).alias("largest"), F.min(e).alias("smallest"))
-    return rounded(out, 2, mean_square=3)
+    return rounded(out, 2)
 
 
 @query("mlm_scores", RI_PARTS + """ SELECT count(*) AS n, round(avg(p), 4) AS mean, round(stddev_pop(p), 4) AS sd FROM (SELECT (SELECT avg(y) FROM d) + b0 + b1 * (x - (SELECT avg(x) FROM d)) AS p FROM d, t)""")
