@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from operator import add, and_
@@ -11,7 +12,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +45,25 @@ def _features(df: DataFrame, cols: Sequence[str], mean, sd) -> DataFrame:
     return VectorAssembler(inputCols=names, outputCol="features").transform(data).drop(*names)
 
 
+@contextmanager
+def _kept(df: DataFrame, cols: Sequence[str], mean, sd) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """The scaled columns of complete rows, kept as plain numbers, and the vectors made from them for the time of a fit.
+
+    A kept vector takes some four times the bytes of its numbers, and all of them are read in every pass.
+    """
+    names = [f"f__{i}" for i in range(len(cols))]
+    numbers = spread_out(df.na.drop(subset=list(cols)).select(*[x.alias(n) for n, x in zip(names, scaled(cols, mean, sd))])).persist()
+    try:
+        yield numbers, VectorAssembler(inputCols=names, outputCol="features").transform(numbers).select("features")
+    finally:
+        numbers.unpersist()
+
+
+def _means(k: int, seed: int, variance: float = 1.0) -> KMeans:
+    """Blocks of rows are multiplied with all centres at once; row by row, every pass would read the vectors anew."""
+    return KMeans(k=k, seed=seed, maxIter=300, tol=stopping_distance(k, variance), initMode="k-means||", solver="block")
+
+
 @dataclass(frozen=True)
 class Centres:
     """Cluster centres; rows are labelled by a plain expression, so no join and no Python is involved."""
@@ -82,12 +101,9 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, scale: bo
     if not scale:
         row = data.select(*cols).na.drop().agg(*[F.var_pop(c) for c in cols]).first()
         variance = float(np.mean(list(row))) or 1.0
-    feats = spread_out(_features(data, cols, mean, sd).select("features")).persist()
-    try:
-        model = KMeans(k=k, seed=seed, maxIter=300, tol=stopping_distance(k, variance), initMode="k-means||").fit(feats)
+    with _kept(data, cols, mean, sd) as (_, feats):
+        model = _means(k, seed, variance).fit(feats)
         return Centres(tuple(cols), mean, sd, np.array(model.clusterCenters()), float(model.summary.trainingCost))
-    finally:
-        feats.unpersist()
 
 
 def divisive(df: DataFrame, cols: Sequence[str], k: int, seed: int = 42, scale: bool = True) -> DataFrame:
@@ -123,17 +139,12 @@ def elbow(df: DataFrame, cols: Sequence[str], k_max: int = 15, seed: int = 42) -
     """(k, inertia) for k = 1..min(k_max, n - 1); the features are prepared once."""
     data = to_numbers(df, cols)
     mean, sd = scaling(data, cols)
-    feats = spread_out(_features(data, cols, mean, sd).select("features")).persist()
-    try:
-        n = feats.count()
-        x = vector_to_array("features")
-        one = feats.select(*[x[i].alias(f"x{i}") for i in range(len(cols))]) \
-                   .agg(*[F.var_pop(f"x{i}") for i in range(len(cols))]).first()
+    with _kept(data, cols, mean, sd) as (numbers, feats):
+        n = numbers.count()
+        one = numbers.agg(*[F.var_pop(c) for c in numbers.columns]).first()
         rows = [(1, float(sum(one) * n))]
         for k in range(2, min(k_max, n - 1) + 1):
-            rows.append((k, float(KMeans(k=k, seed=seed, maxIter=300, tol=stopping_distance(k)).fit(feats).summary.trainingCost)))
-    finally:
-        feats.unpersist()
+            rows.append((k, float(_means(k, seed).fit(feats).summary.trainingCost)))
     return local_table(df.sparkSession, rows, "k int, inertia double")
 
 

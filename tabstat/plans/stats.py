@@ -73,14 +73,20 @@ def unpivot_doubles(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()
     return df.select(*keep, F.inline(cells)).where(F.col(value).isNotNull())
 
 
+#: Rows that one task of an iterative fit reads at most, whatever the number of cores.
+TASK_ROWS = 500_000
+
+
 def spread_out(df: DataFrame) -> DataFrame:
-    """Give every core a fair share of rows that an iterative fit will read many times.
+    """Give every core a fair share of rows that an iterative fit will read many times, and no task more than ``TASK_ROWS``.
 
-    Only where the source has fewer files than cores: some 20,000 rows per task, so that
-    a short table is not cut into many tasks either. A large table is left as it is.
+    Only where the source has fewer files than that takes: some 20,000 rows per task, so that
+    a short table is not cut into many tasks either. A table of many files is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
+    cores, files = df.sparkSession.sparkContext.defaultParallelism, len(df.inputFiles())
+    rows = df.count()
+    least = -(-rows // TASK_ROWS)
+    if files >= max(cores, least):
         return df
-    parts = min(cores, -(-df.count() // 20_000) or 1)
+    parts = max(min(cores, -(-rows // 20_000) or 1), least)
     return df.coalesce(1) if parts == 1 else df.repartition(parts)

@@ -379,3 +379,24 @@ def test_labels_of_all_rows_survive(demo):
     df = df.withColumn("a2", F.when(F.col("id") > 5, F.col("a")))
     for out in (ks.gaussian_mixture(df, ["a2", "b"], 2), ks.divisive(df, ["a2", "b"], 3)):
         assert out.count() == len(pdf) and out.where("cluster IS NULL").count() == 6
+
+
+def test_a_task_of_a_fit_reads_a_bounded_number_of_rows(spark, monkeypatch):
+    """More rows make more tasks, not longer ones, on any number of cores."""
+    from tabstat.plans import stats
+    monkeypatch.setattr(stats, "TASK_ROWS", 1000, raising=False)
+    df = spark.range(0, 40_000, 1, 1).withColumn("x", F.col("id") % 97)
+    assert stats.spread_out(df).rdd.getNumPartitions() == 40
+    assert stats.spread_out(df.where("id < 500")).rdd.getNumPartitions() == 1
+    assert stats.spread_out(df).agg(F.sum("id")).first()[0] == 40_000 * 39_999 // 2
+
+
+def test_elbow_keeps_numbers_and_multiplies_blocks(demo, monkeypatch):
+    """No vector is kept for the rows, and the costs are those of the centres found."""
+    df, _ = demo
+    solvers = []
+    real = ks.KMeans
+    monkeypatch.setattr(ks, "KMeans", lambda **own: solvers.append(own.get("solver")) or real(**own))
+    el = {r.k: r.inertia for r in ks.elbow(df, ["a", "b"], 4).collect()}
+    assert solvers == ["block"] * 3
+    assert el[3] == pytest.approx(ks.kmeans(df, ["a", "b"], 3).cost)
