@@ -2,14 +2,16 @@
 
 The least squares problem that Shapley values solve has the same design for every row, so its solution is a fixed
 combination of the answers: rows are multiplied by coalitions and background rows, scored once by the model, and summed up
-with coefficients from a small table.
+with coefficients from a small table. Where coalitions are few, a row's answers are summed up before they leave their task.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from functools import reduce
 from itertools import combinations
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,6 +22,8 @@ from tabstat.plans.stats import bounded_rows, local_table
 #: Coalitions that are asked about at most; with no more than these in all, the values are exact.
 COALITIONS = 512
 BACKGROUND_ROWS = 100
+#: Up to so many coalitions, the answers of a row meet in one line of as many columns.
+WIDE = 32
 
 
 def coalition_table(features: int, most: int = COALITIONS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +87,12 @@ def shap_any(predict: Callable[[DataFrame], DataFrame], rows: DataFrame, backgro
     asked = rows.select("*", F.inline(line)).select("*", F.inline(other))  # a bounded number of lines per row
     ids, names = [f"m{i}__" for i in range(p)], [f"b{i}__" for i in range(p)]
     asked = asked.withColumns({x: F.when(F.col(i), F.col(x)).otherwise(F.col(n)) for x, i, n in zip(xs, ids, names)}).drop(*ids, *names)
+    if len(masks) <= WIDE:  # a line per key leaves a task, not one per coalition
+        told = predict(asked).groupBy(key).agg(*[F.avg(F.when(F.col("mask__") == m, F.col(output))).alias(f"v{m}__") for m in range(len(masks))])
+        some = F.coalesce(*[F.col(f"v{m}__") for m in range(len(masks))]).isNotNull()
+        terms = [[F.coalesce(F.col(f"v{m}__") * float(line[i]), F.lit(0.0)) for m, line in enumerate(factor)] for i in range(p)]
+        phi = told.select(key, *[F.when(some, reduce(add, t)).alias(prefix + x) for x, t in zip(xs, terms)], F.col(f"v{base_row}__").alias("base"), F.col(f"v{base_row + 1}__").alias("output"))
+        return rows.join(phi, key)
     answers = predict(asked).groupBy(key, "mask__").agg(F.avg(output).alias("v__"))
     joined = answers.join(F.broadcast(coefficients), "mask__")
     phi = joined.groupBy(key).agg(*[F.sum(F.col("v__") * F.col(f"c{i}__")).alias(prefix + x) for i, x in enumerate(xs)],

@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from tabstat.session import need_checkpoint_dir
 #: Categories that a split's set can hold (Spark's default is 32 bins).
 MOST_CATEGORIES = 63
 #: Rows that are explained at once.
-BATCH_ROWS = 4096
+BATCH_ROWS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,18 @@ class Leaves:
     outputs: int
     slots: int
 
+    @cached_property
+    def limits(self) -> list[np.ndarray | None]:
+        """Of each slot the limits of all intervals, ascending; None where categories are told apart."""
+        found: list[set | None] = [set() for _ in range(self.slots)]
+        for leaf in self.leaves:
+            for f, low, high, allowed in zip(leaf.features, leaf.low, leaf.high, leaf.allowed):
+                if allowed != -1:
+                    found[f] = None
+                elif found[f] is not None:
+                    found[f] |= {v for v in (low, high) if np.isfinite(v)}
+        return [None if v is None else np.array(sorted(v)) for v in found]
+
     @property
     def base(self) -> np.ndarray:
         """The prediction when nothing is known."""
@@ -131,22 +144,54 @@ def leaf_contributions(holds: np.ndarray, share: np.ndarray) -> np.ndarray:
 def contributions(rows: np.ndarray, leaves: Leaves, output: int) -> np.ndarray:
     """One line per row, one column per slot: what each adds to the output beyond ``base``."""
     rows = np.where(np.isnan(rows), np.inf, rows)  # not a number goes right, as in Spark
-    out = np.zeros((len(rows), leaves.slots))
-    category = np.clip(rows, 0, MOST_CATEGORIES).astype(np.int64)
+    places, codes = _places(rows, leaves)
+    cells = [np.ascontiguousarray(places[:, f]) for f in range(leaves.slots)]
+    category = np.clip(places, 0, MOST_CATEGORIES).astype(np.int64)
+    columns = np.zeros((leaves.slots, len(places)))
     for leaf in leaves.leaves:
         f, value = leaf.features, leaf.value[output]
         if not len(f) or value == 0:
             continue
-        holds = (rows[:, f] > leaf.low) & (rows[:, f] <= leaf.high)
-        if (leaf.allowed != -1).any():
-            holds &= (leaf.allowed >> category[:, f] & 1).astype(bool)
-        if 1 << len(f) < len(rows):  # fewer patterns than rows
-            pattern = holds @ (1 << np.arange(len(f)))
+        sides = []
+        for k, slot in enumerate(f):
+            own = (cells[slot] > leaf.low[k]) & (cells[slot] <= leaf.high[k])
+            if leaf.allowed[k] != -1:
+                own &= (leaf.allowed[k] >> category[:, slot] & 1).astype(bool)
+            sides.append(own)
+        if 1 << len(f) < len(places):  # fewer patterns than rows
+            pattern = np.zeros(len(places), np.int64)
+            for k, own in enumerate(sides):
+                pattern += own.astype(np.int64) << k
             every = (np.arange(1 << len(f))[:, None] >> np.arange(len(f)) & 1).astype(float)
-            out[:, f] += value * leaf_contributions(every, leaf.share)[pattern]
+            found = value * leaf_contributions(every, leaf.share)
+            for k, slot in enumerate(f):
+                columns[slot] += found[:, k][pattern]
+        else:
+            columns[f] += value * leaf_contributions(np.column_stack(sides).astype(float), leaf.share).T
+    return columns.T if codes is None else columns.T[codes]
+
+
+def _places(rows: np.ndarray, leaves: Leaves) -> tuple[np.ndarray, np.ndarray | None]:
+    """Rows that differ for some leaf, and which of them each row is like (None: itself).
+
+    Leaves see of a row only between which of their limits it lies, so rows of one place have the same contributions.
+    """
+    place, several = np.zeros(len(rows), np.int64), 1
+    for f, limits in enumerate(leaves.limits):
+        if limits is None:  # categories are their own places
+            found, own = np.unique(rows[:, f], return_inverse=True)
+            size = len(found)
         else:
-            out[:, f] += value * leaf_contributions(holds.astype(float), leaf.share)
-    return out
+            own, size = np.searchsorted(limits, rows[:, f], side="left"), len(limits) + 1
+        if several * size >= 1 << 62:
+            place = np.unique(place, return_inverse=True)[1]
+            several = len(rows)
+        place = place * size + own
+        several *= size
+    first, codes = np.unique(place, return_index=True, return_inverse=True)[1:]
+    if 2 * len(first) > len(rows):
+        return rows, None
+    return rows[first], codes
 
 
 def shap_trees(trained: Trained, df: DataFrame, of: str | None = None, by_input: bool = False, prefix: str = "phi_") -> DataFrame:

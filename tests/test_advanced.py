@@ -227,3 +227,30 @@ def test_log_means_cost_one_exponential_a_number():
     want, plain = seconds(lambda: np.logaddexp.reduce(values + weights, axis=1) - np.logaddexp.reduce(weights, axis=1))
     assert np.allclose(got, want, rtol=1e-12, atol=1e-10) and own < plain / 3
     assert pr._log_mean(np.array([[-np.inf, -np.inf], [0.0, -np.inf]]), np.zeros((2, 2))).tolist() == [-np.inf, -math.log(2)]
+
+
+def test_few_coalitions_shuffle_one_line_per_key(spark):
+    """The answers of a row meet inside its task; keys that repeat share their answers, missing answers are left out, rows without a key go."""
+    df = spark.createDataFrame([(1, 1.0, 2.0), (1, 3.0, 5.0), (2, 4.0, 1.0), (3, None, 1.0), (None, 1.0, 1.0)], "id long, x double, z double")
+    back = spark.createDataFrame([(1.0, 2.0), (3.0, 4.0)], "x double, z double")
+
+    def predict(rows):
+        return rows.withColumn("prediction", F.col("x") * 2 + F.col("z") * F.col("x"))
+
+    out = co.shap_any(predict, df, back, ["x", "z"], "id")
+    assert "mask__" not in "".join(line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line)
+    got = {(r.id, r.z): (r.phi_x, r.phi_z, r.base, r.output) for r in out.collect()}
+    many = {(r.id, r.z): (r.phi_x, r.phi_z, r.base, r.output) for r in _narrow(df, back, predict).collect()}
+    assert sorted(got) == sorted(many) == [(1, 2.0), (1, 5.0), (2, 1.0), (3, 1.0)]
+    for k, line in many.items():
+        assert got[k] == pytest.approx(line) if None not in line else [v is None for v in got[k]] == [v is None for v in line]
+    assert got[1, 2.0][3] == pytest.approx(sum(got[1, 2.0][:3])) and got[1, 2.0] == got[1, 5.0]
+
+
+def _narrow(df, back, predict):
+    """One line per key and coalition, as for many coalitions."""
+    wide, co.WIDE = co.WIDE, 0
+    try:
+        return co.shap_any(predict, df, back, ["x", "z"], "id")
+    finally:
+        co.WIDE = wide

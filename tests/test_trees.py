@@ -123,3 +123,26 @@ def test_deep_paths_use_the_same_values():
             want = sum((math.factorial(len(s)) * math.factorial(2 - len(s)) / 6) * (value({*s, f}) - value(set(s)))
                        for k in range(3) for s in itertools.combinations([j for j in range(3) if j != f], k))
             assert got[f] == pytest.approx(want)
+
+
+def test_rows_of_one_place_are_explained_once(monkeypatch):
+    """Leaves see of a row only between which limits it lies; many rows cost no more than their places."""
+    rng = np.random.default_rng(12)
+    some = []
+    for _ in range(30):
+        f = np.sort(rng.choice(4, 3, replace=False))
+        allowed = np.where(f == 3, 5, -1)
+        low, high = (np.where(f == 3, end, rng.choice(cuts, 3)) for end, cuts in ((-np.inf, [-np.inf, -0.5]), (np.inf, [0.5, np.inf])))
+        some.append(trees.Leaf(f, low, high, allowed, rng.random(3), rng.normal(size=1)))
+    leaves = trees.Leaves(some, 1, 4)
+    rows = np.column_stack([rng.normal(size=(4000, 3)), rng.integers(0, 4, 4000)])
+    rows[7, 0], rows[8, 1], rows[9, 2] = np.nan, 0.5, -0.5
+    one_by_one = np.vstack([trees.contributions(r[None], leaves, 0) for r in rows[:300]])
+    assert np.allclose(trees.contributions(rows, leaves, 0)[:300], one_by_one, atol=1e-12)
+    sizes = []
+    real = trees.leaf_contributions
+    monkeypatch.setattr(trees, "leaf_contributions", lambda holds, share: sizes.append(len(holds)) or real(holds, share))
+    places, codes = trees._places(np.where(np.isnan(rows), np.inf, rows), leaves)
+    assert len(places) <= 3**3 * 4 and len(codes) == 4000
+    assert np.allclose(trees.contributions(rows, leaves, 0), trees.contributions(places, leaves, 0)[codes], atol=1e-12)
+    assert max(sizes) <= 8
