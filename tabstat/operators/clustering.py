@@ -177,44 +177,85 @@ def silhouette(df: DataFrame, cols: Sequence[str], label: str, max_clusters: int
     return data.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
 
 
-def silhouette_euclidean(df: DataFrame, cols: Sequence[str], label: str, key: str, block: int = 4000) -> DataFrame:
+#: Rows of a block of the plain silhouette at least and at most, and sums that a block holds.
+BLOCK_ROWS, BLOCK_SUMS = (4_000, 50_000), 4_000_000
+#: Tasks that pairs of blocks are dealt to at most.
+PIECES = 2_000
+#: Distances that are formed at once; they stay in a core's cache.
+TILE = (64, 1024)
+
+
+def distance_sums(p: np.ndarray, p_code: np.ndarray, q: np.ndarray, q_code: np.ndarray, levels: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Summed distances of each line of ``p`` to the clusters of ``q``, and of each line of ``q`` to those of ``p``; each distance is formed once.
+
+    Lines come sorted by the number of their cluster.
+    """
+    to_q, to_p = np.zeros((len(p), levels[1])), np.zeros((len(q), levels[0]))
+    p, q = np.ascontiguousarray(p.T), np.ascontiguousarray(q.T)
+    (high, wide), d, g = TILE, np.empty(TILE), np.empty(TILE)
+
+    def hot(code: np.ndarray) -> tuple[slice, np.ndarray]:
+        return slice(code[0], code[-1] + 1), np.eye(code[-1] + 1 - code[0])[code - code[0]]
+
+    tiles = [(t, *hot(q_code[t:t + wide])) for t in range(0, q.shape[1], wide)]
+    for s in range(0, p.shape[1], high):
+        own, mine = hot(p_code[s:s + high])
+        for t, other, theirs in tiles:
+            e, h = d[:len(mine), :len(theirs)], g[:len(mine), :len(theirs)]
+            for k in range(len(p)):
+                to = h if k else e
+                np.subtract(p[k, s:s + high, None], q[k, None, t:t + wide], out=to)
+                np.multiply(to, to, out=to)
+                if k:
+                    np.add(e, h, out=e)
+            np.sqrt(e, out=e)
+            to_q[s:s + high, other] += e @ theirs
+            to_p[t:t + wide, own] += e.T @ mine
+    return to_q, to_p
+
+
+def silhouette_euclidean(df: DataFrame, cols: Sequence[str], label: str, key: str, block: int | None = None) -> DataFrame:
     """(n, silhouette) with plain Euclidean distance, exact.
 
     The measure itself needs every distance. Rows are cut into blocks of bounded size
-    and each pair of blocks returns only sums per row and cluster, so memory and shuffle
-    stay bounded while the arithmetic remains quadratic; ``silhouette`` scales linearly.
+    and each pair of blocks, in one order only, returns sums per row and cluster, so memory stays
+    bounded while the arithmetic remains quadratic; ``silhouette`` scales linearly.
     """
     xs = [f"x{i}" for i in range(len(cols))]
     data = df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("c"),
                      *[as_double(c).alias(x) for c, x in zip(cols, xs)]).na.drop()
-    n = data.count()
+    n, some = data.agg(F.count(F.lit(1)), F.approx_count_distinct("c")).first()
+    if block is None:
+        block = max(BLOCK_ROWS[0], min(BLOCK_ROWS[1], n // 16, BLOCK_SUMS // max(some, 1)))
     blocks = max(1, -(-n // block))
     data = data.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = data.withColumnRenamed("b", "i").withColumn("j", every)
-    right = data.withColumnRenamed("b", "j").withColumn("i", every)
+    left = data.withColumnRenamed("b", "i").withColumn("j", F.explode(F.sequence("i", F.lit(blocks - 1))))
+    right = data.withColumnRenamed("b", "j").withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
+
+    def lines(a: pd.DataFrame, levels: np.ndarray, hits: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(levels)), "c": np.repeat(a["c"].to_numpy(), len(levels)),
+                             "other": np.tile(levels, len(a)), "total": total.ravel(),
+                             "cnt": np.tile(hits.astype("int64"), len(a))})
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": pd.Series(dtype="int64"), "c": pd.Series(dtype="object"),
                                  "other": pd.Series(dtype="object"), "total": pd.Series(dtype="float64"),
                                  "cnt": pd.Series(dtype="int64")})
-        levels, code = np.unique(b["c"].to_numpy(), return_inverse=True)
-        hot = np.eye(len(levels))[code]
-        q, p = b[xs].to_numpy(float), a[xs].to_numpy(float)
-        out = []
-        for s in range(0, len(p), 512):
-            d = np.zeros((len(p[s:s + 512]), len(q)))
-            for k in range(len(xs)):
-                g = p[s:s + 512, k][:, None] - q[:, k][None, :]
-                d += g * g
-            out.append(np.sqrt(d) @ hot)
-        total = np.vstack(out)
-        return pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), len(levels)), "c": np.repeat(a["c"].to_numpy(), len(levels)),
-                             "other": np.tile(levels, len(p)), "total": total.ravel(),
-                             "cnt": np.tile(hot.sum(axis=0).astype("int64"), len(p))})
+        sides = []
+        for side in (a, b):
+            side = side.sort_values("c", kind="stable")
+            sides.append((side, *np.unique(side["c"].to_numpy(), return_inverse=True, return_counts=True)))
+        (a, a_levels, a_code, a_hits), (b, b_levels, b_code, b_hits) = sides
+        to_b, to_a = distance_sums(a[xs].to_numpy(float), a_code, b[xs].to_numpy(float), b_code, (len(a_levels), len(b_levels)))
+        found = lines(a, b_levels, b_hits, to_b)
+        if a["i"].iloc[0] == a["j"].iloc[0]:  # a block with itself: both sides are the same rows
+            return found
+        return pd.concat([found, lines(b, a_levels, a_hits, to_a)])
 
     kind = data.schema["id"].dataType.simpleString()
+    pieces = min(blocks * (blocks + 1) // 2, PIECES)  # of much work and few bytes: small ones are not to be put together
+    left, right = left.repartition(pieces, "i", "j"), right.repartition(pieces, "i", "j")
     parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
         sums, f"id {kind}, c string, other string, total double, cnt bigint")
     per = parts.groupBy("id", "c", "other").agg(F.sum("total").alias("total"), F.sum("cnt").alias("cnt"))

@@ -400,3 +400,25 @@ def test_elbow_keeps_numbers_and_multiplies_blocks(demo, monkeypatch):
     el = {r.k: r.inertia for r in ks.elbow(df, ["a", "b"], 4).collect()}
     assert solvers == ["block"] * 3
     assert el[3] == pytest.approx(ks.kmeans(df, ["a", "b"], 3).cost)
+
+
+def test_plain_silhouette_forms_each_distance_once(spark, monkeypatch):
+    """Blocks in one order only, against all pairs."""
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(300, 3)), rng.choice(["a", "b", "c", "d"], 300)
+    c[0] = "alone"
+    df = spark.createDataFrame([(i, str(k), *map(float, v)) for i, (k, v) in enumerate(zip(c, x))] + [(300, None, 1.0, 1.0, 1.0)], "id long, c string, x double, y double, z double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    s = []
+    for i in range(300):
+        means = {k: d[i, c == k].sum() / max((c == k).sum() - (k == c[i]), 1) for k in set(c)}
+        b = min(v for k, v in means.items() if k != c[i])
+        s.append(0.0 if (c == c[i]).sum() == 1 else (b - means[c[i]]) / max(b, means[c[i]]))
+    for block in (None, 40, 299):
+        got = ks.silhouette_euclidean(df, ["x", "y", "z"], "c", "id", block).first()
+        assert got.n == 300 and got.silhouette == pytest.approx(np.mean(s), rel=1e-12)
+    order = np.argsort(c, kind="stable")
+    levels, code = np.unique(c[order], return_inverse=True)
+    monkeypatch.setattr(ks, "TILE", (7, 31))
+    to_q, to_p = ks.distance_sums(x[order], code, x[order], code, (len(levels),) * 2)
+    assert np.allclose(to_q, to_p) and np.allclose(to_q, d[order][:, order] @ np.eye(len(levels))[code])
