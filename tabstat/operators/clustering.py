@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,8 +52,9 @@ def _kept(df: DataFrame, cols: Sequence[str], mean, sd) -> Iterator[tuple[DataFr
 
     A kept vector takes some four times the bytes of its numbers, and all of them are read in every pass.
     """
-    names = [f"f__{i}" for i in range(len(cols))]
-    numbers = spread_out(df.na.drop(subset=list(cols)).select(*[x.alias(n) for n, x in zip(names, scaled(cols, mean, sd))])).persist()
+    names, x = [f"f__{i}" for i in range(len(cols))], vector_to_array("features")
+    dealt = spread_out(_features(df, cols, mean, sd).select("features"))
+    numbers = dealt.select(*[x[i].alias(n) for i, n in enumerate(names)]).persist()
     try:
         yield numbers, VectorAssembler(inputCols=names, outputCol="features").transform(numbers).select("features")
     finally:
