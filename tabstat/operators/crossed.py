@@ -3,18 +3,21 @@
 Rows are reduced to one line per occupied cell of the two factors. Variances follow from sums of squares (inside the levels of
 either factor, in all, and of what two fixed factors leave) whose expectations are linear in them for any unbalanced design
 (Henderson 1953, Gao and Owen 2017). Fixed effects and the predicted effects of all levels solve the mixed model equations by
-alternating over the two factors; the intercept moves together with the first one, which keeps the number of sweeps small.
+alternating over the two factors; the intercept moves together with the first one, which keeps the number of sweeps small. Where one factor
+has few levels, the other's effects are linear in its, so cross products from one pass over the cells stand for the cells in every sweep.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tabstat.operators.linear import linear_prediction, solve
@@ -25,6 +28,12 @@ from tabstat.plans.stats import as_double, local_table, settle
 from tabstat.session import need_checkpoint_dir
 
 
+#: Levels of one factor up to which sweeps run on the cross products of the other one's levels instead of on the cells.
+FEW_LEVELS = 256
+#: Levels whose cells are multiplied at once.
+BLOCK_LEVELS = 4096
+
+
 @dataclass
 class Crossed:
     y: str
@@ -116,6 +125,104 @@ def _alternate(cells: DataFrame, inverse: np.ndarray, xr: np.ndarray, penalty: S
     A penalty of 0 makes fixed effects (there is no shift then), None leaves the factor out. ``inverse`` is that of the centred cross products
     of x, ``xr`` their products with r. Sweeps end when the sum of squares changes by less than ``tol`` of it.
     """
+    for few, many in ("ba", "ab"):
+        sums = [F.sum(c).alias(c) for c in ("n", "r", *[f"x{i}" for i in range(len(xr))], "rr")]
+        levels = cells.groupBy(F.col(few).alias("level")).agg(*sums).limit(FEW_LEVELS + 1).collect()
+        if len(levels) <= FEW_LEVELS:
+            return _alternate_few(cells, levels, few, many, inverse, xr, dict(zip("ab", penalty)), sweeps, tol)
+    return _alternate_cells(cells, inverse, xr, penalty, sweeps, tol)
+
+
+def _cross_products(cells: DataFrame, levels: DataFrame, few: str, many: str, p: int, q: int, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cross products of (r, x, n per level of ``few``, n, 1) over the levels of ``many``, times h = 1 / (n + penalty) and times n h h."""
+    size, names = p + q + 3, ["r", *[f"x{i}" for i in range(p)]]
+    upper = np.triu_indices(size)
+    lines = cells.join(levels.select(F.col("level").alias(few), "k"), few).groupBy(many).agg(F.collect_list(F.struct("k", "n", *names)).alias("cells"))
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, size, size))
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK_LEVELS):
+                part = batch.column(0).slice(at, BLOCK_LEVELS)
+                line, cell = np.repeat(np.arange(len(part)), pc.list_value_length(part).to_numpy(zero_copy_only=False)), part.flatten()
+                k, n, *rest = (cell.field(i).to_numpy(zero_copy_only=False) for i in range(2 + len(names)))
+                z = np.zeros((len(part), size))
+                for i, values in enumerate(rest):
+                    z[:, i] = np.bincount(line, values, len(part))
+                z[line, p + 1 + k] = n
+                z[:, -2], z[:, -1] = np.bincount(line, n, len(part)), 1
+                h = 1 / (z[:, -2] + penalty)
+                found[0] += (z * h[:, None]).T @ z
+                found[1] += (z * (z[:, -2] * h * h)[:, None]).T @ z
+        values = np.concatenate([found[0][upper], found[1][upper]])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values)], ["k", "v"])
+
+    table = lines.select("cells").mapInArrow(products, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
+    values = np.zeros(2 * len(upper[0]))
+    values[table["k"].to_numpy()] = table["v"].to_numpy()
+    out = np.zeros((2, size, size))
+    out[:, upper[0], upper[1]] = values.reshape(2, -1)
+    out[:, upper[1], upper[0]] = values.reshape(2, -1)
+    return out[0], out[1]
+
+
+def _alternate_few(cells: DataFrame, levels: Sequence[Row], few: str, many: str, inverse: np.ndarray, xr: np.ndarray,
+                   penalty: Mapping[str, float | None], sweeps: int, tol: float) -> _Fit:
+    """``_alternate`` where the levels of one factor are known with their sums: the effects of ``many`` are h (r - x delta - n f - n shift) of each level."""
+    spark, p, q = cells.sparkSession, len(xr), len(levels)
+    sums = np.array([[float(v) for v in row[1:]] for row in levels])
+    n, r, x, rr = sums[:, 0], sums[:, 1], sums[:, 2:2 + p], float(sums[:, -1].sum())
+    kind = cells.schema[few].dataType.simpleString()
+    named = local_table(spark, [(row["level"], k) for k, row in enumerate(levels)], f"level {kind}, k int")
+    size = p + q + 3
+    products, squared = np.zeros((2, size, size)) if penalty[many] is None else _cross_products(cells, F.broadcast(named), few, many, p, q, penalty[many])
+    hs = slice(p + 1, p + 1 + q)
+    shift, delta, f, last = 0.0, np.zeros(p), np.zeros(q), None
+    state, g = np.zeros(size), np.zeros(size)  # what the effects of ``many`` were made from, and their sums with r, x, n per level and n
+
+    def many_step() -> None:
+        nonlocal shift, state, g
+        state = np.concatenate([[1.0], -delta, -f, [0.0, 0.0]])
+        if penalty[many] is None:
+            shift = float((r.sum() - x.sum(axis=0) @ delta - n @ f) / n.sum())
+        elif penalty[many] != 0:
+            shift = float(products[-1] @ state / products[-1, -2])
+        state[-2] = -shift
+        g = products @ state
+
+    def few_step() -> None:
+        nonlocal shift, f
+        s = r - x @ delta - g[hs]
+        if penalty[few] is None or penalty[few] != 0:
+            w = np.ones(q) if penalty[few] is None else 1 / (1 + n / penalty[few])
+            shift = float(s @ w / (n @ w))
+        f = np.zeros(q) if penalty[few] is None else (s - n * shift) / (n + penalty[few])
+
+    for sweep in range(1, sweeps + 1):
+        for step in ((many_step, few_step) if many == "a" else (few_step, many_step)):
+            step()
+        c = shift + f
+        explained = float(r @ c + g[0])
+        squares = rr - 2 * explained + float(n @ c**2 + 2 * c @ g[hs] + state @ squared @ state)
+        left = xr - (x.T @ c + g[1:p + 1])
+        delta = inverse @ left if p else delta
+        squares = max(squares - float(delta @ left), 0.0)
+        if last is not None and abs(squares - last) <= tol * max(squares, 1e-300):
+            break
+        last = squares
+
+    small = F.broadcast(local_table(spark, [(row["level"], float(a), float(e)) for row, a, e in zip(levels, n, f)], f"level {kind}, n double, effect double"))
+    used = local_table(spark, [(row["level"], float(-e)) for row, e in zip(levels, state[hs])], f"level {kind}, effect double")
+    rest = cells.withColumn("rest", reduce(add, [F.col(f"x{i}") * float(d) for i, d in enumerate(state[1:p + 1])], F.col("r")))
+    per = _minus(rest, F.broadcast(used), few).groupBy(F.col(many).alias("level")).agg(F.sum("n").alias("n"), F.sum("rest").alias("s"))
+    effect = F.lit(0.0) if penalty[many] is None else (F.col("s") + F.col("n") * F.lit(float(state[-2]))) / (F.col("n") + float(penalty[many]))
+    large = per.select("level", "n", effect.alias("effect"))
+    u, v = (large, small) if many == "a" else (small, large)
+    return _Fit(shift, delta, u, v, squares, sweep)
+
+
+def _alternate_cells(cells: DataFrame, inverse: np.ndarray, xr: np.ndarray, penalty: Sequence[float | None], sweeps: int, tol: float) -> _Fit:
+    """``_alternate`` over the cells, for two factors with many levels."""
     p, shift, v, last = len(xr), 0.0, None, None
     delta = np.zeros(p)
 

@@ -260,6 +260,25 @@ def test_crossed_solves_the_mixed_model_equations(spark):
     assert [effects["a", n] for n in names_a] + [effects["b", str(n)] for n in names_b] == pytest.approx(want[2:], abs=1e-5)
 
 
+def test_crossed_sweeps_leave_the_cells_alone(spark, monkeypatch):
+    """With few levels of one factor, the first or the second, jobs don't grow with the sweeps; both ways solve the same equations."""
+    monkeypatch.setattr(cr, "FEW_LEVELS", 50, raising=False)
+    rows, _, _ = crossed_rows(seed=5, na=90, nb=7, n=1500, sa=1.0)
+    df = spark.createDataFrame(rows, "a string, b long, x double, y double")
+    found = []
+    for a, b in (("a", "b"), ("b", "a")):
+        spark.sparkContext.setJobGroup(f"sweeps {a}", "")
+        fit = cr.crossed(df, "y", ["x"], a, b, tol=1e-14)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"sweeps {a}"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert fit.sweeps > 4 and jobs < 45
+        found.append((fit, {(r.factor, r.level): (r.rows, r.effect) for r in fit.effects.collect()}))
+    (one, effects), (two, others) = found
+    assert one.variances == pytest.approx(two.variances, rel=1e-5) and one.beta == pytest.approx(two.beta, rel=1e-5)
+    assert effects.keys() == others.keys() and len(effects) == 97
+    assert all(effects[k] == pytest.approx(others[k], abs=1e-4) for k in effects)
+
+
 def test_crossed_components_without_an_effect(spark):
     rows, _, _ = crossed_rows(seed=9, sb=0.0)
     df = spark.createDataFrame(rows, "a string, b long, x double, y double")
