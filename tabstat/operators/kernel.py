@@ -8,6 +8,7 @@ few passes: a pass sums the cross products of the rows beyond the margin, one sm
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -27,8 +28,27 @@ from tabstat.plans.stats import as_double, spread_out
 FEATURES = 256
 #: Passes of Newton's method at most.
 STEPS = 30
-#: Rows whose features are formed at once.
-BLOCK_ROWS = 4096
+#: Rows whose cross products are formed at once, and rows whose cosines are, which stay in a core's cache.
+BLOCK_ROWS, COSINE_ROWS = 4096, 128
+#: Coefficients of cos(pi t) in the square of t, highest first, for t of 1/2 at most.
+SERIES = [(-1) ** k * math.pi ** (2 * k) / math.factorial(2 * k) for k in range(10, -1, -1)]
+
+
+def cosines(turns: np.ndarray, scale: float, out: np.ndarray) -> None:
+    """``scale`` * cos(2 pi ``turns``) to the last digits, some times faster than one by one; ``turns`` is overwritten.
+
+    The cosine of half the angle comes from its series, after whole turns are taken off; that of the angle is 2 cos**2 - 1.
+    """
+    turns -= np.rint(turns)
+    turns *= turns
+    c = turns * SERIES[0]
+    for more in SERIES[1:-1]:
+        c += more
+        c *= turns
+    c += SERIES[-1]
+    c *= c
+    c *= 2 * scale
+    np.subtract(c, scale, out=out)
 
 
 @dataclass(frozen=True)
@@ -39,9 +59,15 @@ class Fourier:
     phases: np.ndarray | None
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        if self.frequencies is not None:
-            x = np.sqrt(2 / len(self.phases)) * np.cos(x @ self.frequencies + self.phases)
-        return np.column_stack([x, np.ones(len(x))])
+        if self.frequencies is None:
+            return np.column_stack([x, np.ones(len(x))])
+        out, scale = np.ones((len(x), len(self.phases) + 1)), np.sqrt(2 / len(self.phases))
+        frequencies, phases = self.frequencies / (2 * np.pi), self.phases / (2 * np.pi)
+        for at in range(0, len(x), COSINE_ROWS):
+            turns = x[at:at + COSINE_ROWS] @ frequencies
+            turns += phases
+            cosines(turns, scale, out[at:at + COSINE_ROWS, :-1])
+        return out
 
 
 def fourier(inputs: int, gamma: float, features: int = FEATURES, seed: int = 42) -> Fourier:

@@ -66,6 +66,18 @@ def test_kernel_error():
         assert np.sqrt(((z @ z.T - true) ** 2).mean()) < 1 / math.sqrt(features / 2)
 
 
+def test_cosines_of_many_angles():
+    """The series agrees with one cosine after the other, also across blocks and many turns."""
+    turns = np.random.default_rng(3).uniform(-60, 60, (kn.COSINE_ROWS, 7))
+    turns[0] = [0.0, 0.25, 0.5, 0.75, 1.0, -0.5, 1e-300]
+    got = np.empty_like(turns)
+    kn.cosines(turns.copy(), 0.3, got)
+    assert np.abs(got - 0.3 * np.cos(2 * np.pi * (turns - np.rint(turns)))).max() < 1e-15
+    for rows in (0, 1, 2 * kn.COSINE_ROWS + 5):
+        x, z = np.random.default_rng(4).normal(size=(rows, 3)), kn.fourier(3, 0.4, 20)
+        assert z(x) == pytest.approx(np.column_stack([np.sqrt(0.1) * np.cos(x @ z.frequencies + z.phases), np.ones(rows)]), abs=1e-13)
+
+
 def test_kernel_grid(spark):
     out = kn.kernel_grid(ring(spark, 300), "two", ["x", "z"], "id", "classification", {"c": [1.0], "kernel": ["linear", "rbf"]}, folds=3)
     assert list(out["kernel"]) == ["rbf", "linear"] and out["score"].iloc[0] > 0.85
