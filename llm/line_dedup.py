@@ -49,6 +49,10 @@ TASK_CHARS = 3_000_000
 LEAST_WEIGHT = 200
 #: Text bytes of a chunk, about.
 CHUNK_BYTES = 8 << 20
+#: Bytes whose prefix sums are formed at once, so that they stay in a core's cache.
+HASH_BLOCK = 1 << 16
+#: Largest family whose pairs of signatures are compared in one go.
+PAIRS_AT_ONCE = 128
 
 _U = np.uint64
 _EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
@@ -57,6 +61,9 @@ _MASKS = [_U((1 << int(b)) - (1 << int(a))) for a, b in zip(_EDGES[:-1], _EDGES[
 TABLES = list(combinations(range(BLOCKS), BLOCKS - DISTANCE))
 
 
+#: Bytes of words, and those of them that begin a character.
+_WORD = ~words.PUNCTUATION
+_POINT = _WORD & ((np.arange(256) & 0xC0) != 0x80)
 #: White space and punctuation as spaces, A-Z in lower case.
 _NORMAL = words.lowered(np.where(words.PUNCTUATION, 32, np.arange(256)).astype(np.uint8)).tobytes()
 
@@ -81,7 +88,7 @@ class Lines:
 
     def with_words(self) -> np.ndarray:
         """Whether each line has words."""
-        seen = np.concatenate([[0], np.cumsum(~words.PUNCTUATION[self.data])])
+        seen = np.concatenate([[0], np.cumsum(_WORD[self.data], dtype=np.int32)])
         return seen[self.edge[1:]] > seen[self.edge[:-1]]
 
 
@@ -93,10 +100,10 @@ class HashedLines(Lines):
         low = words.lowered(data)
         self.word_start, self.word_end, self.word = words.find_words(low, self.edge, words.PUNCTUATION)
         self.n_words = np.diff(self.word)
-        own = words.hash_spans(low, self.word_start, self.word_end)
+        own = words.hash_spans(low, self.word_start, self.word_end, block=HASH_BLOCK)
         self.h1, self.h2 = words.hash_runs(own, self.word, 11), words.hash_runs(own, self.word, 12)
         self.sign = simhash(words.mix(own + _U(99)), self.word)
-        points = np.concatenate([[0], np.cumsum(~words.PUNCTUATION[data] & ((data & 0xC0) != 0x80))])[self.edge]
+        points = np.concatenate([[0], np.cumsum(_POINT[data], dtype=np.int32)])[self.edge]
         length = np.rint(LENGTH_STEPS * np.log2(np.maximum(1, np.diff(points) + self.n_words - 1))).astype(_U)
         self.sign2 = simhash(*distinct_words(own, self.n_words)) >> _U(LENGTH_BITS) << _U(LENGTH_BITS) | length
 
@@ -155,14 +162,20 @@ def close(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.n
     Pairs whose lengths alone rule out an edit similarity of ``percent`` / 100 are none.
     """
     first, mask = np.bitwise_count(apart), _U((1 << LENGTH_BITS) - 1)
-    length = np.abs((a & mask).astype(np.int32) - (b & mask).astype(np.int32)) <= LENGTH_STEPS * np.log2(100 / max(percent, 1)) + 1
-    return length & ((first <= SURE_DISTANCE) | (first + np.bitwise_count((a ^ b) >> _U(LENGTH_BITS)) <= BOTH_DISTANCE))
+    near = np.atleast_1d((first + np.bitwise_count((a ^ b) >> _U(LENGTH_BITS)) <= BOTH_DISTANCE) | (first <= SURE_DISTANCE))
+    some = np.flatnonzero(near)  # few are
+    a, b = ((x if np.ndim(x) == 0 else x[some]) & mask for x in (a, b))
+    near[some] = np.abs(a.astype(np.int32) - b.astype(np.int32)) <= LENGTH_STEPS * np.log2(100 / max(percent, 1)) + 1
+    return near
 
 
 def candidate(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     """Whether pairs meet in a table and are candidates."""
-    equal = sum((apart & mask == 0).astype(np.int8) for mask in _MASKS)
-    return (equal >= BLOCKS - DISTANCE) & close(apart, a, b, percent)
+    apart, near = np.atleast_1d(apart), close(apart, a, b, percent)
+    some = np.flatnonzero(near)
+    equal = sum((apart[some] & mask == 0).astype(np.int8) for mask in _MASKS)
+    near[some] = equal >= BLOCKS - DISTANCE
+    return near
 
 
 def _candidates(classes: DataFrame, lines: int, percent: int) -> DataFrame:
@@ -175,7 +188,7 @@ def _candidates(classes: DataFrame, lines: int, percent: int) -> DataFrame:
             buckets, parts = [], []
             for t in range(len(TABLES) if len(ids) else 0):
                 keys = _rotations(signs, t)
-                order = np.argsort(keys, kind="stable")
+                order = np.argsort(keys)
                 keys, own, second = keys[order], ids[order], signs2[order]
                 kept, sent, hubs, spokes = thinned(keys >> _U(64 - _kept_bits(t)), np.arange(len(keys)), SENT_RUN)
                 if len(hubs):  # a block pair that many lines of this batch share
@@ -194,7 +207,7 @@ def _candidates(classes: DataFrame, lines: int, percent: int) -> DataFrame:
             a, b = (x.astype(np.int64) for x in unpacked(table["part"].to_pylist()))
             return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
         keys, ids, second = unpacked(table["part"].to_pylist(), 3)
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         keys, ids, second = keys[order], ids[order], second[order]
         stands, ids = ids >= STANDS, ids & ~STANDS
         top = keys >> _U(64 - _kept_bits(name[0].as_py() >> bits))
@@ -249,10 +262,30 @@ def edit_distance(a: str, b: str) -> int:
     return len(a) + up.bit_count() - down.bit_count()
 
 
+def common_within(a: str, where: dict[str, int], m: int, most: int) -> int:
+    """Length of the longest common subsequence of ``a`` and a text of ``m`` characters whose places are in ``where``, of characters that
+    are at most ``most`` places apart: no alignment of a distance up to ``most`` keeps more. Too short for that distance, it is only bounded.
+
+    ``left`` is a row of the table: the bits that are not set count the characters kept so far.
+    """
+    n, at, full = len(a), 0, (1 << m) - 1
+    step, get, left = max(32, n // 8), where.get, full
+    while at < n:
+        end = min(n, at + step)
+        near = (1 << end + most) - 1 >> max(0, at - most) << max(0, at - most)
+        for c in a[at:end]:
+            met = left & get(c, 0) & near
+            left = left + met | left - met
+        at, left = end, left & full
+        if at - m + left.bit_count() > most:
+            return n - at + m - left.bit_count()
+    return m - left.bit_count()
+
+
 def within_distance(a: str, b: str, most: int) -> bool:
     """Whether the Levenshtein distance is no more than ``most``.
 
-    As ``edit_distance``, but some columns of the table are unfolded on the way: no path through a column costs less than its entry there and
+    The longest common subsequence, which takes a third of the work for a character, decides most pairs. For the rest as ``edit_distance``, but some columns of the table are unfolded on the way: no path through a column costs less than its entry there and
     the difference of the lengths that are left, so a column without an entry low enough ends the search.
     """
     if len(a) < len(b):
@@ -260,9 +293,16 @@ def within_distance(a: str, b: str, most: int) -> bool:
     if len(a) - len(b) > most:
         return False
     where: dict[str, int] = {}
-    for i, c in enumerate(b):
-        where[c] = where.get(c, 0) | 1 << i
+    bit = 1
+    for c in b:
+        where[c] = where.get(c, 0) | bit
+        bit <<= 1
     n, m, size = len(a), len(b), (len(b) + 7) // 8
+    common = common_within(a, where, m, most)
+    if n - common > most:
+        return False
+    if n + m - 2 * common <= most:
+        return True
     full, wide = (1 << m) - 1, (2 << m) - 1
     up, down, at = full, 0, 0
     step = max(24, n // LOOKS)
@@ -329,18 +369,27 @@ def _linked(percent: int):
         texts, signs, signs2 = table["line"].to_pylist(), table["sign"].to_numpy().view(_U), table["sign2"].to_numpy().view(_U)
         group, left, right = list(range(len(texts))), [], []
 
+        def pairs() -> Iterator[tuple[int, int]]:
+            if cut is None and len(texts) <= PAIRS_AT_ONCE:
+                i, j = np.triu_indices(len(texts), 1)
+                near = candidate(signs[i] ^ signs[j], signs2[i], signs2[j], percent)
+                yield from zip(i[near].tolist(), j[near].tolist())
+                return
+            for i in range(len(texts) - 1 if cut is None else cut):
+                s = i + 1 if cut is None else cut
+                for j in (np.flatnonzero(candidate(signs[s:] ^ signs[i], signs2[s:], signs2[i], percent)) + s).tolist():
+                    yield i, j
+
         def root(x: int) -> int:
             while group[x] != x:
                 group[x] = x = group[group[x]]
             return x
 
-        for i in range(len(texts) - 1 if cut is None else cut):
-            s = i + 1 if cut is None else cut
-            for j in (np.flatnonzero(candidate(signs[s:] ^ signs[i], signs2[s:], signs2[i], percent)) + s).tolist():
-                if root(i) != root(j) and similar_lines(texts[i], texts[j], percent):
-                    group[root(j)] = root(i)
-                    left.append(i)
-                    right.append(j)
+        for i, j in pairs():
+            if root(i) != root(j) and similar_lines(texts[i], texts[j], percent):
+                group[root(j)] = root(i)
+                left.append(i)
+                right.append(j)
         return np.array(left, int), np.array(right, int)
     return links
 

@@ -1,5 +1,7 @@
 """Alike lines that the candidate rule of the line dedup must not lose."""
 
+import random
+
 import numpy as np
 import pytest
 from cases import SCHEMA, rows_of
@@ -54,3 +56,30 @@ def test_share_of_alike_lines_that_are_candidates(n_words, least):
     n, alike = len(lines), [line_dedup.similar_lines(a, b, 80) for a, b in zip(lines, others)]
     hits = [line_dedup.candidate(found.sign[i] ^ found.sign[n + i], found.sign2[[n + i]], found.sign2[i], 80)[0] for i in range(n)]
     assert sum(h for h, a in zip(hits, alike) if a) > least * sum(alike)
+
+
+def _kept(a, b, most):
+    """Longest common subsequence of characters at most ``most`` places apart, cell by cell."""
+    row = [0] * (len(b) + 1)
+    for i, c in enumerate(a):
+        last, row = row, [0]
+        for j, d in enumerate(b):
+            row.append(max(last[j + 1], row[-1], last[j] + 1 if c == d and abs(i - j) <= most else 0))
+    return row[-1]
+
+
+def test_common_subsequence_decides_unrelated_lines(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(300):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randrange(60)))
+        b = "".join(x for x in a if rng.random() < 0.9) if rng.random() < 0.5 else "".join(rng.choice("abcd ") for _ in range(rng.randrange(60)))
+        a, b = max(a, b, key=len), min(a, b, key=len)
+        most, distance = rng.randrange(20), line_dedup.edit_distance(a, b)
+        where = {c: sum(1 << k for k, x in enumerate(b) if x == c) for c in b}
+        found, kept = line_dedup.common_within(a, where, len(b), most), _kept(a, b, most)
+        assert found >= kept if len(a) - found > most else found == kept
+        assert line_dedup.within_distance(a, b, most) == (distance <= most)
+    # unrelated lines are told apart before any column of the table is unfolded
+    monkeypatch.setattr(line_dedup.np, "unpackbits", None)
+    a, b = (" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(80)) for _ in range(2))
+    assert not line_dedup.within_distance(a, b, 96)
