@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from tabstat.operators.cleaning import modes, zscore
 from tabstat.operators.columns import columns_of
 from tabstat.operators.derive import dummies
+from tabstat.operators.forest import on_cells
 from tabstat.plans.order_stats import quantile_table, with_ranges
 from tabstat.plans.stats import as_double, bounded_rows, local_table, scalar_stats, spread_out
 
@@ -186,6 +187,10 @@ def train(df: DataFrame, y: str, xs: Sequence[str], model: str, task: str = "reg
     for name, value in (params or {}).items():
         inner.set(inner.getParam(name), value)
     prepared = Pipeline(stages=stages).fit(data)
+    if isinstance(est, RandomForestRegressor) and not grid:
+        fitted = on_cells(est, prepared, data, parallelism)
+        if fitted is not None:
+            return Trained(model, task, fitted, labels)
     features = spread_out(prepared.transform(data).select("features", "label")).persist()
     try:
         best = {}
