@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from llm import words
 from llm.graph import groups_of, local_labels
 from llm.session import ready, stored
-from llm.similar import STANDS, STARS, bucket_bits, confirm, pairs_of_runs, thinned, unpacked
+from llm.similar import STANDS, STARS, bucket_bits, confirm, pairs_of_runs, thinned
 
 #: Differing signature bits up to which every pair meets in a table, and up to which it is a candidate whatever the second signature.
 DISTANCE = 4
@@ -47,8 +47,12 @@ SENT_RUN = 1_000
 #: Characters of the lines that one task compares at once; a line weighs LEAST_WEIGHT at least. A larger family is compared block by block.
 TASK_CHARS = 3_000_000
 LEAST_WEIGHT = 200
+#: A family of more blocks comes apart into the groups of single runs: each block would be sent as often as there are blocks, and a line is in few of those groups.
+LARGE_BLOCKS = 8
 #: Text bytes of a chunk, about.
 CHUNK_BYTES = 8 << 20
+#: Bits of the bitmap of wanted lines at most, as a power of two (32 MB); with more lines than it tells apart, more lines are sent than are wanted.
+MOST_BITS = 28
 #: Bytes whose prefix sums are formed at once, so that they stay in a core's cache.
 HASH_BLOCK = 1 << 16
 #: Largest family whose pairs of signatures are compared in one go.
@@ -57,6 +61,8 @@ PAIRS_AT_ONCE = 128
 _U = np.uint64
 _EDGES = np.linspace(0, 64, BLOCKS + 1).astype(int)
 _MASKS = [_U((1 << int(b)) - (1 << int(a))) for a, b in zip(_EDGES[:-1], _EDGES[1:])]
+#: Spreads the lines of one text over the bitmap.
+_LINE_FACTOR = 0x9E3779B1
 #: One table per kept set of blocks.
 TABLES = list(combinations(range(BLOCKS), BLOCKS - DISTANCE))
 
@@ -178,8 +184,37 @@ def candidate(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return near
 
 
-def _candidates(classes: DataFrame, lines: int, percent: int) -> DataFrame:
-    """(a, b): edges that connect all pairs of classes that are candidates."""
+def _rotated_masks(table: int) -> list[np.uint64]:
+    """The masks of the blocks where the kept blocks of the table are in front."""
+    kept, masks, at = TABLES[table], {}, 64
+    for block in [*kept, *(b for b in range(BLOCKS) if b not in kept)]:
+        at -= int(_EDGES[block + 1] - _EDGES[block])
+        masks[block] = _U((1 << int(_EDGES[block + 1] - _EDGES[block])) - 1 << at)
+    return [masks[b] for b in range(BLOCKS)]
+
+
+def _sooner(apart: np.ndarray, table: int, masks: list[np.uint64]) -> np.ndarray:
+    """Whether pairs, by the differing bits of their signatures, meet in a table before this one."""
+    return np.logical_or.reduce([np.zeros(len(apart), bool), *(apart & np.bitwise_or.reduce([masks[b] for b in t]) == 0 for t in TABLES[:table])])
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """The columns byte by byte: the leading bytes of sorted keys and of ids are alike, and shuffles compress them."""
+    return np.ascontiguousarray(np.stack(columns).view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)).tobytes()
+
+
+def _opened(parts: list[bytes], columns: int) -> list[np.ndarray]:
+    """The columns of packed parts."""
+    arrays = [np.frombuffer(p, np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1) for p in parts]
+    return list(np.ascontiguousarray(np.concatenate(arrays, axis=1)).view(_U)[:, :, 0])
+
+
+def _candidates(classes: DataFrame, lines: int, percent: int, local: bool = False) -> DataFrame:
+    """(a, b): edges that connect all pairs of classes that are candidates.
+
+    With ``local`` (id, family, turn) instead: a family is a group that candidates connect inside one run of the table ``turn``, where each pair counts
+    in the first table in which it meets. Every pair of candidates is in a family of that table, and no family reaches beyond its run; a class may be in several.
+    """
     bits = min(bucket_bits(lines, least=1), min(map(_kept_bits, range(len(TABLES)))))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,31 +228,45 @@ def _candidates(classes: DataFrame, lines: int, percent: int) -> DataFrame:
                 kept, sent, hubs, spokes = thinned(keys >> _U(64 - _kept_bits(t)), np.arange(len(keys)), SENT_RUN)
                 if len(hubs):  # a block pair that many lines of this batch share
                     buckets.append(STARS)
-                    parts.append(np.concatenate([own[hubs.astype(np.int64)], own[spokes.astype(np.int64)]]).tobytes())
+                    hubs, spokes = hubs.astype(np.int64), spokes.astype(np.int64)
+                    if local:  # all of the run, by its name
+                        spokes = np.concatenate([np.unique(hubs), spokes])
+                        parts.append(_packed(words.mix(keys[spokes] >> _U(64 - _kept_bits(t)) << _U(8) | _U(t)), own[spokes], np.full(len(spokes), t, _U)))
+                    else:
+                        parts.append(_packed(own[hubs], own[spokes]))
                 at = (sent & ~STANDS).astype(np.int64)
                 keys, own, second = keys[at], own[at] | sent & STANDS, second[at]
                 names, start = np.unique(keys >> _U(64 - bits), return_index=True)
                 for b, s, e in zip(names, start, np.append(start[1:], len(keys))):
                     buckets.append(t << bits | int(b))
-                    parts.append(np.concatenate([keys[s:e], own[s:e], second[s:e]]).tobytes())
+                    parts.append(_packed(keys[s:e], own[s:e], second[s:e]))
             yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int64()), pa.array(parts, pa.binary())], ["bucket", "part"])
 
     def compared(name: tuple, table: pa.Table) -> pa.Table:
         if name[0].as_py() == STARS:
-            a, b = (x.astype(np.int64) for x in unpacked(table["part"].to_pylist()))
-            return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        keys, ids, second = unpacked(table["part"].to_pylist(), 3)
+            a, b, *turn = (x.view(np.int64) for x in _opened(table["part"].to_pylist(), 3 if local else 2))
+            return pa.table({"id": b, "family": a, "turn": turn[0].astype(np.int32)} if local else {"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        keys, ids, second = _opened(table["part"].to_pylist(), 3)
+        t = name[0].as_py() >> bits
+        masks = _rotated_masks(t)
         order = np.argsort(keys)
         keys, ids, second = keys[order], ids[order], second[order]
         stands, ids = ids >= STANDS, ids & ~STANDS
-        top = keys >> _U(64 - _kept_bits(name[0].as_py() >> bits))
+        top = keys >> _U(64 - _kept_bits(t))
         start = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
         size = np.diff(np.append(start, len(keys)))
         star = (size > COMPARED_RUN) | (np.logical_or.reduceat(stands, start) & (size > 1))
+
+        def met(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            apart = keys[i] ^ keys[j]
+            near = close(apart, second[i], second[j], percent)
+            i, j = i[near], j[near]
+            some = ~_sooner(apart[near], t, masks) if local else slice(None)
+            return i[some], j[some]
+
         short = (size > 1) & (size <= 64) & ~star
-        i, j = pairs_of_runs(start[short], size[short])
-        near = close(keys[i] ^ keys[j], second[i], second[j], percent)
-        left, right = [i[near]], [j[near]]
+        i, j = met(*pairs_of_runs(start[short], size[short]))
+        left, right = [i], [j]
         rest = star | (size > 64)
         for s, n, whole in zip(start[rest], size[rest], star[rest]):
             if whole:
@@ -225,16 +274,22 @@ def _candidates(classes: DataFrame, lines: int, percent: int) -> DataFrame:
                 right.append(np.arange(s + 1, s + n))
                 continue
             if n <= TABLE_RUN:
-                i, j = pairs_of_runs(np.array([s]), np.array([n]))
-                near = close(keys[i] ^ keys[j], second[i], second[j], percent)
-                left.append(i[near])
-                right.append(j[near])
+                i, j = met(*pairs_of_runs(np.array([s]), np.array([n])))
+                left.append(i)
+                right.append(j)
                 continue
             for k in range(s, s + n - 1):
-                hit = np.flatnonzero(close(keys[k + 1:s + n] ^ keys[k], second[k + 1:s + n], second[k], percent)) + k + 1
+                apart = keys[k + 1:s + n] ^ keys[k]
+                hit = np.flatnonzero(close(apart, second[k + 1:s + n], second[k], percent))
+                if local:
+                    hit = hit[~_sooner(apart[hit], t, masks)]
                 left.append(np.full(len(hit), k))
-                right.append(hit)
+                right.append(hit + k + 1)
         label = local_labels(len(keys), np.concatenate(left), np.concatenate(right))
+        if local:
+            run, rest = words.mix(top << _U(8) | _U(t)), np.flatnonzero(np.bincount(label, minlength=len(keys))[label] > 1)
+            family = np.where(np.repeat(star, size), run, words.mix(run + ids[label]))
+            return pa.table({"id": ids[rest].astype(np.int64), "family": family[rest].view(np.int64), "turn": np.full(len(rest), t, np.int32)})
         rest = np.flatnonzero(label != np.arange(len(keys)))
         a, b = ids[label[rest]].astype(np.int64), ids[rest].astype(np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
@@ -242,7 +297,7 @@ def _candidates(classes: DataFrame, lines: int, percent: int) -> DataFrame:
     met = classes.select("id", "sign", "sign2").mapInArrow(spread, "bucket long, part binary")
     # stars are spread over tasks of their own
     spread_out = F.when(F.col("bucket") == STARS, F.xxhash64("part")).otherwise(F.lit(0))
-    return met.withColumn("spread", spread_out).groupBy("bucket", "spread").applyInArrow(compared, "a long, b long").distinct()
+    return met.withColumn("spread", spread_out).groupBy("bucket", "spread").applyInArrow(compared, "id long, family long, turn int" if local else "a long, b long").distinct()
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -367,17 +422,22 @@ def _linked(percent: int):
     def links(table: pa.Table, cut: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """With ``cut``, rows before it are compared with the others only."""
         texts, signs, signs2 = table["line"].to_pylist(), table["sign"].to_numpy().view(_U), table["sign2"].to_numpy().view(_U)
-        group, left, right = list(range(len(texts))), [], []
+        group, left, right, turn = list(range(len(texts))), [], [], table["turn"][0].as_py()
+
+        def near(s: np.ndarray, t: np.ndarray, s2: np.ndarray, t2: np.ndarray) -> np.ndarray:
+            """The candidates; in a family of a run those that did not meet before, as an earlier table has them."""
+            found = np.flatnonzero(candidate(s ^ t, s2, t2, percent))
+            return found[~_sooner((s ^ t)[found], turn, _MASKS)] if turn > 0 and len(found) else found
 
         def pairs() -> Iterator[tuple[int, int]]:
             if cut is None and len(texts) <= PAIRS_AT_ONCE:
                 i, j = np.triu_indices(len(texts), 1)
-                near = candidate(signs[i] ^ signs[j], signs2[i], signs2[j], percent)
-                yield from zip(i[near].tolist(), j[near].tolist())
+                some = near(signs[i], signs[j], signs2[i], signs2[j])
+                yield from zip(i[some].tolist(), j[some].tolist())
                 return
             for i in range(len(texts) - 1 if cut is None else cut):
                 s = i + 1 if cut is None else cut
-                for j in (np.flatnonzero(candidate(signs[s:] ^ signs[i], signs2[s:], signs2[i], percent)) + s).tolist():
+                for j in (near(signs[s:], signs[i], signs2[s:], signs2[i]) + s).tolist():
                     yield i, j
 
         def root(x: int) -> int:
@@ -394,6 +454,22 @@ def _linked(percent: int):
     return links
 
 
+def _bitmap(members: DataFrame) -> np.ndarray:
+    """The bits of all (mark, line_no): lines whose bit is not set are not wanted, and few others have a bit that is set."""
+    size = 1 << min(MOST_BITS, max(15, (16 * members.count()).bit_length()))
+    slot = F.col("mark").bitwiseXOR(F.col("line_no").cast("long") * _LINE_FACTOR).bitwiseAND(F.lit(size - 1))
+    parts = members.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("slot").bitwiseAND(F.lit(0x7FFF))).alias("bits"))
+    out = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for row in parts.collect():
+        out[row.part] = np.frombuffer(row.bits, np.uint8)
+    return out.ravel()
+
+
+def _in_bitmap(bits: np.ndarray, marks: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    slot = (marks ^ numbers.astype(np.int64) * _LINE_FACTOR) & (8 * len(bits) - 1)
+    return (bits[slot >> 3] >> (slot & 7) & 1).astype(bool)
+
+
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, plus n_lines and n_removed (lines with words).
 
@@ -432,27 +508,42 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", percen
     families = groups_of(stored(_candidates(classes, classes.count(), percent)))
 
     members = stored(classes.join(families.withColumnRenamed("label", "family"), "id").select(
-        "id", "family", "sign", "sign2", F.col("first.mark").alias("mark"), F.col("first.line").alias("line_no"), F.col("first.chunk").alias("chunk"),
+        "id", "family", F.lit(-1).alias("turn"), "sign", "sign2", F.col("first.mark").alias("mark"), F.col("first.line").alias("line_no"), F.col("first.chunk").alias("chunk"),
         F.greatest("size", F.lit(LEAST_WEIGHT)).alias("weight")))
+    large = members.groupBy("family").agg(F.sum("weight").alias("total")).where(F.col("total") > LARGE_BLOCKS * TASK_CHARS).select("family").collect()
+    if large:  # few of their pairs are candidates: they come apart into the groups of single runs
+        large = F.broadcast(docs.sparkSession.createDataFrame(large, "family long"))
+        apart = members.join(large, "family", "left_semi")
+        runs = _candidates(apart, apart.count(), percent, local=True)
+        members = stored(members.join(large, "family", "left_anti").unionByName(apart.drop("family", "turn").join(runs, "id").select(members.columns)))
     back = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     others = [c for c in back if c not in (key, text)]
     rows = docs.select(F.struct(F.lit(0).alias("0"), *others).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"), mark.alias("mark"), chunk.alias("chunk"))
     by_chunk = rows.groupBy("chunk")
 
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(members))
+
+    def wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marks, chunks = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for at, end, data, bounds in words.slices(batch.column(0)):
+                lines = Lines(data, bounds)
+                owner = lines.owner + at
+                some = np.flatnonzero(_in_bitmap(bits.value, marks[owner], lines.number))
+                found = [normal_line(data[s:e].tobytes()) for s, e in zip(lines.edge[some].tolist(), lines.edge[some + 1].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(marks[owner[some]]), pa.array(lines.number[some].astype(np.int32)), pa.array(chunks[owner[some]]), pa.array(found, pa.string())],
+                                                 ["mark", "line_no", "chunk", "line"])
+
     def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        marks, first = np.unique(table["mark"].to_numpy(), return_index=True)
-        row = first[np.searchsorted(marks, wanted["mark"].to_numpy())] if len(marks) else np.zeros(0, int)
-        order = np.argsort(row, kind="stable")
-        wanted, texts, lines, now = wanted.take(pa.array(order)), table["text"], [], None
-        for at, line in zip(row[order].tolist(), wanted["line_no"].to_pylist()):
-            if at != now:
-                now, split = at, texts[at].as_py().encode().split(b"\n")
-            lines.append(normal_line(split[line]))
-        return pa.table({"id": wanted["id"], "family": wanted["family"], "sign": wanted["sign"], "sign2": wanted["sign2"], "line": pa.array(lines, pa.string())})
+        lines = dict(zip(zip(table["mark"].to_pylist(), table["line_no"].to_pylist()), table["line"].to_pylist()))
+        wanted = wanted.take(pa.array(np.lexsort((wanted["line_no"].to_numpy(), wanted["mark"].to_numpy()))))
+        found = [lines[x] for x in zip(wanted["mark"].to_pylist(), wanted["line_no"].to_pylist())]
+        return wanted.select(["id", "family", "turn", "sign", "sign2"]).append_column("line", pa.array(found, pa.string()))
 
+    texts = docs.select(F.col(text).alias("text"), mark.alias("mark"), chunk.alias("chunk")).mapInArrow(wanted_lines, "mark long, line_no int, chunk long, line string")
     # written at every size: the plans that read it would else fetch the lines again
-    with_line = stored(by_chunk.cogroup(members.groupBy("chunk")).applyInArrow(fetch, "id long, family long, sign long, sign2 long, line string"))
-    groups = confirm(members, with_line, ["sign", "sign2", "line"], _linked(percent), TASK_CHARS, across=True)
+    with_line = stored(texts.groupBy("chunk").cogroup(members.groupBy("chunk")).applyInArrow(fetch, "id long, family long, turn int, sign long, sign2 long, line string"))
+    groups = confirm(members, with_line, ["turn", "sign", "sign2", "line"], _linked(percent), TASK_CHARS, across=True, several=bool(large))
     group = F.coalesce("label", "id")
     kept = classes.join(groups, "id", "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")) \
         .select("first.key", "first.mark", "first.line", F.col("first.chunk").alias("chunk"))

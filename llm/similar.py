@@ -127,14 +127,15 @@ def meet(entries: DataFrame, long_run: int = LONG_RUN) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("star").alias("star"))
 
 
-def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: Callable[..., tuple[np.ndarray, np.ndarray]], limit: int, across: bool = False) -> DataFrame:
+def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: Callable[..., tuple[np.ndarray, np.ndarray]], limit: int, across: bool = False,
+            several: bool = False) -> DataFrame:
     """(id, label): groups of the members that ``links`` connects.
 
     ``weights`` has family and weight of each member, ``members`` id, family and the payload columns.
     ``links(table)`` takes rows of one family and returns index pairs that connect all linked rows (a spanning
     set is enough). ``limit`` bounds the weight of the rows that a task compares at once. With ``across``, ``links(table, cut)`` compares
     the rows before ``cut`` with the others only: two blocks of a family meet without looking inside either again. ``members`` is a
-    written table then, as two plans read it.
+    written table then, as two plans read it. With ``several``, a member may be in more than one family, and groups that share a member are one.
     """
     size = weights.groupBy("family").agg(F.sum("weight").alias("total"))
     size = stored(size.withColumn("blocks", F.ceil(F.col("total") / limit).cast("long")))
@@ -164,13 +165,15 @@ def confirm(weights: DataFrame, members: DataFrame, payload: list[str], links: C
     columns = ["id", "family", *payload]
     small = with_size.where("blocks = 1").select(*columns, F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), F.pmod(F.xxhash64("family"), F.lit(tasks)).alias("task"))
     done = small.groupBy("task").applyInArrow(labelled, "id long, label long")
+    def joined(edges: DataFrame) -> DataFrame:
+        return groups_of(stored(edges.where("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b")).distinct()))
+
     if (large or 1) == 1:
-        return done.distinct()
+        return joined(done) if several else done.distinct()
     block = F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks"))
     tiles = with_size.where("blocks > 1").withColumn("own", block) \
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).where(F.lit(across) | (F.col("other") != F.col("own"))) \
         .select(*columns, F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"), F.col("own").cast("int").alias("own")) \
         .withColumn("task", F.xxhash64("family", "i", "j"))
-    edges = tiles.groupBy("task").applyInArrow(labelled, "id long, label long").where("id <> label")
-    joined = groups_of(stored(edges.select(F.col("id").alias("a"), F.col("label").alias("b")).distinct()))
-    return done.unionByName(joined).distinct()
+    edges = tiles.groupBy("task").applyInArrow(labelled, "id long, label long")
+    return joined(done.unionByName(edges)) if several else done.unionByName(joined(edges)).distinct()
