@@ -1,8 +1,9 @@
-"""Regression forests of long tables, grown by Spark on the sums of alike rows.
+"""Regression forests and boosted trees of long tables, grown by Spark on the sums of alike rows.
 
 Spark's forest sees of a row only the bins of its inputs, and of the rows of one bin in each input (a cell) only the sums of their weights, labels and
 squared labels. One pass draws how often each row is in the bag of each tree, as Spark does, and adds these sums up by tree and cell; every tree is then
-grown by Spark's estimator on the cells of its bag. Where rows are few, or cells are not much fewer than rows, there is nothing to gain and the caller
+grown by Spark's estimator on the cells of its bag. Boosting takes the rows and the mean label of each cell: its gradients are linear in the label, and
+the spread inside a cell, which all splits share, is in no gain. Where rows are few, or cells are not much fewer than rows, there is nothing to gain and the caller
 grows the forest on the rows.
 """
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Bucketizer, OneHotEncoderModel, StandardScalerModel, StringIndexerModel, VectorAssembler
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from tabstat.plans.stats import spread_out
 LEAST_ROWS = 1_000_000
 #: Rows that a cell stands for, on average at least, and cells times trees at most (24 bytes each in a task).
 ROWS_OF_CELL, MOST_SUMS = 64, 2_000_000
+#: Cells of a task of boosting, about.
+CELLS_OF_TASK = 100_000
 
 
 def limits_of(df: DataFrame, names: Sequence[str], bins: int) -> dict[str, list[float]] | None:
@@ -83,11 +86,16 @@ def two_points(sums: DataFrame) -> DataFrame:
     return points.drop("w", "wy", "wyy")
 
 
-def on_cells(est: RandomForestRegressor, prepared: PipelineModel, data: DataFrame, parallelism: int = 4) -> PipelineModel | None:
-    """The fitted stages with a forest on binned inputs, or None where the forest is to be grown on the rows of ``data`` (with ``label``)."""
-    trees = est.getNumTrees()
-    usual = est.getBootstrap() and est.getSubsamplingRate() == 1.0 and est.getMinInstancesPerNode() == 1 and not est.isSet(est.weightCol)
-    if trees == 1 or not usual or data.count() < LEAST_ROWS:
+def on_cells(est: RandomForestRegressor | GBTRegressor, prepared: PipelineModel, data: DataFrame, parallelism: int = 4) -> PipelineModel | None:
+    """The fitted stages with trees on binned inputs, or None where the trees are to be grown on the rows of ``data`` (with ``label``)."""
+    boosting = isinstance(est, GBTRegressor)
+    trees = 1 if boosting else est.getNumTrees()
+    usual = est.getSubsamplingRate() == 1.0 and est.getMinInstancesPerNode() == 1 and not est.isSet(est.weightCol)
+    if boosting:
+        usual = usual and est.getLossType() == "squared" and not est.isSet(est.validationIndicatorCol)
+    else:
+        usual = usual and est.getBootstrap() and trees > 1
+    if not usual or data.count() < LEAST_ROWS:
         return None
     numbers = [c for s in prepared.stages if isinstance(s, VectorAssembler) and s.getOutputCol() == "numbers__" for c in s.getInputCols()]
     indexes = {c: len(levels) + 1 for s in prepared.stages if isinstance(s, StringIndexerModel) for c, levels in zip(s.getOutputCols(), s.labelsArray)}
@@ -119,8 +127,11 @@ def on_cells(est: RandomForestRegressor, prepared: PipelineModel, data: DataFram
         if len(codes) > most:
             return None
         vectors = PipelineModel(stages=[*inputs, *encoders, joined]).transform(cells).select("code", "features")
-        bags = two_points(bag_sums(coded, codes, trees, est.getSeed()).join(vectors, "code"))
-        forest = grown(est, bags, trees, parallelism)
+        if boosting:
+            forest = boosted(est, coded, vectors)
+        else:
+            bags = two_points(bag_sums(coded, codes, trees, est.getSeed()).join(vectors, "code"))
+            forest = grown(est, bags, trees, parallelism)
     finally:
         rows.unpersist()
     stages: list = []
@@ -132,6 +143,17 @@ def on_cells(est: RandomForestRegressor, prepared: PipelineModel, data: DataFram
     return PipelineModel(stages=[*stages, forest])
 
 
+def boosted(est: GBTRegressor, coded: DataFrame, vectors: DataFrame) -> GBTRegressionModel:
+    """The boosted trees that Spark grows on the cells of ``coded`` (code, label), each with its rows and its mean label; ``vectors`` are (code, features)."""
+    sums = coded.groupBy("code").agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+    cells = sums.join(vectors, "code").select("code", "features", "label", "weight").persist()
+    try:
+        dealt = cells.repartitionByRange(max(1, cells.count() // CELLS_OF_TASK), "code").sortWithinPartitions("code")
+        return est.copy({est.weightCol: "weight"}).fit(dealt.select("features", "label", "weight"))
+    finally:
+        cells.unpersist()
+
+
 def grown(est: RandomForestRegressor, bags: DataFrame, trees: int, parallelism: int = 4) -> RandomForestRegressionModel:
     """One forest of the trees that Spark grows on each bag of ``bags`` (tree, code, features, label, weight)."""
     strategy = est.getFeatureSubsetStrategy()

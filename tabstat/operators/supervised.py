@@ -187,7 +187,7 @@ def train(df: DataFrame, y: str, xs: Sequence[str], model: str, task: str = "reg
     for name, value in (params or {}).items():
         inner.set(inner.getParam(name), value)
     prepared = Pipeline(stages=stages).fit(data)
-    if isinstance(est, RandomForestRegressor) and not grid:
+    if isinstance(est, (RandomForestRegressor, GBTRegressor)) and not grid:
         fitted = on_cells(est, prepared, data, parallelism)
         if fitted is not None:
             return Trained(model, task, fitted, labels)

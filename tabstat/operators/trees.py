@@ -10,7 +10,6 @@ the number of their subsets. Leaves are a table of bounded size that goes to eve
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -213,19 +212,18 @@ def shap_trees(trained: Trained, df: DataFrame, of: str | None = None, by_input:
         inputs.setdefault(_input_of(name, df.columns) if by_input else name, []).append(i)
     base = float(leaves.base[output])
 
-    def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                rows = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                phi = contributions(rows, leaves, output)
-                phi = np.column_stack([phi[:, slots].sum(axis=1) for slots in inputs.values()])
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32)), pa.array(phi.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), flat], ["row", "phi"])
-
-    rows = data.select(F.struct(*df.columns).alias("row"), vector_to_array("features").alias("x"))
-    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), T.StructField("phi", T.ArrayType(T.DoubleType()))])
-    out = rows.mapInArrow(explained, schema)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def explained(x: pa.Array) -> pa.Array:
+        """Only the features go to Python, whatever else is in a row."""
+        parts = [np.zeros((0, len(inputs)))]
+        for at in range(0, len(x), BATCH_ROWS):
+            part = x.slice(at, BATCH_ROWS)
+            phi = contributions(part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1), leaves, output)
+            parts.append(np.column_stack([phi[:, slots].sum(axis=1) for slots in inputs.values()]))
+        phi = np.concatenate(parts)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, phi.shape[1], dtype=np.int32)), pa.array(phi.ravel()))
+
+    out = data.select(F.struct(*df.columns).alias("row"), explained(vector_to_array("features")).alias("phi"))
     total = F.aggregate("phi", F.lit(base), lambda s, x: s + x)
     return out.select("row.*", *[F.get("phi", F.lit(i)).alias(prefix + name) for i, name in enumerate(inputs)], F.lit(base).alias("base"), total.alias("output"))
 
