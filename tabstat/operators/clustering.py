@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabstat.operators import far
 from tabstat.operators.derive import components
 from tabstat.operators.describe import group_means
 from tabstat.plans.stats import as_double, bounded_rows, local_table, spread_out
@@ -183,6 +184,10 @@ def silhouette(df: DataFrame, cols: Sequence[str], label: str, max_clusters: int
 BLOCK_ROWS, BLOCK_SUMS = (4_000, 50_000), 4_000_000
 #: Tasks that pairs of blocks are dealt to at most.
 PIECES = 2_000
+#: Rows from which cells that lie far apart are summed by weights, in so many columns and clusters at most.
+FAR_ROWS, FAR_COLUMNS, FAR_LEVELS = 100_000, 2, 64
+#: Rows of a cell and of a block of cells, about; sampled rows of a cell, about; weights of all cells at most (8 bytes each).
+CELL_ROWS, CELL_BLOCK, SAMPLED, MOST_MOMENTS = 1_000, 30_000, 50, 8_000_000
 #: Distances that are formed at once; they stay in a core's cache.
 TILE = (64, 1024)
 
@@ -221,12 +226,18 @@ def silhouette_euclidean(df: DataFrame, cols: Sequence[str], label: str, key: st
 
     The measure itself needs every distance. Rows are cut into blocks of bounded size
     and each pair of blocks, in one order only, returns sums per row and cluster, so memory stays
-    bounded while the arithmetic remains quadratic; ``silhouette`` scales linearly.
+    bounded while the arithmetic remains quadratic; ``silhouette`` scales linearly. From FAR_ROWS rows
+    on, in FAR_COLUMNS columns and FAR_LEVELS clusters at most, cells of rows that lie far apart are summed by
+    their weights (``far``), to the rounding of the sums, and only rows of near cells in pairs.
     """
     xs = [f"x{i}" for i in range(len(cols))]
     data = df.select(F.col(key).alias("id"), F.col(label).cast("string").alias("c"),
                      *[as_double(c).alias(x) for c, x in zip(cols, xs)]).na.drop()
     n, some = data.agg(F.count(F.lit(1)), F.approx_count_distinct("c")).first()
+    if block is None and n >= FAR_ROWS and len(xs) <= FAR_COLUMNS and some <= FAR_LEVELS:
+        hits = {r["c"]: r["count"] for r in data.groupBy("c").count().collect()}
+        if len(hits) > 1:
+            return _silhouette_by_cells(data, xs, n, dict(sorted(hits.items())))
     if block is None:
         block = max(BLOCK_ROWS[0], min(BLOCK_ROWS[1], n // 16, BLOCK_SUMS // max(some, 1)))
     blocks = max(1, -(-n // block))
@@ -271,6 +282,100 @@ def silhouette_euclidean(df: DataFrame, cols: Sequence[str], label: str, key: st
     return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
 
 
+def _silhouette_by_cells(data: DataFrame, xs: list[str], n: int, hits: dict[str, int]) -> DataFrame:
+    """``silhouette_euclidean`` of ``data`` (id, c, *xs), ``n`` rows with the clusters ``hits``: far cells by weights, near ones row by row."""
+    spark, levels = data.sparkSession, list(hits)
+    code = F.lit(-1)
+    for i, level in enumerate(levels):
+        code = F.when(F.col("c") == level, i).otherwise(code)
+    data = data.select("id", code.alias("c"), F.xxhash64("id", "c", *xs).alias("hash"), *xs)
+    moments = sum(p ** len(xs) for _, p in far.ORDERS) * len(levels)
+    cells = int(max(1, min(n // CELL_ROWS, MOST_MOMENTS // moments)))
+    share = max(1, n // max(1, SAMPLED * cells))
+    sample = data.where(F.pmod(F.xxhash64("hash"), F.lit(share)) == 0).select(*xs).toPandas().to_numpy(float).reshape(-1, len(xs))
+    tree = far.grown(sample, max(1, len(sample) // cells))
+    of_block = max(1, CELL_BLOCK * tree.cells // n)
+
+    def celled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            cell = tree.cell_of(f[xs].to_numpy(float), f["hash"].to_numpy(np.int64))
+            yield f.drop(columns="hash").assign(cell=cell.astype("int32"), i=(cell // of_block).astype("int32"))
+
+    lead = f"id {data.schema['id'].dataType.simpleString()}, c int, {', '.join(x + ' double' for x in xs)}, cell int"
+
+    def weighed(block: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for cell, f in block.groupby("cell"):
+            low, high, weights = far.weights_of(f[xs].to_numpy(float), f["c"].to_numpy(), len(levels))
+            rows.append((cell, len(f), low.tobytes(), high.tobytes(), *[w.tobytes() for w in weights]))
+        return pd.DataFrame(rows, columns=["cell", "n", "low", "high", *[f"w{k}" for k in range(len(far.ORDERS))]])
+
+    found = data.mapInPandas(celled, lead + ", i int").groupBy("i").applyInPandas(
+        weighed, "cell int, n bigint, low binary, high binary" + "".join(f", w{k} binary" for k in range(len(far.ORDERS)))).collect()
+    low, high, rows = np.zeros((tree.cells, len(xs))), np.zeros((tree.cells, len(xs))), np.zeros(tree.cells, np.int64)
+    found.sort(key=lambda r: r["cell"])
+    for r in found:
+        low[r["cell"]], high[r["cell"]], rows[r["cell"]] = np.frombuffer(r["low"]), np.frombuffer(r["high"]), r["n"]
+    nodes = [np.concatenate([far.nodes_of(low[r["cell"]], high[r["cell"]], p) for r in found]) for _, p in far.ORDERS]
+    weights = [np.concatenate([np.frombuffer(r[f"w{k}"]).reshape(-1, len(levels)) for r in found]) for k in range(len(far.ORDERS))]
+    known = far.Cells(low, high, rows, nodes, weights)
+    # the blocks that each cell is to meet: its own, and those with a near cell
+    first = np.arange(0, tree.cells, of_block)
+    meets = [np.flatnonzero(np.add.reduceat((known.order_of(a) < 0) & (rows > 0), first) | (first // of_block == a // of_block)) for a in range(tree.cells)]
+    plan = spark.sparkContext.broadcast((known, meets))
+
+    def sent(left: bool):
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in celled(frames):
+                meet = [plan.value[1][a] for a in f["cell"]]
+                other = np.concatenate([np.zeros(0, int), *meet])
+                f = f.loc[f.index.repeat([len(m) for m in meet])]
+                own = f["i"].to_numpy()
+                some = other >= own if left else other < own  # a block meets itself from the left only
+                yield f.assign(i=np.minimum(own, other).astype("int32"), j=np.maximum(own, other).astype("int32"))[some]
+        return data.mapInPandas(run, lead + ", i int, j int")
+
+    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        known, sides, out = plan.value[0], [], []
+        same = len(a) > 0 and a["i"].iloc[0] == a["j"].iloc[0]
+        for f in (a, a if same else b):
+            f = f.sort_values(["cell", "c"], kind="stable")
+            own, start = np.unique(f["cell"].to_numpy(), return_index=True)
+            sides.append((f, f[xs].to_numpy(float), f["c"].to_numpy(), dict(zip(own.tolist(), zip(start.tolist(), np.append(start[1:], len(f)).tolist())))))
+        (a, p, p_code, p_cells), (b, q, q_code, q_cells) = sides
+        to_p, to_q = np.zeros((len(p), len(levels))), np.zeros((len(q), len(levels)))
+        for u, (s, e) in p_cells.items():
+            if same:
+                to_p[s:e] += known.far_sums(u, p[s:e])
+            near = known.order_of(u) < 0
+            for v, (t, g) in q_cells.items():
+                if not near[v] or same and v < u:
+                    continue
+                x, y = distance_sums(p[s:e], p_code[s:e], q[t:g], q_code[t:g], (len(levels),) * 2)
+                to_p[s:e] += x
+                if not (same and u == v):
+                    to_q[t:g] += y
+        if same:
+            to_p += to_q
+        for f, total in ((a, to_p),) if same else ((a, to_p), (b, to_q)):
+            out.append(pd.DataFrame({"id": f["id"].to_numpy(), "c": f["c"].to_numpy(), "own": np.full(len(f), int(same))} | {f"t{k}": total[:, k] for k in range(len(levels))}))
+        return pd.concat(out)
+
+    pairs = {(a // of_block, int(b)) for a, found in enumerate(meets) for b in found if b >= a // of_block}
+    left, right = (sent(x).repartition(min(len(pairs), PIECES), "i", "j") for x in (True, False))
+    totals = [f"t{k}" for k in range(len(levels))]
+    parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(
+        sums, f"id {data.schema['id'].dataType.simpleString()}, c int, own bigint, " + ", ".join(t + " double" for t in totals))
+    per = parts.groupBy("id", "c").agg(F.sum("own").alias("k"), *[F.sum(t).alias(t) for t in totals])
+    mine = [F.when(F.col("c") == k, F.try_divide(F.col(t), F.col("k") * hits[level] - 1)) for k, (t, level) in enumerate(zip(totals, levels))]
+    size = [F.when(F.col("c") == k, F.col("k") * hits[level]) for k, level in enumerate(levels)]
+    others = [F.when(F.col("c") != k, F.col(t) / (F.col("k") * hits[level])) for k, (t, level) in enumerate(zip(totals, levels))]
+    rows = per.groupBy("id").agg(F.max(F.coalesce(*mine)).alias("a"), F.max(F.coalesce(*size)).alias("size"), F.min(F.least(*others)).alias("b"))
+    s = F.when(F.col("size") == 1, 0.0).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.avg(s).alias("silhouette"))
+
+
 def profiles(df: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
     """Means per cluster in original units."""
     return group_means(df.na.drop(subset=[label]), cols, [label])
